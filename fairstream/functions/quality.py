@@ -6,11 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def classify(freq: Column | str, n: int, phi: float, epsilon: Column | float) -> Column:
+def classify(freq: Column | str, n: int, phi: float, epsilon: float) -> Column:
     freq = F.col(freq) if isinstance(freq, str) else freq
-    slack = epsilon if isinstance(epsilon, Column) else F.lit(float(epsilon))
     return (
-        F.when(freq >= F.lit(float(n * phi)), "frequent")
-        .when(freq >= F.lit(float(n)) * (F.lit(float(phi)) - slack), "almost")
-        .otherwise("rare")
+        F.when(freq >= n * phi, "frequent").when(freq >= n * (phi - epsilon), "almost").otherwise("rare")
     )

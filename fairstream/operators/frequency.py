@@ -8,6 +8,7 @@ number of items seen.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -75,21 +76,37 @@ def true_frequent(items: DataFrame, run: Frequency) -> DataFrame:
     return histogram(items).filter(F.col("n") >= run.threshold)
 
 
-def first_sampled(items: DataFrame, run: Frequency, key: Column | str = "seq") -> DataFrame:
-    """``item, first_seq``: the arrival at which each sampled item won its coin toss.
+def first_sampled(
+    items: DataFrame, runs: Sequence[Frequency], key: Column | str = "seq"
+) -> DataFrame:
+    """``run, item, first_seq``: the arrival at which each sampled item won its coin toss.
 
-    About ``run.rate`` arrivals win, however long the stream is. So the table is marked for
-    broadcast if the rate is small; otherwise the optimizer chooses the join.
+    About ``rate`` arrivals win in each run, however long the stream is. So the table is
+    marked for broadcast if the rates are small; otherwise the optimizer chooses the join.
     """
-    won = items.filter(coin(run.seed, key) <= F.lit(run.chance))
-    firsts = won.groupBy("item").agg(F.min("seq").alias("first_seq"))
-    return F.broadcast(firsts) if run.rate <= BROADCAST_ROWS else firsts
+    seeds = sorted({run.seed for run in runs})
+    tosses = items.select("seq", "item", *[coin(s, key).alias(f"u{i}") for i, s in enumerate(seeds)])
+    verdicts = [
+        F.struct(
+            F.lit(number).alias("run"),
+            (F.col(f"u{seeds.index(run.seed)}") <= F.lit(run.chance)).alias("won"),
+        )
+        for number, run in enumerate(runs)
+    ]
+    won = tosses.select("seq", "item", F.inline(F.array(*verdicts))).filter("won")
+    firsts = won.groupBy("run", "item").agg(F.min("seq").alias("first_seq"))
+    return F.broadcast(firsts) if sum(r.rate for r in runs) <= BROADCAST_ROWS else firsts
+
+
+def sticky_samples(items: DataFrame, runs: Sequence[Frequency]) -> DataFrame:
+    """``run, item, n`` for several runs at once: two scans of the items, not two per run."""
+    hits = items.join(first_sampled(items, runs), "item").filter("seq >= first_seq")
+    return hits.groupBy("run", "item").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sticky_sample(items: DataFrame, run: Frequency) -> DataFrame:
     """``item, n``: occurrences from the first sampled one on; earlier ones are lost."""
-    hits = items.join(first_sampled(items, run), "item").filter("seq >= first_seq")
-    return histogram(hits)
+    return sticky_samples(items, [run]).drop("run")
 
 
 def sticky_frequent(items: DataFrame, run: Frequency) -> DataFrame:
@@ -98,14 +115,18 @@ def sticky_frequent(items: DataFrame, run: Frequency) -> DataFrame:
 
 def sample_size(items: DataFrame, run: Frequency) -> DataFrame:
     """One row ``size``: items in the sticky sample. Only the winners of the coin are counted."""
-    won = items.filter(coin(run.seed, "seq") <= F.lit(run.chance))
-    return won.agg(F.countDistinct("item").alias("size"))
+    return first_sampled(items, [run]).agg(F.count(F.lit(1)).alias("size"))
 
 
-def cells(items: DataFrame, run: Frequency) -> DataFrame:
-    """One row per item and sketch row: the columns of ``items`` with ``r, c``."""
+def cells(items: DataFrame, runs: Sequence[Frequency]) -> DataFrame:
+    """One row per item, run and sketch row: the columns of ``items`` with ``run, r, c``."""
     hashed = [
-        F.struct(F.lit(r).alias("r"), universal_hash("item", a, b, run.width, run.prime).alias("c"))
+        F.struct(
+            F.lit(number).alias("run"),
+            F.lit(r).alias("r"),
+            universal_hash("item", a, b, run.width, run.prime).alias("c"),
+        )
+        for number, run in enumerate(runs)
         for r, (a, b) in enumerate(run.pairs)
     ]
     return items.select("*", F.inline(F.array(*hashed)))
@@ -113,60 +134,81 @@ def cells(items: DataFrame, run: Frequency) -> DataFrame:
 
 def countmin_matrix(items: DataFrame, run: Frequency) -> DataFrame:
     """``r, c, n``: the nonzero cells, at most depth * width rows."""
-    return cells(items.select("item"), run).groupBy("r", "c").agg(F.count(F.lit(1)).alias("n"))
+    return cells(items.select("item"), [run]).groupBy("r", "c").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cell_crossings(
-    items: DataFrame, run: Frequency, before: DataFrame | None = None, block: int = BLOCK
+    items: DataFrame,
+    runs: Sequence[Frequency],
+    before: DataFrame | None = None,
+    block: int = BLOCK,
 ) -> DataFrame:
-    """``r, c, seq``: the arrival at which a cell's count reaches ``run.needed``.
+    """``run, r, c, seq``: the arrival at which a cell's count reaches ``needed`` of its run.
 
     Cells are counted by blocks of ``block`` consecutive ``seq``; a running sum over this small
     table finds the one block in which a cell crosses, and only that block's arrivals in that
     cell are ranked. So no window holds more than ``block`` arrivals. At most
-    ``depth * width`` rows result, which is what the joins broadcast.
+    ``depth * width`` rows a run result, which is what the joins broadcast.
 
-    ``before`` (``r, c, n``) are counts carried over from earlier arrivals.
+    ``before`` (``run, r, c, n``) are counts carried over from earlier arrivals.
     """
+    cell = ["run", "r", "c"]
     block_of = F.expr(f"seq div {block}L").alias("block")
     blocked = items.select("seq", "item", block_of)
-    sizes = cells(blocked.select("item", "block"), run).groupBy("r", "c", "block").count()
-    so_far = F.sum("count").over(Window.partitionBy("r", "c").orderBy("block"))
-    if before is None:
-        upto = sizes.withColumn("upto", so_far)
-    else:
-        start = before.select("r", "c", F.col("n").alias("start"))
-        upto = sizes.withColumn("so_far", so_far).join(F.broadcast(start), ["r", "c"], "left")
-        upto = upto.withColumn("upto", F.col("so_far") + F.coalesce("start", F.lit(0)))
-    previous = F.col("upto") - F.col("count")
-    edge = upto.filter((F.col("upto") >= run.needed) & (previous < run.needed)).select(
-        "r", "c", "block", (F.lit(run.needed) - previous).alias("nth")
+    sizes = cells(blocked.select("item", "block"), runs).groupBy(*cell, "block").count()
+    so_far = F.sum("count").over(Window.partitionBy(*cell).orderBy("block"))
+    upto = sizes.withColumn("upto", so_far)
+    if before is not None:
+        start = before.select(*cell, F.col("n").alias("start"))
+        upto = upto.join(F.broadcast(start), cell, "left")
+        upto = upto.withColumn("upto", F.col("upto") + F.coalesce("start", F.lit(0)))
+    needed = F.array(*[F.lit(run.needed).cast("bigint") for run in runs])[F.col("run")]
+    edge = (
+        upto.withColumn("nth", needed - F.col("upto") + F.col("count"))
+        .filter((F.col("nth") > 0) & (F.col("nth") <= F.col("count")))
+        .select(*cell, "block", "nth")
     )
     near = blocked.join(F.broadcast(edge.select("block").distinct()), "block", "left_semi")
     ranked = (
-        cells(near, run)
-        .join(F.broadcast(edge), ["r", "c", "block"])
-        .withColumn("rank", F.row_number().over(Window.partitionBy("r", "c").orderBy("seq")))
+        cells(near, runs)
+        .join(F.broadcast(edge), [*cell, "block"])
+        .withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("seq")))
     )
-    return ranked.filter("rank = nth").select("r", "c", "seq")
+    return ranked.filter("rank = nth").select(*cell, "seq")
 
 
-def countmin_frequent(items: DataFrame, run: Frequency, block: int = BLOCK) -> DataFrame:
-    """``item, n`` (true count) of the items the online sketch reports.
+def countmin_frequents(
+    items: DataFrame, runs: Sequence[Frequency], block: int = BLOCK
+) -> DataFrame:
+    """``run, item, n`` (true count) of the items the online sketches report.
 
     An item is reported if its estimate reaches ``phi * n`` at one of its arrivals. Cells only
     grow, so this is decided at the last arrival: each of its cells must have crossed by then.
     """
     seen = items.groupBy("item").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last_seq"))
-    crossed = cell_crossings(items, run, block=block).withColumnRenamed("seq", "crossed_at")
-    full = (
-        cells(seen, run)
-        .join(F.broadcast(crossed), ["r", "c"])
-        .filter("crossed_at <= last_seq")
-        .groupBy("item")
-        .agg(F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"))
+    crossed = cell_crossings(items, runs, block=block).withColumnRenamed("seq", "crossed_at")
+    return full_items(
+        cells(seen, runs)
+        .join(F.broadcast(crossed), ["run", "r", "c"])
+        .filter("crossed_at <= last_seq"),
+        runs,
+    )
+
+
+def full_items(crossed: DataFrame, runs: Sequence[Frequency]) -> DataFrame:
+    """Items with all their cells among ``run, item, n`` rows of crossed cells."""
+    depth = F.array(*[F.lit(run.depth) for run in runs])[F.col("run")]
+    return (
+        crossed.groupBy("run", "item")
+        .agg(F.count(F.lit(1)).alias("cells"), F.first("n").alias("n"))
+        .filter(F.col("cells") == depth)
+        .select("run", "item", "n")
     )
-    return full.filter(F.col("rows") == run.depth).select("item", "n")
+
+
+def countmin_frequent(items: DataFrame, run: Frequency, block: int = BLOCK) -> DataFrame:
+    """``item, n`` for a single run."""
+    return countmin_frequents(items, [run], block).drop("run")
 
 
 def returned_total(found: DataFrame) -> DataFrame:
@@ -179,11 +221,17 @@ def report(found: DataFrame, truth: DataFrame) -> DataFrame:
     return found.select("item").join(true_freq, "item").orderBy("item")
 
 
-def quality_counts(reported: DataFrame, run: Frequency, epsilon: float, *keys: str) -> DataFrame:
-    """``*keys, frequent, almost, rare, total`` of reported items with their ``true_freq``."""
-    kind = classify("true_freq", run.n, run.phi, epsilon)
+def quality_counts(reported: DataFrame, runs: Sequence[Frequency]) -> DataFrame:
+    """``run, frequent, almost, rare, total`` from ``run, item, true_freq`` of reported items.
+
+    Each run is graded with its own parameters. A run that reported nothing has no row.
+    """
+    kind = F.lit(None)
+    for number, run in enumerate(runs):
+        mine = classify("true_freq", run.n, run.phi, run.epsilon)
+        kind = F.when(F.col("run") == number, mine).otherwise(kind)
     graded = reported.withColumn("kind", kind)
-    return graded.groupBy(*keys).agg(
+    return graded.groupBy("run").agg(
         *[F.count_if(F.col("kind") == k).alias(k) for k in ("frequent", "almost", "rare")],
         F.count(F.lit(1)).alias("total"),
     )

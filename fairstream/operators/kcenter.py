@@ -124,13 +124,18 @@ def local_centers(
     group after a single shuffle. If one does not, all parts advance in step over the
     unshuffled points, so no task ever holds a part. Both give the same centers.
     """
-    largest = points.groupBy("part").count().agg(F.max("count")).head()[0] or 0
     dims = _dims(points) if dims is None else dims
-    if largest * _row_bytes(dims) <= group_bytes:
+    fits = group_bytes // _row_bytes(dims)
+    # the plain count needs no column, the count by part only the id
+    if points.count() <= fits or _largest_part(points) <= fits:
         return _solve_groups(points, ka, kb, first)
     return _solve_in_step(points, ka, kb, first, dims)
 
 
+def _largest_part(points: DataFrame) -> int:
+    return points.groupBy("part").count().agg(F.max("count")).head()[0] or 0
+
+
 def _dims(points: DataFrame) -> int:
     row = points.select(F.size("coords")).head()
     return row[0] if row else 0

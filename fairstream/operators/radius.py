@@ -30,7 +30,8 @@ def _with_squared(points: DataFrame, centers: DataFrame) -> DataFrame:
         as_array = block.agg(F.collect_list("coords").alias("all")).scalar()
         if carried:
             out = stored(out, "distances")
-        out = out.withColumn("md", nearest_in_array(as_array, carried))
+        md = nearest_in_array(F.col("block"), carried)
+        out = out.withColumn("block", as_array).withColumn("md", md).drop("block")
         carried = "md"
     return out
 

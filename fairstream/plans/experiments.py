@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,35 +20,6 @@ def clustering_report(points: DataFrame, ka: int, kb: int, parts: int) -> DataFr
     return label_counts(points).select("n", "na", "nb", radius.scalar().alias("objective"))
 
 
-def quality_run(
-    items: DataFrame, run: fq.Frequency, algorithm: str, number: int, class_epsilon: float | None = None
-) -> DataFrame:
-    """One row ``algorithm, param, run, frequent, almost, rare, size`` for one run.
-
-    ``size`` is the sample size for sticky sampling and the returned total for count-min.
-    Sticky answers are graded with the run's own epsilon unless another one is given.
-    """
-    truth = fq.histogram(items)
-    if algorithm == "sticky":
-        found, param = fq.sticky_frequent(items, run), run.epsilon
-    else:
-        found, param = fq.countmin_frequent(items, run), float(run.width)
-    reported = found.select("item").join(truth.withColumnRenamed("n", "true_freq"), "item")
-    counts = fq.quality_counts(reported, run, class_epsilon or run.epsilon)
-    size = F.col("total")
-    if algorithm == "sticky":
-        size = fq.sample_size(items, run).scalar()
-    return counts.select(
-        F.lit(algorithm).alias("algorithm"),
-        F.lit(float(param)).alias("param"),
-        F.lit(number).alias("run"),
-        "frequent",
-        "almost",
-        "rare",
-        size.alias("size"),
-    )
-
-
 def quality_runs(
     items: DataFrame,
     n: int,
@@ -59,12 +29,42 @@ def quality_runs(
     class_epsilon: float,
     seeds: Sequence[int],
 ) -> DataFrame:
-    """One row per algorithm, parameter and seed."""
-    rows = []
-    for number, seed in enumerate(seeds):
-        for epsilon in epsilons:
-            rows.append(quality_run(items, fq.Frequency(n, phi, epsilon, seed=seed), "sticky", number))
-        for width in widths:
-            sketch = fq.Frequency(n, phi, class_epsilon, width=width, seed=seed)
-            rows.append(quality_run(items, sketch, "countmin", number))
-    return reduce(DataFrame.unionByName, rows)
+    """``algorithm, param, run, frequent, almost, rare, size``: one row per parameter and seed.
+
+    Sticky answers are graded with their own epsilon, count-min answers with
+    ``class_epsilon``. ``size`` is the sample size or the returned total. All runs of an
+    algorithm share their scans of the items.
+    """
+    sticky = [fq.Frequency(n, phi, e, seed=s) for e in epsilons for s in seeds]
+    sketches = [fq.Frequency(n, phi, class_epsilon, width=w, seed=s) for w in widths for s in seeds]
+
+    samples = fq.sticky_samples(items, sticky)
+    threshold = F.array(*[F.lit(run.sticky_threshold) for run in sticky])[F.col("run")]
+    truth = fq.histogram(items).withColumnRenamed("n", "true_freq")
+    graded = fq.quality_counts(
+        samples.filter(F.col("n") >= threshold).select("run", "item").join(truth, "item"), sticky
+    )
+    sizes = samples.groupBy("run").agg(F.count(F.lit(1)).alias("size"))
+    sticky_rows = _labelled(
+        items, "sticky", [e for e in epsilons for _ in seeds], len(seeds), graded.join(sizes, "run", "right")
+    )
+
+    found = fq.countmin_frequents(items, sketches).withColumnRenamed("n", "true_freq")
+    graded = fq.quality_counts(found, sketches).withColumn("size", F.col("total"))
+    sketch_rows = _labelled(items, "countmin", [w for w in widths for _ in seeds], len(seeds), graded)
+    return sticky_rows.unionByName(sketch_rows)
+
+
+def _labelled(
+    items: DataFrame, algorithm: str, params: Sequence[float], repeats: int, counts: DataFrame
+) -> DataFrame:
+    """Every run with its parameter; counts of a run that reported nothing are 0."""
+    plan = [(i, algorithm, float(p), i % repeats) for i, p in enumerate(params)]
+    named = items.sparkSession.createDataFrame(plan, "id int, algorithm string, param double, run int")
+    counts = counts.withColumnRenamed("run", "id")
+    return named.join(counts, "id", "left").select(
+        "algorithm",
+        "param",
+        "run",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("frequent", "almost", "rare", "size")],
+    )

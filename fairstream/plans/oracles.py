@@ -199,7 +199,7 @@ LOG = f"""WITH log AS (
 lines AS (
   SELECT file, k * 8 AS line, '=== FILE: run_' || (2 << CAST(k % 4 AS INT)) || '.log ===' AS value FROM log WHERE k % 3 = 0
   UNION ALL SELECT file, k * 8 + 1, 'File path = ' || path || ', KA = ' || (k % 2 + 7) || ', KB = 2, L = 16' FROM log
-  UNION ALL SELECT file, k * 8 + 3, 'Objective function = ' || o_totalprice FROM log WHERE NOT crashed
+  UNION ALL SELECT file, k * 8 + 3, 'Objective function = ' || (floor(o_totalprice) / 8) FROM log WHERE NOT crashed
   UNION ALL SELECT file, k * 8 + 4, 'Running time of MRFairFFT = ' || CAST(floor(o_totalprice) AS BIGINT) || ' ms' FROM log WHERE NOT crashed),
 seen AS (
   SELECT file, line,

@@ -357,7 +357,7 @@ def all_queries() -> dict[str, Query]:
         "sticky_frequent": on_items(fq.sticky_frequent),
         "sticky_sample_size": on_items(fq.sample_size),
         "countmin_matrix": on_items(fq.countmin_matrix),
-        "countmin_crossings": on_items(fq.cell_crossings),
+        "countmin_crossings": on_items(lambda i, r: fq.cell_crossings(i, [r]).drop("run")),
         "countmin_frequent": on_items(fq.countmin_frequent),
         "countmin_total": on_items(lambda i, r: fq.returned_total(fq.countmin_frequent(i, r))),
         "frequent_report": frequent_report,

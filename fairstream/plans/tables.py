@@ -74,7 +74,7 @@ def order_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.pmod(key, F.lit(3)) == 0, text(F.lit("=== FILE: run_"), workers, F.lit(".log ==="))),
         text(F.lit("File path = "), path, F.lit(", KA = "), F.pmod(key, F.lit(2)) + 7, F.lit(", KB = 2, L = 16")),
         F.when(crashed, "Traceback (most recent call last):"),
-        F.when(~crashed, text(F.lit("Objective function = "), F.col("o_totalprice"))),
+        F.when(~crashed, text(F.lit("Objective function = "), F.floor("o_totalprice") / 8)),
         F.when(
             ~crashed,
             text(F.lit("Running time of MRFairFFT = "), F.floor("o_totalprice"), F.lit(" ms")),

@@ -11,8 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fairstream.operators.frequency import Frequency, cell_crossings, cells, countmin_matrix
-from fairstream.operators.frequency import first_sampled
+from fairstream.operators.frequency import (
+    Frequency,
+    cell_crossings,
+    cells,
+    countmin_matrix,
+    first_sampled,
+    full_items,
+)
 from fairstream.operators.selection import kth_smallest
 from fairstream.streaming.state import BatchState
 
@@ -118,7 +124,8 @@ def update_frequency(state: BatchState, batch: DataFrame, batch_id: int, run: Fr
             kept, size = batch.filter(F.col("seq") <= kth_smallest(batch, "seq", room)), room
         else:
             kept = batch
-        firsts = first_sampled(kept, run, toss)
+        firsts = first_sampled(kept, [run], toss)
+        since = (F.col("seq") >= F.col("first_seq")).cast("bigint")
         items = (
             kept.join(firsts, "item", "left")
             .groupBy("item")
@@ -126,14 +133,15 @@ def update_frequency(state: BatchState, batch: DataFrame, batch_id: int, run: Fr
                 F.count(F.lit(1)).alias("n"),
                 F.max("seq").alias("last_seq"),
                 # NULL unless the item was sampled in this batch
-                F.sum(F.when(F.col("first_seq").isNotNull(), (F.col("seq") >= F.col("first_seq")).cast("bigint"))).alias("sticky"),
+                F.sum(since).alias("sticky"),
             )
         )
         # matrix rows are running totals: a batch reads the last one only
         before = state.read("matrix").filter(F.col("batch_id") == previous).select("r", "c", "n")
         now = before.unionByName(countmin_matrix(kept, run)).groupBy("r", "c").agg(F.sum("n").alias("n"))
         state.write("items", batch_id, items)
-        state.write("crossings", batch_id, cell_crossings(kept, run, before))
+        crossed = cell_crossings(kept, [run], before.withColumn("run", F.lit(0)))
+        state.write("crossings", batch_id, crossed.drop("run"))
         state.write("matrix", batch_id, now.coalesce(1))
         state.commit(batch_id, size, total + size)
     finally:
@@ -174,14 +182,8 @@ def stream_countmin_frequent(spark: SparkSession, root: str, run: Frequency) ->
     )
     crossed = state.committed("crossings").withColumnRenamed("seq", "crossed_at")
     by_then = "batch_id < last_batch or (batch_id = last_batch and crossed_at <= last_seq)"
-    full = (
-        cells(seen, run)
-        .join(F.broadcast(crossed), ["r", "c"])  # at most depth * width rows
-        .filter(by_then)
-        .groupBy("item")
-        .agg(F.count(F.lit(1)).alias("rows"), F.first("n").alias("n"))
-    )
-    return full.filter(F.col("rows") == run.depth).select("item", "n")
+    reached = cells(seen, [run]).join(F.broadcast(crossed), ["r", "c"])  # depth * width rows at most
+    return full_items(reached.filter(by_then), [run]).drop("run")
 
 
 def stream_batch_sizes(spark: SparkSession, root: str) -> DataFrame:
