@@ -38,11 +38,19 @@ def hash_pairs(depth: int, seed: int, prime: int = PRIME) -> list[tuple[int, int
     return [(rng.randrange(1, prime), rng.randrange(prime)) for _ in range(depth)]
 
 
-def universal_hash(item: Column | str, a: int, b: int, width: int, prime: int = PRIME) -> Column:
+def universal_hash(
+    item: Column | str,
+    a: Column | int,
+    b: Column | int,
+    width: Column | int,
+    prime: Column | int = PRIME,
+) -> Column:
     """``((a*x + b) mod prime) mod width``, never negative.
 
     The item is reduced first, which leaves the result as it is and keeps the product small.
     """
     item = F.col(item) if isinstance(item, str) else item
-    inner = F.lit(a).cast("bigint") * F.pmod(item, F.lit(prime).cast("bigint")) + F.lit(b)
-    return F.pmod(F.pmod(inner, F.lit(prime).cast("bigint")), F.lit(width).cast("bigint")).cast("int")
+    a, b, width, prime = (
+        (v if isinstance(v, Column) else F.lit(v)).cast("bigint") for v in (a, b, width, prime)
+    )
+    return F.pmod(F.pmod(a * F.pmod(item, prime) + b, prime), width).cast("int")

@@ -119,17 +119,19 @@ def sample_size(items: DataFrame, run: Frequency) -> DataFrame:
 
 
 def cells(items: DataFrame, runs: Sequence[Frequency]) -> DataFrame:
-    """One row per item, run and sketch row: the columns of ``items`` with ``run, r, c``."""
-    hashed = [
-        F.struct(
-            F.lit(number).alias("run"),
-            F.lit(r).alias("r"),
-            universal_hash("item", a, b, run.width, run.prime).alias("c"),
-        )
+    """One row per item, run and sketch row: the columns of ``items`` with ``run, r, c``.
+
+    The coefficients come as one constant array, so the generated code does not grow with the
+    number of sketches.
+    """
+    family = ", ".join(
+        f"named_struct('run', {number}, 'r', {r}, 'a', {a}, 'b', {b}, 'w', {run.width}, 'p', {run.prime})"
         for number, run in enumerate(runs)
         for r, (a, b) in enumerate(run.pairs)
-    ]
-    return items.select("*", F.inline(F.array(*hashed)))
+    )
+    spread = items.select("*", F.expr(f"inline(array({family}))"))
+    cell = universal_hash("item", *map(F.col, "abwp"))
+    return spread.select(*items.columns, "run", "r", cell.alias("c"))
 
 
 def countmin_matrix(items: DataFrame, run: Frequency) -> DataFrame:
@@ -168,7 +170,7 @@ def cell_crossings(
         .filter((F.col("nth") > 0) & (F.col("nth") <= F.col("count")))
         .select(*cell, "block", "nth")
     )
-    near = blocked.join(F.broadcast(edge.select("block").distinct()), "block", "left_semi")
+    near = blocked.join(F.broadcast(edge.select("block")), "block", "left_semi")
     ranked = (
         cells(near, runs)
         .join(F.broadcast(edge), [*cell, "block"])

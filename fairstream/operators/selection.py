@@ -11,8 +11,8 @@ BUCKETS = 1024
 def kth_smallest(df: DataFrame, column: str, k: int) -> int | None:
     """The k-th smallest value (k from 1) of a bigint column, or None if there are fewer rows.
 
-    Each pass counts the rows in at most ``BUCKETS`` equal slices of the remaining range and
-    goes on with the slice that holds the answer: seven passes for the full bigint range.
+    Each pass counts the rows in about ``BUCKETS`` slices of the remaining range and goes on
+    with the slice that holds the answer: seven passes for the full bigint range.
     """
     top = df.agg(F.min(column), F.max(column), F.count(column)).head()
     low, high, rows = top
@@ -20,7 +20,7 @@ def kth_smallest(df: DataFrame, column: str, k: int) -> int | None:
         return None
     while low < high:
         width = (high - low) // BUCKETS + 1
-        slice_of = F.expr(f"({column} - {low}L) div {width}L")
+        slice_of = F.expr(f"{column} div {width}L")  # rounds towards zero, so no overflow
         sizes = (
             df.filter(F.col(column).between(low, high))
             .groupBy(slice_of.alias("slice"))
@@ -32,6 +32,7 @@ def kth_smallest(df: DataFrame, column: str, k: int) -> int | None:
             if k <= size:
                 break
             k -= size
-        low = low + slice_no * width
-        high = min(high, low + width - 1)
+        first = slice_no * width
+        low = max(low, first - (width - 1 if slice_no <= 0 else 0))
+        high = min(high, first + (width - 1 if slice_no >= 0 else 0))
     return low
