@@ -3,18 +3,40 @@ import pytest
 from fairstream.plans import storage
 
 
-def test_the_session_names_the_folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path)) if _settable(spark) else pytest.skip("static")
-    try:
-        assert storage.shared_folder(spark) == str(tmp_path)
-        assert storage.stored(spark.range(3), "x").count() == 3
-        assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["x"]
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+class Context:
+    def __init__(self, master):
+        self.master, self.dirs = master, []
 
+    def getCheckpointDir(self):
+        return self.dirs[-1] if self.dirs else None
 
-def _settable(spark):
-    return spark.conf.isModifiable("spark.checkpoint.dir")
+    def setCheckpointDir(self, folder):
+        self.dirs.append(folder)
+
+
+class Session:
+    """As much of a session as the choice of the folder needs."""
+
+    def __init__(self, master, **settings):
+        self.sparkContext, self.conf = Context(master), settings
+
+
+def test_the_session_names_the_folder():
+    session = Session("yarn", **{"spark.checkpoint.dir": "hdfs:///shared"})
+    assert storage.shared_folder(session) == "hdfs:///shared"
+    assert storage.scratch_path(session, "x").startswith("hdfs:///shared/x-")
+    assert session.sparkContext.dirs == ["hdfs:///shared"]
+
+
+def test_no_local_folder_on_a_cluster():
+    with pytest.raises(RuntimeError):
+        storage.shared_folder(Session("yarn"))
+    local = Session("local[2]")
+    assert storage.shared_folder(local) == local.sparkContext.dirs[0]
+
+
+def test_stored_tables_keep_their_rows(spark):
+    assert sorted(r.id for r in storage.stored(spark.range(3), "x").collect()) == [0, 1, 2]
 
 
 def test_scratch_paths_differ(spark):
@@ -31,22 +53,3 @@ def test_persisted_is_released(spark):
     with storage.persisted(spark.range(5)) as held:
         assert held.is_cached and held.count() == 5
     assert not held.is_cached
-
-
-def test_no_local_folder_on_a_cluster(spark, monkeypatch):
-    class Context:
-        master = "yarn"
-
-        def getCheckpointDir(self):
-            return None
-
-    class Session:
-        sparkContext = Context()
-
-        class conf:
-            @staticmethod
-            def get(key, default):
-                return default
-
-    with pytest.raises(RuntimeError):
-        storage.shared_folder(Session())
