@@ -14,24 +14,27 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def farthest_first(
     ids: np.ndarray, axes: np.ndarray, in_a: np.ndarray, ka: int, kb: int, start: int
 ) -> list[int]:
-    """Positions of the centers of one bounded group; ``axes`` holds one row per coordinate."""
-    by_id = np.argsort(ids, kind="stable")
-    ids, axes, in_a = ids[by_id], axes[:, by_id], in_a[by_id]
-    at = int(np.flatnonzero(by_id == start)[0])
+    """Positions of the centers of one bounded group; ``axes`` holds one row per coordinate.
+
+    Works in place on a few columns as long as the group, without sorting it.
+    """
     budget = {True: ka, False: kb}
     nearest = np.full(len(ids), np.inf)
     unchosen = np.ones(len(ids), dtype=bool)
+    gap, step = np.empty(len(ids)), np.empty(len(ids))
     picks: list[int] = []
+    at = start
     while True:
         picks.append(at)
         unchosen[at] = False
         budget[bool(in_a[at])] -= 1
         if len(picks) >= min(ka + kb, len(ids)):
-            return [int(by_id[p]) for p in picks]
-        gap = np.zeros(len(ids))
+            return picks
+        gap.fill(0.0)
         for axis in axes:  # coordinate by coordinate, the order the SQL expression uses
-            step = axis - axis[at]
-            gap += step * step
+            np.subtract(axis, axis[at], out=step)
+            np.multiply(step, step, out=step)
+            gap += step
         np.minimum(nearest, gap, out=nearest)
         pool = unchosen
         if budget[False] <= 0:
@@ -40,4 +43,10 @@ def farthest_first(
             pool = unchosen & ~in_a
         if not pool.any():
             pool = unchosen
-        at = int(np.argmax(np.where(pool, nearest, -1.0)))
+        at = first_of_best(ids, np.where(pool, nearest, -1.0))
+
+
+def first_of_best(ids: np.ndarray, values: np.ndarray) -> int:
+    """Position of the largest value, of the smallest id among equals."""
+    best = np.flatnonzero(values == values.max())
+    return int(best[np.argmin(ids[best])])

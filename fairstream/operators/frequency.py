@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from fairstream.functions.hashing import PRIME, coin, hash_pairs, universal_hash
 from fairstream.functions.quality import classify
+from fairstream.plans.storage import cut
 
 BLOCK = 1 << 20
 BROADCAST_ROWS = 100_000
@@ -76,13 +77,23 @@ def true_frequent(items: DataFrame, run: Frequency) -> DataFrame:
     return histogram(items).filter(F.col("n") >= run.threshold)
 
 
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for broadcast, if ``rows`` bounds its size and is small enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def cell_rows(runs: Sequence[Frequency]) -> int:
+    return sum(run.depth * run.width for run in runs)
+
+
 def first_sampled(
     items: DataFrame, runs: Sequence[Frequency], key: Column | str = "seq"
 ) -> DataFrame:
     """``run, item, first_seq``: the arrival at which each sampled item won its coin toss.
 
-    About ``rate`` arrivals win in each run, however long the stream is. So the table is
-    marked for broadcast if the rates are small; otherwise the optimizer chooses the join.
+    About ``rate`` arrivals win in each run, however long the stream is. The table is written
+    to the shared folder and counted: it is broadcast if it turned out small, otherwise the
+    optimizer chooses the join.
     """
     seeds = sorted({run.seed for run in runs})
     tosses = items.select("seq", "item", *[coin(s, key).alias(f"u{i}") for i, s in enumerate(seeds)])
@@ -94,8 +105,8 @@ def first_sampled(
         for number, run in enumerate(runs)
     ]
     won = tosses.select("seq", "item", F.inline(F.array(*verdicts))).filter("won")
-    firsts = won.groupBy("run", "item").agg(F.min("seq").alias("first_seq"))
-    return F.broadcast(firsts) if sum(r.rate for r in runs) <= BROADCAST_ROWS else firsts
+    firsts = cut(won.groupBy("run", "item").agg(F.min("seq").alias("first_seq")))
+    return _small(firsts, firsts.count())
 
 
 def sticky_samples(items: DataFrame, runs: Sequence[Frequency]) -> DataFrame:
@@ -162,7 +173,7 @@ def cell_crossings(
     upto = sizes.withColumn("upto", so_far)
     if before is not None:
         start = before.select(*cell, F.col("n").alias("start"))
-        upto = upto.join(F.broadcast(start), cell, "left")
+        upto = upto.join(_small(start, cell_rows(runs)), cell, "left")
         upto = upto.withColumn("upto", F.col("upto") + F.coalesce("start", F.lit(0)))
     needed = F.array(*[F.lit(run.needed).cast("bigint") for run in runs])[F.col("run")]
     edge = (
@@ -170,10 +181,11 @@ def cell_crossings(
         .filter((F.col("nth") > 0) & (F.col("nth") <= F.col("count")))
         .select(*cell, "block", "nth")
     )
-    near = blocked.join(F.broadcast(edge.select("block")), "block", "left_semi")
+    edge = _small(edge, cell_rows(runs))
+    near = blocked.join(_small(edge.select("block"), cell_rows(runs)), "block", "left_semi")
     ranked = (
         cells(near, runs)
-        .join(F.broadcast(edge), [*cell, "block"])
+        .join(edge, [*cell, "block"])
         .withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("seq")))
     )
     return ranked.filter("rank = nth").select(*cell, "seq")
@@ -191,7 +203,7 @@ def countmin_frequents(
     crossed = cell_crossings(items, runs, block=block).withColumnRenamed("seq", "crossed_at")
     return full_items(
         cells(seen, runs)
-        .join(F.broadcast(crossed), ["run", "r", "c"])
+        .join(_small(crossed, cell_rows(runs)), ["run", "r", "c"])
         .filter("crossed_at <= last_seq"),
         runs,
     )

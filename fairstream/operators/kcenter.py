@@ -12,20 +12,24 @@ round too (where a collected coreset would be searched by position instead).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from fairstream.functions.distance import MAX_TERMS, nearest_in_state, nearest_to_literals
 from fairstream.functions.hashing import draw
-from fairstream.functions.traversal import farthest_first
+from fairstream.functions.traversal import farthest_first, first_of_best
 from fairstream.operators.points import is_a, with_part
 from fairstream.plans.storage import cut, stored
 
 CENTERS = "rank int, id bigint, coords array<double>, label string"
 CORESET = f"part int, {CENTERS}"
-GROUP_BYTES = 128 << 20
+GROUP_BYTES = 256 << 20
 BROADCAST_BYTES = 64 << 20
 
 
@@ -102,10 +106,10 @@ def mr_fair_fft(
 ) -> DataFrame:
     """Two rounds: the traversal in each of ``parts`` parts, then on the union of the results."""
     dims = _dims(points)
-    coreset = local_centers(with_part(points, parts), ka, kb, first, group_bytes, dims)
+    coreset = local_centers(with_part(points, parts), ka, kb, parts, first, group_bytes, dims)
     if parts * max(1, ka + kb) * _row_bytes(dims) <= group_bytes:
         # the coreset's size is bounded by the parameters, so one group holds it
-        merged = _solve_groups(coreset.withColumn("part", F.lit(0)), ka, kb, first)
+        merged = _solve_groups(coreset.withColumn("part", F.lit(0)), ka, kb, first, 1)
         return cut(merged.drop("part"))
     return fair_fft(stored(coreset, "coreset"), ka, kb, first)
 
@@ -114,21 +118,22 @@ def local_centers(
     points: DataFrame,
     ka: int,
     kb: int,
+    parts: int,
     first: str | int = "min_id",
     group_bytes: int = GROUP_BYTES,
     dims: int | None = None,
 ) -> DataFrame:
-    """Round one over a ``part`` column: ``part, rank, id, coords, label``.
+    """Round one over a ``part`` column of 0..parts-1: ``part, rank, id, coords, label``.
 
-    Parts are counted first. If the largest fits ``group_bytes``, each is solved in one Arrow
-    group after a single shuffle. If one does not, all parts advance in step over the
+    Parts are counted first. If the largest fits ``group_bytes``, each becomes one partition
+    and is solved there, after a single shuffle. If one does not, all parts advance in step over the
     unshuffled points, so no task ever holds a part. Both give the same centers.
     """
     dims = _dims(points) if dims is None else dims
     fits = group_bytes // _row_bytes(dims)
     # the plain count needs no column, the count by part only the id
     if points.count() <= fits or _largest_part(points) <= fits:
-        return _solve_groups(points, ka, kb, first)
+        return _solve_groups(points, ka, kb, first, parts)
     return _solve_in_step(points, ka, kb, first, dims)
 
 
@@ -146,27 +151,32 @@ def _row_bytes(dims: int) -> int:
     return 16 * dims + 64
 
 
-def _solve_groups(points: DataFrame, ka: int, kb: int, first: str | int) -> DataFrame:
+def _solve_groups(
+    points: DataFrame, ka: int, kb: int, first: str | int, parts: int
+) -> DataFrame:
+    """One partition per part, each solved in memory; ``part`` is 0..parts-1."""
     sent = points.select(
         "part", "id", "coords", "label", is_a().alias("in_a"), _start_key(first).alias("key")
     )
-
-    def solve(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        ids = group["id"].to_numpy()
-        coords = group["coords"].combine_chunks()
-        axes = coords.flatten().to_numpy().reshape(len(ids), -1).T.copy()
-        picks = farthest_first(
-            ids, axes, group["in_a"].to_numpy(), ka, kb, np.lexsort((ids, group["key"].to_numpy()))[0]
-        )
+    result = to_arrow_schema(StructType.fromDDL(CORESET))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        group = pa.Table.from_batches(held).combine_chunks()
+        ids, keys = group["id"].to_numpy(), group["key"].to_numpy()
+        axes = group["coords"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).T.copy()
+        start = first_of_best(ids, -keys)
+        picks = farthest_first(ids, axes, group["in_a"].to_numpy(), ka, kb, start)
         out = group.take(pa.array(picks))
         ranks = pa.array(np.arange(len(picks), dtype=np.int32))
-        return pa.table(
-            [out["part"], ranks, out["id"], out["coords"], out["label"]],
-            names=["part", "rank", "id", "coords", "label"],
-        )
+        columns = [out["part"], ranks, out["id"], out["coords"], out["label"]]
+        # the cast drops the NOT NULL that Spark may know of the coordinates
+        table = pa.table([c.cast(f.type) for c, f in zip(columns, result)], schema=result)
+        yield from table.to_batches()
 
-    return sent.groupBy("part").applyInArrow(solve, CORESET)
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(solve, CORESET)
 
 
 def _solve_in_step(

@@ -87,13 +87,13 @@ def embedding_radius(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coreset(spark: SparkSession, sf: str) -> DataFrame:
-    return _flat(local_centers(with_part(tb.order_points(spark, sf), PARTS), KA, KB), "part")
+    return _flat(local_centers(with_part(tb.order_points(spark, sf), PARTS), KA, KB, PARTS), "part")
 
 
 def coreset_in_step(spark: SparkSession, sf: str) -> DataFrame:
     """The same by the path for parts that no task could hold."""
     points = with_part(tb.order_points(spark, sf), PARTS)
-    return _flat(local_centers(points, KA, KB, group_bytes=0), "part")
+    return _flat(local_centers(points, KA, KB, PARTS, group_bytes=0), "part")
 
 
 def nearest(spark: SparkSession, sf: str) -> DataFrame:

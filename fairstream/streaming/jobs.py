@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from fairstream.operators.frequency import (
+    BROADCAST_ROWS,
     Frequency,
     cell_crossings,
+    cell_rows,
     cells,
     countmin_matrix,
     first_sampled,
@@ -182,7 +184,9 @@ def stream_countmin_frequent(spark: SparkSession, root: str, run: Frequency) ->
     )
     crossed = state.committed("crossings").withColumnRenamed("seq", "crossed_at")
     by_then = "batch_id < last_batch or (batch_id = last_batch and crossed_at <= last_seq)"
-    reached = cells(seen, [run]).join(F.broadcast(crossed), ["r", "c"])  # depth * width rows at most
+    if cell_rows([run]) <= BROADCAST_ROWS:
+        crossed = F.broadcast(crossed)
+    reached = cells(seen, [run]).join(crossed, ["r", "c"])
     return full_items(reached.filter(by_then), [run]).drop("run")
 
 

@@ -79,7 +79,7 @@ def test_exact_traversal(spark, points, ka, kb):
 @pytest.mark.parametrize("points,ka,kb", CASES[:6])
 @pytest.mark.parametrize("bytes_", [kcenter.GROUP_BYTES, 0])
 def test_both_round_one_paths(spark, points, ka, kb, bytes_):
-    found = local_centers(with_part(frame(spark, points), 4), ka, kb, group_bytes=bytes_)
+    found = local_centers(with_part(frame(spark, points), 4), ka, kb, 4, group_bytes=bytes_)
     by_part = {}
     for r in found.orderBy("part", "rank").collect():
         by_part.setdefault(r.part, []).append(r.id)
@@ -111,15 +111,23 @@ def test_one_part_is_the_exact_traversal(spark):
 def test_a_part_with_most_points_is_no_problem(spark):
     points = {i * 4: p for i, p in enumerate(cloud(70, 2, 11).values())} | {1: ([0.0, 0.0], "A")}
     df = with_part(frame(spark, points), 4)
-    in_step = local_centers(df, 3, 2, group_bytes=0).orderBy("part", "rank").collect()
-    assert in_step == local_centers(df, 3, 2).orderBy("part", "rank").collect()
+    in_step = local_centers(df, 3, 2, 4, group_bytes=0).orderBy("part", "rank").collect()
+    assert in_step == local_centers(df, 3, 2, 4).orderBy("part", "rank").collect()
+
+
+def test_coordinates_known_to_be_not_null(spark):
+    xs = "array(coalesce(double(id % 7), 0D), coalesce(double(id % 5), 0D))"
+    points = spark.range(30).selectExpr("id", f"{xs} AS coords", "'A' AS label")
+    assert not points.schema["coords"].dataType.containsNull
+    found = ids(mr_fair_fft(points, 3, 2, 4))
+    assert found == ids(mr_fair_fft(points, 3, 2, 4, group_bytes=0)) and len(found) == 5
 
 
 def test_empty_input(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert fair_fft(none, 2, 2).count() == 0
     assert mr_fair_fft(none, 2, 2, 3).count() == 0
-    assert local_centers(with_part(none, 3), 2, 2, group_bytes=-1).count() == 0
+    assert local_centers(with_part(none, 3), 2, 2, 3, group_bytes=-1).count() == 0
 
 
 def test_seed_moves_the_first_center_and_nothing_else(spark):
@@ -142,7 +150,7 @@ def test_folded_distances_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(kcenter, "MAX_TERMS", terms)
         monkeypatch.setattr(distance, "MAX_TERMS", terms)
         assert ids(fair_fft(df, 6, 5)) == brute(points, 6, 5)
-        in_step = local_centers(with_part(df, 1), 6, 5, group_bytes=0)
+        in_step = local_centers(with_part(df, 1), 6, 5, 1, group_bytes=0)
         assert ids(in_step) == brute(points, 6, 5)
 
 
@@ -173,6 +181,12 @@ def test_radius_without_points_is_null_and_without_centers_an_error(spark):
         radius.objective(points, fair_fft(none, 1, 1))
 
 
+def test_round_one_shuffles_once_and_sorts_nothing(spark):
+    df = with_part(frame(spark, cloud(30, 2, 17)), 4)
+    plan = kcenter._solve_groups(df, 3, 2, "min_id", 4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange shufflepartitionidpassthrough") == 1 and "Sort" not in plan
+
+
 def test_passes_scan_without_shuffling_points(spark, tmp_path):
     """The per-center plan has one exchange, to a single partition, of partial results."""
     frame(spark, cloud(20, 2, 16)).write.parquet(str(tmp_path / "p"))
