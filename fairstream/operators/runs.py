@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairstream.plans.storage import stored
+
 # fixed values: the formats of the log files and of their names
 VERSION = r"combined_logs_(.*?)\.txt"
 HEADER = r"===\s*FILE:\s*.*?_(\d+)\.log\s*==="
@@ -45,7 +47,11 @@ def log_marks(lines: DataFrame) -> DataFrame:
         F.regexp_extract("value", CONFIG, 3).alias("kb"),
         F.regexp_extract("value", CONFIG, 4).cast("int").alias("l"),
     )
-    marks = lines.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    # most lines of a log list centers; a plain substring test spares them the patterns
+    likely = F.lit(False)
+    for key in ("FILE:", "File path = ", "Objective function = ", "Running time of "):
+        likely = likely | F.col("value").contains(key)
+    marks = lines.filter(likely).withColumn("kind", kind).filter(F.col("kind").isNotNull())
     is_kind = lambda k: F.col("kind") == k
     return marks.select(
         "file",
@@ -68,10 +74,11 @@ def run_records(lines: DataFrame) -> DataFrame:
     A run is the stretch of lines up to a runtime line. It takes the last configuration and
     objective of that stretch and the last header of the file so far; a run that lacks one of
     them gives no row. Lines are numbered by run and by header with counts inside each chunk
-    plus a running sum over chunks, so no task needs a whole file. An incomplete run does not
+    plus a running sum over chunks, so no task needs a whole file. The few lines that matter
+    are parsed once and kept as a table, since counting and carrying both read them. An incomplete run does not
     lend its values to the next one, which matters for malformed logs only.
     """
-    marks = log_marks(lines)
+    marks = stored(log_marks(lines), "marks")
     is_run, is_header = F.col("runtime_ms").isNotNull(), F.col("workers").isNotNull()
     in_chunk = Window.partitionBy("file", "chunk").orderBy("line")
     before_line = in_chunk.rowsBetween(Window.unboundedPreceding, -1)

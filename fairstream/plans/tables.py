@@ -14,6 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a small input out to all cores.
+
+    An input that already has a partition per core, as any large one does, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def order_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as points with whole-number coordinates; open orders are group ``A``."""
     return table(spark, sf_dir, "orders").select(
@@ -37,7 +46,7 @@ def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, line, value``: a line of a text is a document."""
-    return split_lines(table(spark, sf_dir, "documents"))
+    return split_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def event_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +89,9 @@ def order_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
             text(F.lit("Running time of MRFairFFT = "), F.floor("o_totalprice"), F.lit(" ms")),
         ),
     ]
+    orders = table(spark, sf_dir, "orders").drop("o_orderdate")
     return (
-        table(spark, sf_dir, "orders")
+        spread(orders)
         .select(
             file.alias("file"),
             F.expr(f"o_orderkey div {LOG_CHUNK}L").alias("chunk"),

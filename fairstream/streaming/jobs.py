@@ -141,10 +141,10 @@ def update_frequency(state: BatchState, batch: DataFrame, batch_id: int, run: Fr
         # matrix rows are running totals: a batch reads the last one only
         before = state.read("matrix").filter(F.col("batch_id") == previous).select("r", "c", "n")
         now = before.unionByName(countmin_matrix(kept, run)).groupBy("r", "c").agg(F.sum("n").alias("n"))
-        state.write("items", batch_id, items)
         crossed = cell_crossings(kept, [run], before.withColumn("run", F.lit(0)))
-        state.write("crossings", batch_id, crossed.drop("run"))
-        state.write("matrix", batch_id, now.coalesce(1))
+        state.write_all(
+            batch_id, items=items, crossings=crossed.drop("run"), matrix=now.coalesce(1)
+        )
         state.commit(batch_id, size, total + size)
     finally:
         batch.unpersist()

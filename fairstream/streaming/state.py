@@ -8,6 +8,7 @@ written last: a batch without one has not happened.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,13 @@ class BatchState:
     def write(self, table: str, batch_id: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch_id={batch_id}")
 
+    def write_all(self, batch_id: int, **tables: DataFrame) -> None:
+        """Several tables of a batch, as jobs that run side by side."""
+        with ThreadPoolExecutor(len(tables)) as pool:
+            jobs = [pool.submit(self.write, name, batch_id, df) for name, df in tables.items()]
+            for job in jobs:
+                job.result()
+
     def commit(self, batch_id: int, size: int, total: int) -> None:
         row = self.spark.range(0, 1, 1, 1).selectExpr(f"{size}L AS size", f"{total}L AS total")
         self.write("sizes", batch_id, row)
