@@ -21,6 +21,7 @@ from fairstream.plans.storage import cut
 
 BLOCK = 1 << 20
 BROADCAST_ROWS = 100_000
+MAX_SPANS = 64
 
 
 @dataclass(frozen=True)
@@ -159,9 +160,10 @@ def cell_crossings(
     """``run, r, c, seq``: the arrival at which a cell's count reaches ``needed`` of its run.
 
     Cells are counted by blocks of ``block`` consecutive ``seq``; a running sum over this small
-    table finds the one block in which a cell crosses, and only that block's arrivals in that
-    cell are ranked. So no window holds more than ``block`` arrivals. At most
-    ``depth * width`` rows a run result, which is what the joins broadcast.
+    table finds the one block in which a cell crosses. These blocks, at most
+    ``depth * width`` a run, are kept as a table and become ``seq`` ranges, so the second scan
+    reads little, and only their arrivals in crossing cells are ranked. No window holds more
+    than ``block`` arrivals.
 
     ``before`` (``run, r, c, n``) are counts carried over from earlier arrivals.
     """
@@ -176,21 +178,50 @@ def cell_crossings(
         upto = upto.join(_small(start, cell_rows(runs)), cell, "left")
         upto = upto.withColumn("upto", F.col("upto") + F.coalesce("start", F.lit(0)))
     needed = F.array(*[F.lit(run.needed).cast("bigint") for run in runs])[F.col("run")]
-    edge = (
+    edge = cut(
         upto.withColumn("nth", needed - F.col("upto") + F.col("count"))
         .filter((F.col("nth") > 0) & (F.col("nth") <= F.col("count")))
         .select(*cell, "block", "nth")
     )
-    edge = _small(edge, cell_rows(runs))
-    near = blocked.join(_small(edge.select("block"), cell_rows(runs)), "block", "left_semi")
+    rows = edge.count()
+    if rows <= BROADCAST_ROWS:
+        near = blocked.filter(_in_blocks(edge, block))
+    else:
+        near = blocked.join(edge.select("block").distinct(), "block", "left_semi")
     ranked = (
         cells(near, runs)
-        .join(edge, [*cell, "block"])
+        .join(_small(edge, rows), [*cell, "block"])
         .withColumn("rank", F.row_number().over(Window.partitionBy(*cell).orderBy("seq")))
     )
     return ranked.filter("rank = nth").select(*cell, "seq")
 
 
+def _in_blocks(edge: DataFrame, block: int) -> Column:
+    """Whether ``seq`` lies in one of the blocks of ``edge``, as ranges the scan can skip by."""
+    spans: list[list[int]] = []
+    for (number,) in edge.select("block").distinct().orderBy("block").collect():
+        if spans and number == spans[-1][1] + 1:
+            spans[-1][1] = number
+        else:
+            spans.append([number, number])
+    if not spans:
+        return F.lit(False)
+    inside = F.lit(False)
+    if len(spans) <= MAX_SPANS:
+        for low, high in spans:
+            inside = inside | F.col("seq").between(*_span(low, high, block))
+        return inside
+    listed = F.col("block").isin([b for low, high in spans for b in range(low, high + 1)])
+    return listed & F.col("seq").between(*_span(spans[0][0], spans[-1][1], block))
+
+
+def _span(low: int, high: int, block: int) -> tuple[int, int]:
+    """First and last ``seq`` of blocks low..high; block 0 reaches to both sides of zero."""
+    first = low * block - (block - 1 if low <= 0 else 0)
+    last = high * block + (block - 1 if high >= 0 else 0)
+    return max(first, -(2**63)), min(last, 2**63 - 1)
+
+
 def countmin_frequents(
     items: DataFrame, runs: Sequence[Frequency], block: int = BLOCK
 ) -> DataFrame:

@@ -98,6 +98,26 @@ def test_online_answer_may_be_smaller_than_the_final_sketch(spark):
     assert set(pairs(fq.countmin_frequent(frame(spark, items), run))) == found
 
 
+@pytest.mark.parametrize("spans", [64, 0])
+def test_any_numbering_of_arrivals(spark, monkeypatch, spans):
+    """Gaps, negative and huge ``seq`` do not matter, only the order does."""
+    monkeypatch.setattr(fq, "MAX_SPANS", spans)
+    run, items = RUNS[0], skewed(2000, seed=3)
+    exact, _, found, _ = simulate(items, run)
+    rows = [((i - 900) * 5 + i % 3 + (i > 1990) * 2**62, x) for i, x in enumerate(items)]
+    df = spark.createDataFrame(rows, "seq bigint, item bigint").repartition(5)
+    for block in (fq.BLOCK, 100):
+        assert pairs(fq.countmin_frequent(df, run, block)) == {x: exact[x] for x in found}
+
+
+def test_crossing_blocks_are_pushed_to_the_scan(spark, tmp_path):
+    frame(spark, skewed(2000, seed=3)).write.parquet(str(tmp_path / "e"))
+    df = spark.read.parquet(str(tmp_path / "e"))
+    plan = fq.cell_crossings(df, [RUNS[0]], block=100)._jdf.queryExecution().executedPlan().toString()
+    pushed = [p for p in plan.split("PushedFilters: ")[1:] if "GreaterThanOrEqual(seq" in p]
+    assert plan.count("FileScan") == 1 and pushed
+
+
 def test_large_tables_leave_the_joins_to_the_optimizer(spark, monkeypatch):
     run, items = RUNS[0], skewed(2000, seed=3)
     monkeypatch.setattr(fq, "BROADCAST_ROWS", 0)

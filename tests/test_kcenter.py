@@ -76,8 +76,10 @@ def test_exact_traversal(spark, points, ka, kb):
     assert all(points[i] == v for i, v in labels.items())
 
 
-@pytest.mark.parametrize("points,ka,kb", CASES[:6])
-@pytest.mark.parametrize("bytes_", [kcenter.GROUP_BYTES, 0])
+@pytest.mark.parametrize(
+    "points,ka,kb,bytes_",
+    [(*c, kcenter.GROUP_BYTES) for c in CASES[:7]] + [(*c, 0) for c in (CASES[0], CASES[3], CASES[4])],
+)
 def test_both_round_one_paths(spark, points, ka, kb, bytes_):
     found = local_centers(with_part(frame(spark, points), 4), ka, kb, 4, group_bytes=bytes_)
     by_part = {}
