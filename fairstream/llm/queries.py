@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairstream.llm import langid, mixing, pieces, simhash
+from fairstream.llm import langid, licenses, mixing, pieces, simhash, tokencount, urls
+
+
+# fixed values: the rules of the filter and what makes a title junk (two such signs in a row)
+URL_RULES = (
+    urls.Rule("allow", "org", "/"),
+    urls.Rule("block", "example.org", "/es/"),
+    urls.Rule("block", "example.org", "/en/1"),
+    urls.Rule("allow", "com", "/fr/"),
+    urls.Rule("block", "com", "/de/"),
+)
+JUNK_TITLE = r"<title>[^<]*(!!|##|\$\$|%%|\*\*)"
 
 
 def tokenizer_file(name: str = "piece_bpe_32k.model") -> str:
@@ -18,6 +29,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -32,15 +47,30 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits, "component_id")
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: canonical URLs at which some page has a junk title."""
+    pages = _table(spark, sf_dir, "pages")
+    junk = pages.filter(F.col("html").rlike(JUNK_TITLE))
+    listed = junk.select(urls.canonical(F.col("url")).alias("key"))
+    return urls.judge(pages, URL_RULES, listed)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counted(_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash": op4_simhash,
+    "op6_url_filter": op6_url_filter,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_token_count": op8_token_count,
 }
 
 MIX_SQL = r"""
@@ -79,4 +109,26 @@ SELECT doc_id, size, source_size, target, CAST(copies * size AS BIGINT) AS taken
 FROM placed
 """
 
-ORACLES = {"op3_mix_sources": MIX_SQL}
+URL_SQL = r"""
+WITH parts AS (SELECT page_id, html,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
+    regexp_replace(regexp_replace(coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), ''),
+                   '(?:^|&)(?:utm_[^&=]*|ref)(?:=[^&]*)?', '', 'g'), '^&', '') AS rest
+  FROM pages),
+keyed AS (SELECT *, CASE WHEN regexp_replace(host, '^www\.', '') <> '' THEN regexp_replace(host, '^www\.', '')
+    || regexp_replace(path, '/+$', '') || CASE WHEN rest <> '' THEN '?' || rest ELSE '' END END AS key FROM parts),
+listed AS (SELECT DISTINCT key FROM keyed WHERE regexp_matches(html, '<title>[^<]*(!!|##|\$\$|%%|\*\*)')),
+rules(verdict, rule_host, rule_path) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'),
+    ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/'))
+SELECT page_id, host, path, r.rule_host || r.rule_path AS rule,
+  coalesce(r.verdict, CASE WHEN key IN (SELECT key FROM listed WHERE key IS NOT NULL) THEN 'block' END, 'allow') AS verdict
+FROM keyed LEFT JOIN LATERAL (SELECT * FROM rules WHERE (host = rule_host OR ends_with(host, '.' || rule_host))
+  AND starts_with(path, rule_path) ORDER BY length(rule_host || rule_path) DESC LIMIT 1) r ON true
+"""
+
+ORACLES = {
+    "op1_license_scan": licenses.scan_sql(),
+    "op3_mix_sources": MIX_SQL,
+    "op6_url_filter": URL_SQL,
+}
