@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairstream.llm import langid, licenses, mixing, pieces, simhash, tokencount, urls
+from fairstream.llm import html, langid, licenses, mixing, pieces, simhash, tokencount, urls
 
 
 # fixed values: the rules of the filter and what makes a title junk (two such signs in a row)
@@ -63,6 +63,10 @@ def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.counted(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -71,6 +75,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_count": op8_token_count,
+    "op9_html_text": op9_html_text,
 }
 
 MIX_SQL = r"""
