@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairstream.plans.storage import cut
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
+    """Places of those links of one bounded group that already connect all that it connects."""
+    parent = list(range(n))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kept = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = top(x), top(y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            kept.append(i)
+    return kept
+
 
 def components(links: DataFrame) -> DataFrame:
     """``a bigint, b bigint`` -> ``node, root``: the smallest node reachable, for every node of a link.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairstream.llm import html, langid, licenses, mixing, pieces, simhash, tokencount, urls
+from fairstream.llm import html, langid, lattice, licenses, mixing, pieces, simhash, tokencount, topk, urls
 
 
 # fixed values: the rules of the filter and what makes a title junk (two such signs in a row)
@@ -47,6 +47,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", digits, "component_id")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: canonical URLs at which some page has a junk title."""
     pages = _table(spark, sf_dir, "pages")
@@ -67,15 +71,21 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
     "op3_mix_sources": op3_mix_sources,
     "op4_simhash": op4_simhash,
+    "op5_embedding_dedup": op5_embedding_dedup,
     "op6_url_filter": op6_url_filter,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_token_count": op8_token_count,
     "op9_html_text": op9_html_text,
+    "op10_exact_top_k": op10_exact_top_k,
 }
 
 MIX_SQL = r"""
@@ -132,8 +142,21 @@ FROM keyed LEFT JOIN LATERAL (SELECT * FROM rules WHERE (host = rule_host OR end
   AND starts_with(path, rule_path) ORDER BY length(rule_host || rule_path) DESC LIMIT 1) r ON true
 """
 
+TOP_SQL = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+pairs AS (SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank,
+    vec_id, score FROM pairs)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
 ORACLES = {
     "op1_license_scan": licenses.scan_sql(),
     "op3_mix_sources": MIX_SQL,
     "op6_url_filter": URL_SQL,
+    "op10_exact_top_k": TOP_SQL,
 }

@@ -23,7 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairstream.llm.graph import components
+from fairstream.llm.graph import components, forest
 from fairstream.plans.storage import cut, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -156,25 +156,6 @@ def close_pairs(values: np.ndarray, group: np.ndarray, radius: int = RADIUS) ->
     return query[at], to
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
-    """Positions of links that already connect all that the links connect."""
-    parent = list(range(n))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    kept = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = top(x), top(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            kept.append(i)
-    return kept
-
-
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted ``mask, bits, fp`` -> links ``a, b`` that connect every group's close pairs."""
 
@@ -187,7 +168,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = b = fp
         else:
             one, other = close_pairs(fp.view(np.uint64), group)
-            kept = _forest(one, other, len(fp))
+            kept = forest(one, other, len(fp))
             a, b = fp[one[kept]], fp[other[kept]]
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
