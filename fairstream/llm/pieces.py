@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
@@ -21,11 +22,37 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLANK = "▁"
 WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS = 200_000
-LONG_WORD = 64
+CACHED_WORDS = 80_000
 LOWEST = float("-inf")
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text that is not empty, without the one blank sign that each begins with."""
+    if "  " in text or text[0] == " " or BLANK in text:
+        return [w[1:] for w in WORDS.findall(BLANK + text.replace(" ", BLANK))]
+    return text.split(" ")
+
+
+class Remembered(dict):
+    """Word -> what ``find`` says of it. Of words not met for long it forgets; call ``rest`` between texts."""
+
+    def __init__(self, find: Callable[[str], object]):
+        super().__init__()
+        self.find, self.older = find, {}
+
+    def __missing__(self, word: str):
+        found = self.older.get(word)
+        if found is None:
+            found = self.find(word)
+        self[word] = found
+        return found
+
+    def rest(self) -> None:
+        if len(self) > CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+
+
 class Pieces:
     """The pieces of a model file: an identity-normalising one with dummy prefix and byte fallback."""
 
@@ -48,63 +75,62 @@ class Pieces:
                 self.singles.add(name)
         self.automaton.make_automaton()
         self.unknown = lowest - UNKNOWN_PENALTY
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.ids = Remembered(lambda word: self.segment(BLANK + word))
 
     def segment(self, word: str) -> tuple[int, ...]:
         """Ids of the segmentation with the best sum of scores, of equal ones that with the longer last piece."""
-        n = len(word)
-        best, came = [0.0] + [LOWEST] * n, [(-1, 0)] * (n + 1)
-        done = 0
-
-        def pass_unknown(upto: int) -> None:
-            nonlocal done
-            while done < upto:
-                # a sign that is no piece can always stand for itself
-                if word[done] not in self.singles and best[done] + self.unknown > best[done + 1]:
-                    best[done + 1], came[done + 1] = best[done] + self.unknown, (-1, 1)
-                done += 1
-
+        if not self.singles.issuperset(word):
+            return self.segment_unknown(word)
+        # best[i] ends behind sign i; best[-1], the last of the list, is the start
+        best, came = [LOWEST] * len(word) + [0.0], [(0, 0, 0.0)] * len(word)
         # matches come by their end, at each end along the output links, the longest first
-        for end, (piece, length, score) in self.automaton.iter(word):
-            if done < end:
-                pass_unknown(end)
-            score += best[end + 1 - length]
-            if score > best[end + 1]:
-                best[end + 1], came[end + 1] = score, (piece, length)
-        pass_unknown(n)
-        ids: list[int] = []
-        while n > 0:
-            piece, length = came[n]
-            if piece >= 0:
-                ids.append(piece)
-            else:
-                ids.extend(self.byte_ids[b] for b in reversed(word[n - 1].encode("utf-8", "surrogatepass")))
-            n -= length
+        for end, match in self.automaton.iter(word):
+            score = best[end - match[1]] + match[2]
+            if score > best[end]:
+                best[end], came[end] = score, match
+        ids, at = [], len(word) - 1
+        while at >= 0:
+            match = came[at]
+            ids.append(match[0])
+            at -= match[1]
+        ids.reverse()
+        return tuple(ids)
+
+    def segment_unknown(self, word: str) -> tuple[int, ...]:
+        """The same where some signs are no pieces: each can stand for itself, as its bytes."""
+        best, came = [LOWEST] * len(word) + [0.0], [(-1, 1, self.unknown)] * len(word)
+        ends = [[] for _ in word]
+        for end, match in self.automaton.iter(word):
+            ends[end].append(match)
+        for end, matches in enumerate(ends):
+            if word[end] not in self.singles:
+                matches = [*matches, (-1, 1, self.unknown)]
+            for match in matches:
+                score = best[end - match[1]] + match[2]
+                if score > best[end]:
+                    best[end], came[end] = score, match
+        ids, at = [], len(word) - 1
+        while at >= 0:
+            piece, length, _ = came[at]
+            signs = word[at].encode("utf-8", "surrogatepass")
+            ids += [piece] if piece >= 0 else [self.byte_ids[b] for b in reversed(signs)]
+            at -= length
         return tuple(reversed(ids))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        ids: list[int] = []
-        cache = self.cache
-        for word in WORDS.findall(BLANK + text.replace(" ", BLANK)):
-            known = cache.get(word)
-            if known is None:
-                known = self.segment(word)
-                if len(word) <= LONG_WORD:
-                    cache[word] = known
-            ids += known
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
+        ids = list(chain.from_iterable(map(self.ids.__getitem__, words_of(text))))
+        self.ids.rest()
         return ids
 
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``: without the dummy prefix, runs of byte pieces read as UTF-8."""
         raw = self.bytes
-        if any(i in raw for i in ids):
-            text = b"".join(raw.get(i) or self.names[i].encode() for i in ids).decode("utf-8", "replace")
+        if raw.keys().isdisjoint(ids):
+            text = "".join(map(self.names.__getitem__, ids))
         else:
-            text = "".join([self.names[i] for i in ids])
+            text = b"".join([raw.get(i) or self.names[i].encode() for i in ids]).decode("utf-8", "replace")
         return text.replace(BLANK, " ").removeprefix(" ")
 
 

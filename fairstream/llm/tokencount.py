@@ -9,7 +9,6 @@ that is no piece.
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator
 
@@ -19,14 +18,15 @@ import sentencepiece
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
+from fairstream.llm.pieces import BLANK, words_of
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLANK = "▁"
-WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
-CACHED_WORDS = 200_000
+CACHED_WORDS = 150_000
 LONG_WORD = 64
 BATCH_WORDS = 20_000
 NO_RANK = np.int64(1) << 40
+PLACE_BITS = 22
 
 
 class Merges:
@@ -59,7 +59,10 @@ class Merges:
         self.made = np.array([i for _, i in pairs], np.int64)
         self.rank = order[self.made].astype(np.int64)
         self.known = len(names)
+        self.symbol_of = np.full(0x110000, -1, np.int64)
+        self.symbol_of[[ord(c) for c in self.signs]] = list(self.signs.values())
         self.cache: dict[str, int] = {}
+        self.older: dict[str, int] = {}
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and result of each pair; ``NO_RANK`` if it does not merge."""
@@ -70,32 +73,37 @@ class Merges:
 
     def count(self, words: list[str]) -> np.ndarray:
         """Surviving symbols of each word, all words merged in step."""
-        lengths = np.array([len(w) for w in words], np.int64)
         text = "".join(words)
-        get = self.signs.get
-        symbol = np.fromiter((get(c, -1) for c in text), np.int64, len(text))
+        signs = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        symbol = self.symbol_of[signs]
         # what a symbol counts in the end: 1, or its bytes if it is no piece
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF).astype(np.int64)
+        size = 1 + (signs > 0x7F) + (signs > 0x7FF) + (signs > 0xFFFF).astype(np.int64)
         weight = np.where((symbol >= 0) & (symbol < self.known), 1, size)
-        word = np.repeat(np.arange(len(words)), lengths)
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
         done = np.zeros(len(words), np.int64)
+        last = np.append(word[1:] != word[:-1], True)  # a word's last symbol has no pair
+        rank, made = np.full(len(symbol), NO_RANK), np.full(len(symbol), -1)
+        at = np.flatnonzero(~last)
+        rank[at], made[at] = self.lookup(symbol[at], symbol[at + 1])
         while len(symbol):
-            rank, made = self.lookup(symbol[:-1], symbol[1:])
-            rank = np.append(np.where(word[:-1] == word[1:], rank, NO_RANK), NO_RANK)
-            made = np.append(made, -1)
-            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+            starts = np.flatnonzero(np.r_[True, last[:-1]])
             # rank first, place second: the smallest is the leftmost best pair of the word
-            best = np.minimum.reduceat(rank << 22 | np.minimum(np.arange(len(rank)) - np.repeat(starts, np.diff(np.r_[starts, len(rank)])), (1 << 22) - 1), starts)
-            ended = best >= NO_RANK << 22
+            best = np.minimum.reduceat(rank << PLACE_BITS | np.arange(len(rank)), starts)
+            ended = best >= NO_RANK << PLACE_BITS
             if ended.any():
-                total = np.add.reduceat(weight, starts)
-                done[word[starts[ended]]] = total[ended]
-            at = (starts + (best & ((1 << 22) - 1)))[~ended]
+                done[word[starts[ended]]] = np.add.reduceat(weight, starts)[ended]
+            at = best[~ended] & ((1 << PLACE_BITS) - 1)
+            symbol[at], weight[at], last[at] = made[at], 1, last[at + 1]
             keep = np.repeat(~ended, np.diff(np.r_[starts, len(rank)]))
-            symbol[at], weight[at] = made[at], 1
             keep[at + 1] = False
-            symbol, weight, word = symbol[keep], weight[keep], word[keep]
+            at = (np.cumsum(keep) - 1)[at]
+            symbol, weight, word, last, rank, made = (x[keep] for x in (symbol, weight, word, last, rank, made))
+            # only the pairs on both sides of a merge are new
+            before = at[at > 0] - 1
+            for new in (at, before):
+                rank[new], made[new] = NO_RANK, -1
+                new = new[~last[new]]
+                rank[new], made[new] = self.lookup(symbol[new], symbol[new + 1])
         return done
 
     def long_count(self, word: str) -> int:
@@ -140,22 +148,24 @@ class Merges:
         return self._table
 
     def learn(self, texts: list[list[str]]) -> None:
-        new = {w for words in texts for w in words if w not in self.cache}
-        short = [w for w in new if len(w) <= LONG_WORD]
+        cache, older = self.cache, self.older
+        new = set().union(*texts).difference(cache)
+        cache.update((w, older[w]) for w in new.intersection(older))
+        new.difference_update(older)
+        long = [w for w in new if len(w) >= LONG_WORD]
+        cache.update((w, self.long_count(BLANK + w)) for w in long)
+        short = list(new.difference(long))
         for start in range(0, len(short), BATCH_WORDS):
             part = short[start : start + BATCH_WORDS]
-            self.cache.update(zip(part, self.count(part).tolist()))
-        for w in new:
-            if len(w) > LONG_WORD:
-                self.cache[w] = self.long_count(w)
+            cache.update(zip(part, self.count([BLANK + w for w in part]).tolist()))
 
     def tokens(self, texts: list[str]) -> list[int]:
-        words = [WORDS.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        words = [words_of(t) if t else [] for t in texts]
         self.learn(words)
         get = self.cache.__getitem__
         counts = [sum(map(get, w)) for w in words]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
+        if len(self.cache) > CACHED_WORDS:  # of words not met for long it forgets
+            self.older, self.cache = self.cache, {}
         return counts
 
 
