@@ -11,10 +11,9 @@ import math
 import sys
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark import cloudpickle
@@ -27,9 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LETTERS = regex.compile(r"\p{L}+")
 ORDERS = (4, 3, 2, 1)
-CACHED_WORDS = 200_000
-LONG_WORD = 64
-CHUNK = 1 << 16
+CACHED_WORDS = 100_000
+CHUNK = 1 << 15
 
 
 def words_of(text: str | None) -> list[str]:
@@ -49,11 +47,13 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """``words`` and ``grams``: log frequency by language, in the order of ``languages``."""
+    """Log frequencies: row ``words[w]`` or ``grams[g]`` of a matrix with a column per language."""
 
     languages: tuple[str, ...]
-    words: dict[str, tuple[float, ...]]
-    grams: dict[str, tuple[float, ...]]
+    words: dict[str, int]
+    word_rows: np.ndarray
+    grams: dict[str, int]
+    gram_rows: np.ndarray
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,17 +92,21 @@ def fit(labelled: DataFrame, max_rows: int = 8_000, max_entries: int = 100_000)
     counts = cut(counted.groupBy("lang", "is_word", "gram").agg(F.sum("n").alias("n")))
     totals = {(r.lang, r.is_word): r.n for r in counts.groupBy("lang", "is_word").agg(F.sum("n").alias("n")).toLocalIterator()}
     languages = tuple(sorted({lang for lang, _ in totals}))
-    tables = []
+    tables: list = []
     for is_word in (True, False):
         of_kind = counts.filter(F.col("is_word") == is_word)
         in_lang = of_kind.groupBy("lang").agg(F.sum("n").alias("total"))
         top = of_kind.join(F.broadcast(in_lang), "lang").orderBy((F.col("n") / F.col("total")).desc(), "lang", "gram").limit(max_entries)
         floor = [math.log(0.5 / totals[lang, is_word]) for lang in languages]
-        table: dict[str, list[float]] = {}
-        for r in top.collect():
-            at = languages.index(r.lang)
-            table.setdefault(r.gram, list(floor))[at] = math.log(r.n / r.total)
-        tables.append({k: tuple(v) for k, v in table.items()})
+        place: dict[str, int] = {}
+        cells = []
+        for r in top.toLocalIterator():
+            row = place.setdefault(r.gram, len(place))
+            cells.append((row, languages.index(r.lang), math.log(r.n / r.total)))
+        matrix = np.tile(np.array(floor), (len(place), 1))
+        for row, column, value in cells:
+            matrix[row, column] = value
+        tables += [place, matrix]
     return Model(languages, *tables)
 
 
@@ -111,19 +115,18 @@ class _Rows(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.none = model, (0.0,) * len(model.languages)
-        self.matrix = np.zeros((CACHED_WORDS + CHUNK, len(model.languages)))
+        self.model, self.matrix = model, np.zeros((CACHED_WORDS + CHUNK, len(model.languages)))
 
-    def vector(self, word: str) -> tuple[float, ...] | np.ndarray:
+    def vector(self, word: str) -> np.ndarray | float:
         known = self.model.words.get(word)
         if known is not None:
-            return known
+            return self.model.word_rows[known]
         get = self.model.grams.get
         for order in ORDERS:
             found = [v for g in grams_of(word, order) if (v := get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
-        return self.none
+                return self.model.gram_rows[found].mean(0)
+        return 0.0
 
     def __missing__(self, word: str) -> int:
         at = self[word] = len(self)
@@ -158,15 +161,18 @@ def language(model: Model, spark) -> callable:
     null text, a text without letters, or a model without languages; of languages with equal
     scores the first by name. The whole text is read. Nothing but the text is an input.
     """
-    shared = spark.sparkContext.broadcast(model)
+    # plain containers: executors need no copy of this package to read them
+    shared = spark.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))
 
-    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        rows = _Rows(shared.value)
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        rows = _Rows(Model(*shared.value))
         for texts in batches:
-            yield pd.DataFrame([predict(t, rows) for t in texts], columns=["lang_pred", "score"])
+            found = [predict(t.as_py(), rows) for t in texts]
+            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score"])
 
-    scores.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(scores, "lang_pred string, score double")
+    scores.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(scores, "lang_pred string, score double")
 
 
 def learnt_from(docs: DataFrame) -> Model:

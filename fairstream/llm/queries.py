@@ -25,6 +25,11 @@ def tokenizer_file(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 4 MB: several are in memory at once, in the JVM and in each Python worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -34,6 +39,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
@@ -42,6 +48,7 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     found = simhash.simhash_components(_table(spark, sf_dir, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return found.select("doc_id", digits, "component_id")
@@ -60,14 +67,17 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pieces.encoded(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return tokencount.counted(_table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
