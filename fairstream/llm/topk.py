@@ -82,10 +82,10 @@ class Index:
         self.square = float(rows.agg(F.max(norm)).head()[0]) * (1 + 1e-12)
         # a fixed number of vectors by hash: they only choose the pivots
         sample = rows.orderBy(F.xxhash64("v"), "v").select("v").limit(SAMPLE).collect()
-        self.sample = np.array([r.v for r in sample], np.int64).reshape(-1, dims)
-        self.pivots = _farthest_first(_lifted(self.sample, self.square), PIVOTS)
+        points = _lifted(np.array([r.v for r in sample], np.int64).reshape(-1, dims), self.square)
+        self.pivots = _farthest_first(points, PIVOTS)
         # rings as wide as hold a chunk if the vectors were spread evenly over pivots and distances
-        spread = _distances(_lifted(self.sample, self.square), self.pivots).min(1)
+        spread = _distances(points, self.pivots).min(1)
         rings = max(1, -(-count // (CHUNK * len(self.pivots))))
         self.width = max(1.0, float(np.ptp(spread)) / rings)
 
@@ -176,10 +176,8 @@ def _top_of_length(rows: DataFrame, queries: DataFrame, dims: int, k: int) -> Da
     entries = stored(numbered.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "topk-entries")
     count = entries.count()
     index = Index(entries, dims, count)
-    shared = rows.sparkSession.sparkContext.broadcast(index)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
             distance = _distances(_lifted(_matrix(batch.column(1), dims), index.square), index.pivots)
             pivot = distance.argmin(1)
@@ -199,7 +197,6 @@ def _top_of_length(rows: DataFrame, queries: DataFrame, dims: int, k: int) -> Da
         """Rings a query has to look at: those next to its place, or all others that may matter."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = shared.value
             for batch in batches:
                 q = _matrix(batch.column(1), dims)
                 lifted = _lifted(q, index.square, query=True)
