@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 # fixed value: the prime of the universal hash family
 PRIME = 8191
+DRAWS = 1 << 60
 
 
 def _hex_draw(seed: int | str, key: Column, digits: int) -> Column:
@@ -17,13 +18,12 @@ def _hex_draw(seed: int | str, key: Column, digits: int) -> Column:
 
 
 def coin(seed: int | str, key: Column | str) -> Column:
-    """Uniform in [0, 1): 32 bits of an MD5 over seed and key."""
-    key = F.col(key) if isinstance(key, str) else key
-    return _hex_draw(seed, key, 8) / F.lit(4294967296.0)
+    """Uniform in [0, 1): ``draw`` as a fraction of ``DRAWS``."""
+    return draw(seed, key) / F.lit(float(DRAWS))
 
 
 def draw(seed: int | str, key: Column | str) -> Column:
-    """60 random bits as bigint, used to pick a random first center."""
+    """60 random bits of an MD5 over seed and key, as bigint."""
     key = F.col(key) if isinstance(key, str) else key
     return _hex_draw(seed, key, 15)
 

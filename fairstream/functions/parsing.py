@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANKS = " \t\r\n\x0b\x0c"
+# fixed values: every sign that counts as white space in Unicode, and a number with a type suffix
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+SUFFIXED = r"[0-9.][dDfF]\s*,"
 
 
 def stripped(col: Column | str) -> Column:
@@ -31,6 +33,7 @@ def parse_points(lines: DataFrame, drop_blank: bool = False) -> DataFrame:
     coords = numbers.try_cast("array<double>")
     # try_cast makes a bad element NULL; one scan of the array finds it
     good = (F.size(fields) > 1) & ~F.exists(coords, lambda x: x.isNull())
+    good = good & ~F.col("value").rlike(SUFFIXED)  # a cast would take 1.5d for a number
     return lines.select(
         *others,
         _required(F.when(good, coords), F.col("value"), "a labelled point").alias("coords"),

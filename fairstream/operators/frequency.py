@@ -15,8 +15,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairstream.functions.hashing import PRIME, coin, hash_pairs, universal_hash
+from fairstream.functions.hashing import DRAWS, PRIME, draw, hash_pairs, universal_hash
 from fairstream.functions.quality import classify
+from fairstream.operators.selection import kth_smallest
 from fairstream.plans.storage import cut
 
 BLOCK = 1 << 20
@@ -46,6 +47,11 @@ class Frequency:
     def chance(self) -> float:
         return self.rate / self.n
 
+    @property
+    def winning(self) -> int:
+        """The largest draw that wins; compared as integers, so small chances keep their size."""
+        return math.floor(min(1.0, self.chance) * DRAWS)
+
     @property
     def sticky_threshold(self) -> float:
         return (self.phi - self.epsilon) * self.n
@@ -64,9 +70,15 @@ class Frequency:
         return hash_pairs(self.depth, self.seed, self.prime)
 
 
-def stream_prefix(items: DataFrame, n: int) -> DataFrame:
-    """Exactly the first ``n`` items; ``seq`` is dense from 0, so this is a pushed-down filter."""
-    return items.filter(F.col("seq") < n)
+def stream_prefix(items: DataFrame, n: int, dense: bool = False) -> DataFrame:
+    """Exactly the first ``n`` items, by the n-th smallest ``seq``.
+
+    ``dense`` states that ``seq`` goes 0, 1, 2, ...; then this is a pushed-down filter at once.
+    """
+    if dense or n <= 0:
+        return items.filter(F.col("seq") < n)
+    last = kth_smallest(items, "seq", n)
+    return items if last is None else items.filter(F.col("seq") <= last)
 
 
 def histogram(items: DataFrame) -> DataFrame:
@@ -97,11 +109,11 @@ def first_sampled(
     optimizer chooses the join.
     """
     seeds = sorted({run.seed for run in runs})
-    tosses = items.select("seq", "item", *[coin(s, key).alias(f"u{i}") for i, s in enumerate(seeds)])
+    tosses = items.select("seq", "item", *[draw(s, key).alias(f"u{i}") for i, s in enumerate(seeds)])
     verdicts = [
         F.struct(
             F.lit(number).alias("run"),
-            (F.col(f"u{seeds.index(run.seed)}") <= F.lit(run.chance)).alias("won"),
+            (F.col(f"u{seeds.index(run.seed)}") <= F.lit(run.winning)).alias("won"),
         )
         for number, run in enumerate(runs)
     ]

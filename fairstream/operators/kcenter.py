@@ -12,11 +12,12 @@ round too (where a collected coreset would be searched by position instead).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -62,16 +63,10 @@ def fair_fft(points: DataFrame, ka: int, kb: int, first: str | int = "min_id") -
     """
     spark = points.sparkSession
     base = points.select("id", "coords", "label")
-    top = base.agg(
-        _first_point(first).alias("pick"),
-        F.count(F.lit(1)).alias("n"),
-        F.min(F.size("coords")).alias("low"),
-        F.max(F.size("coords")).alias("high"),
-    ).head()
+    top = base.agg(_first_point(first).alias("pick"), *_shape()).head()
     if not top.n:
         return spark.createDataFrame([], CENTERS)
-    if top.low != top.high:
-        raise ValueError(f"points have between {top.low} and {top.high} coordinates")
+    _checked(top)
 
     left = {True: ka, False: kb}
     chosen, recent, carried = [], [], None
@@ -105,8 +100,9 @@ def mr_fair_fft(
     group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """Two rounds: the traversal in each of ``parts`` parts, then on the union of the results."""
-    dims = _dims(points)
-    coreset = local_centers(with_part(points, parts), ka, kb, parts, first, group_bytes, dims)
+    shape = points.agg(*_shape()).head()
+    dims = _checked(shape)
+    coreset = local_centers(with_part(points, parts), ka, kb, parts, first, group_bytes, (shape.n, dims))
     if parts * max(1, ka + kb) * _row_bytes(dims) <= group_bytes:
         # the coreset's size is bounded by the parameters, so one group holds it
         merged = _solve_groups(coreset.withColumn("part", F.lit(0)), ka, kb, first, 1)
@@ -121,18 +117,22 @@ def local_centers(
     parts: int,
     first: str | int = "min_id",
     group_bytes: int = GROUP_BYTES,
-    dims: int | None = None,
+    shape: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Round one over a ``part`` column of 0..parts-1: ``part, rank, id, coords, label``.
 
     Parts are counted first. If the largest fits ``group_bytes``, each becomes one partition
     and is solved there, after a single shuffle. If one does not, all parts advance in step over the
-    unshuffled points, so no task ever holds a part. Both give the same centers.
+    unshuffled points, so no task ever holds a part. Both give the same centers, and points of
+    unequal length or with coordinates that are not finite are an error on both. ``shape`` is
+    the number of points and of coordinates, if these were checked before.
     """
-    dims = _dims(points) if dims is None else dims
+    if shape is None:
+        found = points.agg(*_shape()).head()
+        shape = found.n, _checked(found)
+    count, dims = shape
     fits = group_bytes // _row_bytes(dims)
-    # the plain count needs no column, the count by part only the id
-    if points.count() <= fits or _largest_part(points) <= fits:
+    if count <= fits or _largest_part(points) <= fits:
         return _solve_groups(points, ka, kb, first, parts)
     return _solve_in_step(points, ka, kb, first, dims)
 
@@ -141,14 +141,30 @@ def _largest_part(points: DataFrame) -> int:
     return points.groupBy("part").count().agg(F.max("count")).head()[0] or 0
 
 
-def _dims(points: DataFrame) -> int:
-    row = points.select(F.size("coords")).head()
-    return row[0] if row else 0
+def _shape() -> list[Column]:
+    """What ``_checked`` looks at, for one pass over the points."""
+    return [
+        F.count(F.lit(1)).alias("n"),
+        F.min(F.size("coords")).alias("low"),
+        F.max(F.size("coords")).alias("high"),
+        # NaN counts as largest, so the extremes show every coordinate that is not finite
+        F.min(F.array_min("coords")).alias("least"),
+        F.max(F.array_max("coords")).alias("most"),
+    ]
+
+
+def _checked(shape: Row) -> int:
+    """The number of coordinates; the same rule on every path, whatever the size of the input."""
+    if shape.low != shape.high:
+        raise ValueError(f"points have between {shape.low} and {shape.high} coordinates")
+    if shape.most is not None and not (math.isfinite(shape.least) and math.isfinite(shape.most)):
+        raise ValueError("points have coordinates that are not finite")
+    return shape.high or 0
 
 
 def _row_bytes(dims: int) -> int:
-    # coordinates as sent and as columns, running distance and scratch, ids and label
-    return 16 * dims + 64
+    # coordinates as sent, put together and as columns; running distance, scratch, ids and label
+    return 24 * dims + 128
 
 
 def _solve_groups(
@@ -165,6 +181,7 @@ def _solve_groups(
         if not held:
             return
         group = pa.Table.from_batches(held).combine_chunks()
+        held.clear()
         ids, keys = group["id"].to_numpy(), group["key"].to_numpy()
         axes = group["coords"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).T.copy()
         start = first_of_best(ids, -keys)

@@ -15,18 +15,19 @@ def _with_squared(points: DataFrame, centers: DataFrame) -> DataFrame:
     """Add ``md``, the squared distance to the closest center, in one narrow pass.
 
     A handful of centers becomes literals. Up to ``BLOCK`` become one array, a scalar subquery
-    Spark evaluates once. More are taken block by block, with the distance so far written to
-    the shared folder in between, so what each pass ships stays bounded.
+    Spark evaluates once. More are dealt by hash into blocks of about that many, with the
+    distance so far written to the shared folder in between, so what each pass ships stays bounded.
     """
     few = centers.select("coords").limit(MAX_TERMS + 1).collect()
     if not few:
         raise ValueError("no centers")
     if len(few) <= MAX_TERMS and sum(len(r.coords) for r in few) <= MAX_TERMS:
         return points.withColumn("md", nearest_to_literals([r.coords for r in few]))
-    highest = centers.agg(F.max("rank")).head()[0]
+    blocks = -(-centers.count() // BLOCK) if len(few) > MAX_TERMS else 1
+    dealt = centers.withColumn("block", F.pmod(F.xxhash64("coords"), F.lit(blocks)))
     out, carried = points, None
-    for low in range(0, highest + 1, BLOCK):
-        block = centers.filter(F.col("rank").between(low, low + BLOCK - 1))
+    for number in range(blocks):
+        block = dealt.filter(F.col("block") == number)
         as_array = block.agg(F.collect_list("coords").alias("all")).scalar()
         if carried:
             out = stored(out, "distances")
@@ -37,7 +38,7 @@ def _with_squared(points: DataFrame, centers: DataFrame) -> DataFrame:
 
 
 def nearest_center(points: DataFrame, centers: DataFrame) -> DataFrame:
-    """``points`` with ``distance``; ``centers`` needs ``rank`` (0, 1, ...) and ``coords``."""
+    """``points`` with ``distance``; ``centers`` needs only ``coords``."""
     return _with_squared(points, centers).withColumn("distance", F.sqrt("md")).drop("md")
 
 

@@ -26,7 +26,9 @@ def _found(source: Column | str, pattern: str, group: int = 1) -> Column:
 
 
 def log_version(file: Column | str) -> Column:
-    return F.coalesce(_found(file, VERSION), F.lit("unknown"))
+    """By the name of the file; the folders it is in do not count."""
+    name = F.element_at(F.split(F.col(file) if isinstance(file, str) else file, "/", -1), -1)
+    return F.coalesce(_found(name, VERSION), F.lit("unknown"))
 
 
 def log_marks(lines: DataFrame) -> DataFrame:
@@ -73,7 +75,7 @@ def run_records(lines: DataFrame) -> DataFrame:
 
     A run is the stretch of lines up to a runtime line. It takes the last configuration and
     objective of that stretch and the last header of the file so far; a run that lacks one of
-    them gives no row. Lines are numbered by run and by header with counts inside each chunk
+    them, or has an empty data set name, gives no row. Lines are numbered by run and by header with counts inside each chunk
     plus a running sum over chunks, so no task needs a whole file. The few lines that matter
     are parsed once and kept as a table, since counting and carrying both read them. An incomplete run does not
     lend its values to the next one, which matters for malformed logs only.
@@ -112,7 +114,7 @@ def run_records(lines: DataFrame) -> DataFrame:
             F.max("runtime_ms").alias("runtime_ms"),
             F.max(F.when(is_run, F.col("header"))).alias("header"),
         )
-        .filter("config is not null and objective is not null and runtime_ms is not null")
+        .filter("config.dataset <> '' and objective is not null and runtime_ms is not null")
     )
     headers = numbered.filter(is_header).select("file", "header", "workers")
     return runs.join(headers, ["file", "header"]).select(

@@ -32,9 +32,11 @@ def _sum_salted(pairs: DataFrame) -> DataFrame:
 
 
 def word_count_salted_shuffle(docs: DataFrame, parts: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Two rounds; counted pairs get their salt when they are grouped."""
-    pairs = doc_word_count(docs, keys)
-    return _sum_salted(pairs.select(salt(parts, *keys, "word").alias("salt"), "word", "n"))
+    """Two rounds; pairs get their salt by document and word when they are grouped.
+
+    The count within a document is part of the map-side aggregation before the first round.
+    """
+    return word_count_salted_map(docs, parts, keys)
 
 
 def word_count_salted_map(docs: DataFrame, parts: int, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -6,7 +6,7 @@ window over all arrivals, log records come from windows over whole files.
 
 from __future__ import annotations
 
-from fairstream.functions.hashing import PRIME, hash_pairs
+from fairstream.functions.hashing import DRAWS, PRIME, hash_pairs
 from fairstream.operators import runs
 from fairstream.operators.frequency import Frequency
 from fairstream.plans import queries as q
@@ -114,11 +114,11 @@ def _hash(a: int, b: int, width: int) -> str:
     return f"((({a} * item + {b}) % {PRIME} + {PRIME}) % {PRIME}) % {width}"
 
 
-def _coin(seed: int) -> str:
-    return f"CAST('0x' || substr(md5('{seed}:' || seq), 1, 8) AS BIGINT) / 4294967296"
+def _toss(seed: int, key: str = "seq") -> str:
+    return f"CAST('0x' || substr(md5('{seed}:' || {key}), 1, 15) AS BIGINT)"
 
 
-def stream(run: Frequency, length: str, suffix: str = "") -> str:
+def stream(run: Frequency, length: str, suffix: str = "", key: str = "seq") -> str:
     """Tables of one run over ``arrivals``; ``run.n`` is not used, ``length`` is SQL for it."""
     s = suffix
     pairs = " UNION ALL ".join(
@@ -130,7 +130,7 @@ def stream(run: Frequency, length: str, suffix: str = "") -> str:
 len{s} AS (SELECT {length} AS n),
 firsts{s} AS (
   SELECT item, min(seq) AS first_seq FROM arrivals, len{s}
-  WHERE {_coin(run.seed)} <= {double(run.rate)} / n GROUP BY item),
+  WHERE {_toss(run.seed, key)} <= CAST(floor(least({double(run.rate)} / n, 1) * {double(DRAWS)}) AS BIGINT) GROUP BY item),
 sticky{s} AS (
   SELECT item, count(*) AS n FROM arrivals JOIN firsts{s} USING (item) WHERE seq >= first_seq GROUP BY item),
 sticky_freq{s} AS (SELECT sticky{s}.* FROM sticky{s}, len{s} WHERE sticky{s}.n >= {slack} * len{s}.n),
@@ -222,10 +222,10 @@ filled AS (
   FROM carried WINDOW r AS (PARTITION BY file, run ORDER BY line)),
 records AS (
   SELECT coalesce(nullif(regexp_extract(file, '{runs.VERSION}', 1), ''), 'unknown') AS version,
-         coalesce(nullif(regexp_extract(p, '{runs.DATASET}', 1), ''), p) AS dataset,
+         CASE WHEN regexp_matches(p, '{runs.DATASET}') THEN regexp_extract(p, '{runs.DATASET}', 1) ELSE p END AS dataset,
          CAST(w AS INT) AS workers, CAST(ll AS INT) AS l, CAST(runtime AS BIGINT) AS runtime_ms,
          a AS ka, b AS kb, CAST(o AS DOUBLE) AS objective
-  FROM filled WHERE runtime IS NOT NULL AND w IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL)"""
+  FROM filled WHERE runtime IS NOT NULL AND w IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL AND p <> '' AND NOT regexp_matches(p, 'Artificial\\.csv'))"""
 
 
 def all_oracles() -> dict[str, str]:
@@ -286,7 +286,7 @@ def all_oracles() -> dict[str, str]:
         "SELECT (SELECT min(seq) FROM items) AS first_seq, (SELECT seq FROM (SELECT seq, row_number() OVER "
         "(ORDER BY seq) AS rn FROM items), len WHERE rn = n) AS seq_cut, (SELECT item FROM (SELECT item, "
         "row_number() OVER (ORDER BY item) AS rn FROM items), len WHERE rn = n) AS item_cut",
-        "hash_values": f"WITH {ITEMS} SELECT seq, item, {_coin(q.SEED)} AS u, "
+        "hash_values": f"WITH {ITEMS} SELECT seq, item, {_toss(q.SEED)} / {double(DRAWS)} AS u, "
         f"CAST({_hash(a, b, q.WIDTH)} AS INT) AS h0, CAST({_hash(c, d, q.WIDTH)} AS INT) AS h1 FROM items",
         "histogram": f"WITH {ITEMS} SELECT item, count(*) AS n FROM items GROUP BY item",
         "quality_class": f"{whole} SELECT item, truth.n, CASE WHEN truth.n >= {double(q.PHI)} * len.n THEN 'frequent' "
@@ -305,12 +305,16 @@ def all_oracles() -> dict[str, str]:
         "quality_averages": f"{averages} SELECT algorithm, param, {rounded} FROM means",
         "summary": f"{averages} SELECT algorithm, param, {printed} FROM means",
         "whole_batches": f"{TAKEN} SELECT batch, item FROM taken",
-        "batch_sizes": f"{TAKEN} SELECT batch, size FROM kept",
-        "distinct_by_batch": f"{TAKEN} SELECT DISTINCT batch, item FROM taken",
-        "distinct_items": f"{TAKEN} SELECT DISTINCT item FROM taken",
+        "batch_sizes": f"{TAKEN} SELECT batch, size FROM sizes",
+        "distinct_by_batch": f"{TAKEN} SELECT DISTINCT batch, item FROM batches",
+        "distinct_items": f"{TAKEN} SELECT DISTINCT item FROM batches",
         "distinct_report": f"{TAKEN} SELECT count(*) AS items, count(DISTINCT item) AS distinct_items, "
-        "max(item) AS largest FROM taken",
+        "max(item) AS largest FROM batches",
         "stream_frequent": f"{part} {REPORT}",
+        "stream_replay": f"{part} {REPORT}",
+        "stream_text_frequent": PREFIX + stream(run, PREFIX_LENGTH, key="'0:' || seq") + REPORT,
+        "stream_native_histogram": f"WITH {ITEMS} SELECT item, count(*) AS n FROM items GROUP BY item",
+        "stream_native_distinct": f"WITH {ITEMS} SELECT DISTINCT item FROM items",
         "stream_sticky_sample": f"{part} SELECT * FROM sticky",
         "stream_batch_sizes": PREFIX.rstrip(", ")
         + ", cuts AS (SELECT unnest(range(4)) AS batch_id, (SELECT count(*) FROM items) AS n) "
@@ -320,6 +324,7 @@ def all_oracles() -> dict[str, str]:
         "whole AS (SELECT max(n * (k + 1) // 4) AS upto FROM cut WHERE n * k // 4 < n * 3 // 5) "
         "SELECT count(*) AS items, count(DISTINCT item) AS distinct_items, max(item) AS largest "
         "FROM items, whole WHERE seq < upto",
+        "run_logs_file": f"{LOG} SELECT * FROM records WHERE version <> 'unknown'",
         "run_records": f"{LOG} SELECT * FROM records",
         "objective_statistics": f"{LOG} SELECT version, dataset, ka, kb, l, round(avg(objective), 4) AS mean_objective, "
         "round(coalesce(stddev_samp(objective), 0), 4) AS std_objective FROM records GROUP BY ALL",

@@ -21,9 +21,10 @@ from fairstream.operators.selection import kth_smallest
 from fairstream.plans import experiments as ex
 from fairstream.plans import tables as tb
 from fairstream.plans.storage import scratch_path
-from fairstream.sources.files import read_docs, read_points, write_summary
+from fairstream.sources.files import read_docs, read_points, read_run_logs, write_summary
 from fairstream.sources.streams import read_item_stream
 from fairstream.streaming import jobs
+from fairstream.streaming.state import BatchState
 
 KA, KB, PARTS = 4, 3, 8
 PHI, EPSILON, DELTA, DEPTH, WIDTH, SEED = 0.018, 0.004, 0.05, 5, 60, 7
@@ -203,16 +204,17 @@ def on_items(operator: Callable[[DataFrame, fq.Frequency], DataFrame]) -> Query:
 def frequent_report(spark: SparkSession, sf: str) -> DataFrame:
     """The three answers side by side, each item with its true frequency."""
     items, run = _items(spark, sf)
-    answers = {
-        "exact": fq.true_frequent(items, run),
-        "sticky": fq.sticky_frequent(items, run),
-        "countmin": fq.countmin_frequent(items, run),
-    }
-    truth, out = fq.histogram(items), None
-    for name, found in answers.items():
-        part = fq.report(found, truth).select(F.lit(name).alias("algorithm"), "item", "true_freq")
-        out = part if out is None else out.unionByName(part)
-    return out.orderBy("algorithm", "item")
+    return _side_by_side(
+        fq.true_frequent(items, run), fq.sticky_frequent(items, run), fq.countmin_frequent(items, run), fq.histogram(items)
+    )
+
+
+def _side_by_side(exact: DataFrame, sticky: DataFrame, countmin: DataFrame, truth: DataFrame) -> DataFrame:
+    """Exact and count-min answers hold their true count already; only sticky ones are looked up."""
+    counted = sticky.select("item").join(truth, "item")
+    parts = {"exact": exact, "sticky": counted, "countmin": countmin}
+    named = [p.select(F.lit(k).alias("algorithm"), "item", F.col("n").alias("true_freq")) for k, p in parts.items()]
+    return named[0].unionByName(named[1]).unionByName(named[2]).orderBy("algorithm", "item")
 
 
 def quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -243,8 +245,8 @@ def taken(spark: SparkSession, sf: str) -> DataFrame:
     return ds.whole_batches(batches, prefix_length(batches.count()))
 
 
-def on_taken(operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf: operator(taken(spark, sf))
+def on_batches(operator: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf: operator(tb.event_batches(spark, sf))
 
 
 # streams
@@ -272,17 +274,54 @@ def _frequency_stream(spark: SparkSession, sf: str) -> tuple[str, fq.Frequency]:
 
 
 def stream_frequent(spark: SparkSession, sf: str) -> DataFrame:
+    return _stream_answers(spark, *_frequency_stream(spark, sf))
+
+
+def _stream_answers(spark: SparkSession, root: str, run: fq.Frequency) -> DataFrame:
+    return _side_by_side(
+        jobs.stream_true_frequent(spark, root, run), jobs.stream_sticky_frequent(spark, root, run),
+        jobs.stream_countmin_frequent(spark, root, run), jobs.stream_histogram(spark, root),
+    )
+
+
+def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """The same after the first and the last batch have been run a second time."""
     root, run = _frequency_stream(spark, sf)
-    answers = {
-        "exact": jobs.stream_true_frequent(spark, root, run),
-        "sticky": jobs.stream_sticky_frequent(spark, root, run),
-        "countmin": jobs.stream_countmin_frequent(spark, root, run),
-    }
-    truth, out = jobs.stream_histogram(spark, root), None
-    for name, found in answers.items():
-        part = fq.report(found, truth).select(F.lit(name).alias("algorithm"), "item", "true_freq")
-        out = part if out is None else out.unionByName(part)
-    return out.orderBy("algorithm", "item")
+    items = tb.event_items(spark, sf)
+    rows, state = items.count(), BatchState(spark, root, jobs.FREQUENCY)
+    for cut in (0, STREAM_CUTS - 1):
+        low, high = rows * cut // STREAM_CUTS, rows * (cut + 1) // STREAM_CUTS
+        jobs.update_frequency(state, items.filter((F.col("seq") >= low) & (F.col("seq") < high)), cut, run)
+    return _stream_answers(spark, root, run)
+
+
+def stream_text_frequent(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as text files of unequal size that all come in one batch; the prefix ends in the second."""
+    items = tb.event_items(spark, sf)
+    rows, inbox = items.count(), scratch_path(spark, "inbox")
+    ends = [0, rows // 10, rows * 9 // 10, rows]
+    for low, high in zip(ends, ends[1:]):
+        # a file keeps the order of its lines, so one task writes each
+        part = items.filter((F.col("seq") >= low) & (F.col("seq") < high)).repartition(1).sortWithinPartitions("seq")
+        part.select(F.col("item").cast("string").alias("value")).write.mode("append").text(inbox)
+    root, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "offsets")
+    run = frequency_run(prefix_length(rows))
+    jobs.start_frequency(read_item_stream(spark, inbox, "text"), root, checkpoint, run).awaitTermination()
+    return _stream_answers(spark, root, run)
+
+
+def _native_stream(spark: SparkSession, sf: str, operator: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
+    """A native streaming operator over the events, its last output written to the shared folder."""
+    inbox, out = scratch_path(spark, "inbox"), scratch_path(spark, "native")
+    tb.event_items(spark, sf).write.parquet(inbox)
+    made = operator(read_item_stream(spark, inbox))
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+
+    writer = made.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", scratch_path(spark, "offsets"))
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
 
 
 def stream_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -312,6 +351,13 @@ def on_records(operator: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf: operator(runs.run_records(tb.order_logs(spark, sf)))
 
 
+def run_logs_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The same logs written as files of their names, and those of known name read by glob."""
+    folder = scratch_path(spark, "logs")
+    tb.write_logs(tb.order_logs(spark, sf), folder)
+    return runs.run_records(read_run_logs(spark, f"{folder}/combined_logs_*"))
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 4) for c in columns})
 
@@ -365,14 +411,19 @@ def all_queries() -> dict[str, Query]:
         "quality_averages": quality_means,
         "summary": summary,
         "whole_batches": taken,
-        "batch_sizes": on_taken(ds.batch_sizes),
-        "distinct_by_batch": on_taken(ds.distinct_by_batch),
-        "distinct_items": on_taken(ds.distinct_items),
-        "distinct_report": on_taken(ds.distinct_report),
+        "batch_sizes": on_batches(ds.batch_sizes),
+        "distinct_by_batch": on_batches(ds.distinct_by_batch),
+        "distinct_items": on_batches(ds.distinct_items),
+        "distinct_report": on_batches(ds.distinct_report),
         "stream_frequent": stream_frequent,
+        "stream_replay": stream_replay,
+        "stream_text_frequent": stream_text_frequent,
+        "stream_native_histogram": lambda s, d: _native_stream(s, d, jobs.streaming_histogram, "complete"),
+        "stream_native_distinct": lambda s, d: _native_stream(s, d, jobs.streaming_distinct, "append"),
         "stream_sticky_sample": stream_sample,
         "stream_batch_sizes": stream_sizes,
         "stream_distinct": stream_distinct,
+        "run_logs_file": run_logs_file,
         "run_records": on_records(lambda r: r),
         "objective_statistics": on_records(
             lambda r: _rounded(runs.objective_statistics(r), "mean_objective", "std_objective")

@@ -101,3 +101,20 @@ def order_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter(F.col("value").isNotNull())
         .select("file", "chunk", (key * 8 + F.col("place")).alias("line"), "value")
     )
+
+
+def write_logs(lines: DataFrame, folder: str) -> None:
+    """Each ``file`` of ``lines`` as one text file of that name.
+
+    Spark chooses the names of the files it writes, so each goes to a folder of its own and is
+    then renamed within the shared store.
+    """
+    spark = lines.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = lambda *names: hadoop.Path("/".join((folder, *names)))
+    files = at().getFileSystem(spark._jsc.hadoopConfiguration())
+    for (name,) in lines.select("file").distinct().collect():
+        own = lines.filter(F.col("file") == name).repartition(1).sortWithinPartitions("chunk", "line")
+        own.select("value").write.text(f"{folder}/parts/{name}")
+        part = next(p for p in files.listStatus(at("parts", name)) if p.getPath().getName().startswith("part-"))
+        files.rename(part.getPath(), at(name))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fairstream.functions.parsing import parse_items
 
@@ -14,11 +15,18 @@ def read_item_stream(
 ) -> DataFrame:
     """Items from files as they arrive, oldest first.
 
-    ``parquet`` carries ``seq, item``. ``text`` has one integer a line and no ``seq``.
+    ``parquet`` carries ``seq, item``. ``text`` has one integer a line and no ``seq``; its
+    ``arrival`` says where a line comes from: modification time and path of its file, and the
+    start of its split.
     """
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if format == "text":
-        return parse_items(reader.text(path))
+        arrival = F.struct(
+            F.col("_metadata.file_modification_time").alias("time"),
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_block_start").alias("split"),
+        )
+        return parse_items(reader.text(path).select("value", arrival.alias("arrival")))
     return reader.schema(ITEMS).format(format).load(path)

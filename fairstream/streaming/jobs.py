@@ -65,6 +65,7 @@ def start_distinct(
 def update_distinct(state: BatchState, batch: DataFrame, batch_id: int, threshold: int) -> None:
     _, total = state.last_before(batch_id)
     if total >= threshold:
+        state.commit(batch_id, 0, total)
         return
     # one aggregation gives the distinct items and, as the sum of their counts, the batch size
     counted = batch.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
@@ -99,7 +100,7 @@ def start_frequency(
 ) -> StreamingQuery:
     """Histogram, sticky sample and count-min of exactly the first ``run.n`` items.
 
-    Without a ``seq`` column the order of the lines in the source's files is used.
+    Without a ``seq`` column the order of arrival is that of the source's files and their lines.
     """
     state = BatchState(items.sparkSession, root, FREQUENCY)
 
@@ -112,15 +113,22 @@ def start_frequency(
 def update_frequency(state: BatchState, batch: DataFrame, batch_id: int, run: Frequency) -> None:
     previous, total = state.last_before(batch_id)
     if total >= run.n:
+        state.commit(batch_id, 0, total)
         return
     if "seq" in batch.columns:
         toss = F.col("seq").cast("string")
         batch = batch.select("seq", "item")
     else:
         toss = F.concat(F.lit(f"{batch_id}:"), F.col("seq").cast("string"))
-        batch = batch.select(F.monotonically_increasing_id().alias("seq"), "item")
-    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        line = F.monotonically_increasing_id()  # rises within a split
+        if "arrival" in batch.columns:
+            batch = batch.select("arrival.*", line.alias("line"), "item")
+        else:
+            batch = batch.select(line.alias("seq"), "item")
+    held = batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        if "line" in batch.columns:
+            batch = in_order(batch)
         size, room = batch.count(), run.n - total
         if size > room:
             kept, size = batch.filter(F.col("seq") <= kth_smallest(batch, "seq", room)), room
@@ -139,15 +147,29 @@ def update_frequency(state: BatchState, batch: DataFrame, batch_id: int, run: Fr
             )
         )
         # matrix rows are running totals: a batch reads the last one only
-        before = state.read("matrix").filter(F.col("batch_id") == previous).select("r", "c", "n")
+        before = state.read_batch("matrix", previous)
         now = before.unionByName(countmin_matrix(kept, run)).groupBy("r", "c").agg(F.sum("n").alias("n"))
         crossed = cell_crossings(kept, [run], before.withColumn("run", F.lit(0)))
         state.write_all(
-            batch_id, items=items, crossings=crossed.drop("run"), matrix=now.coalesce(1)
+            batch_id, items=items, crossings=crossed.drop("run"), matrix=now
         )
         state.commit(batch_id, size, total + size)
     finally:
-        batch.unpersist()
+        held.unpersist()
+
+
+def in_order(lines: DataFrame) -> DataFrame:
+    """``time, path, split, line, item`` -> ``seq, item``, dense from 0: by time and path of the file, then by line.
+
+    Lines are numbered within their split, splits by a running sum over their few counts, so
+    the numbers do not depend on how files are split or packed into tasks.
+    """
+    split = ["time", "path", "split"]
+    sizes = lines.groupBy(*split).agg(F.count(F.lit(1)).alias("size"), F.min("line").alias("first"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)) - F.col("first"))
+    placed = lines.join(starts.select(*split, "start"), split)
+    return placed.select((F.col("start") + F.col("line")).alias("seq"), "item")
 
 
 def stream_histogram(spark: SparkSession, root: str) -> DataFrame:

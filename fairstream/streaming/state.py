@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +46,25 @@ class BatchState:
         schema = f"{self.schemas[table]}, batch_id bigint"
         return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
 
+    def read_batch(self, table: str, batch_id: int) -> DataFrame:
+        """One batch by its path, without listing the others; empty if it was not written."""
+        schema = self.schemas[table]
+        try:
+            return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/batch_id={batch_id}")
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], schema)
+
     def last_before(self, batch_id: int) -> tuple[int, int]:
-        """Latest committed batch before this one and the stream length after it."""
+        """Latest committed batch before this one and the stream length after it.
+
+        That is the batch just before, found by its path: batches follow on one another and
+        each commits. Only a state that was begun later, or torn, is searched.
+        """
+        newest = self.read_batch("sizes", batch_id - 1).head()
+        if newest:
+            return batch_id - 1, newest.total
         row = (
             self.read("sizes")
             .filter(F.col("batch_id") < batch_id)

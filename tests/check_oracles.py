@@ -59,7 +59,7 @@ def main() -> int:
     con, bad = database(sf_dir), 0
     oracles = entry.oracle_sql()
     for name, query in entry.queries().items():
-        if sys.argv[2:] and name not in sys.argv[2:]:
+        if name not in oracles or sys.argv[2:] and name not in sys.argv[2:]:
             continue
         start = time.time()
         try:

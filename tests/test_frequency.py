@@ -25,7 +25,7 @@ def frame(spark, items, parts=5):
 
 
 def heads(seed, key):
-    return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:8], 16) / 2**32
+    return int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:15], 16)
 
 
 def simulate(items, run, key=lambda i: i):
@@ -36,7 +36,7 @@ def simulate(items, run, key=lambda i: i):
         exact[x] += 1
         if x in sticky:
             sticky[x] += 1
-        elif heads(run.seed, key(i)) <= run.chance:
+        elif heads(run.seed, key(i)) <= run.winning:
             sticky[x] = 1
         least = float("inf")
         for row, (a, b) in zip(matrix, run.pairs):
@@ -147,7 +147,7 @@ def test_hash_is_never_negative(spark):
 def test_coin_is_reproducible(spark):
     df = spark.range(100)
     got = {r.id: r.u for r in df.select("id", coin(9, "id").alias("u")).collect()}
-    assert got == {i: heads(9, i) for i in range(100)}
+    assert got == {i: heads(9, i) / 2**60 for i in range(100)}
 
 
 def test_classes(spark):
@@ -209,3 +209,14 @@ def test_batches_are_taken_whole(spark, threshold, kept):
     assert {r.batch: r["size"] for r in distinct.batch_sizes(df).collect()} == Counter(
         b for b, _ in rows if b < kept
     )
+
+
+def test_small_chances_keep_their_size():
+    run = fq.Frequency(10**13, 0.02, 0.01)
+    assert run.winning == int(run.chance * 2**60) and abs(run.winning / 2**60 / run.chance - 1) < 1e-7
+
+
+def test_prefix_with_gaps(spark):
+    items = frame(spark, range(50)).selectExpr("seq * 9 + 4 AS seq", "item")
+    assert sorted(r.item for r in fq.stream_prefix(items, 5).collect()) == [0, 1, 2, 3, 4]
+    assert fq.stream_prefix(items, 0).count() == 0 and fq.stream_prefix(items, 99).count() == 50

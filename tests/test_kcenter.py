@@ -156,10 +156,28 @@ def test_folded_distances_change_nothing(spark, monkeypatch):
         assert ids(in_step) == brute(points, 6, 5)
 
 
-def test_ragged_points_are_an_error(spark):
-    df = spark.createDataFrame([(0, [1.0], "A"), (1, [1.0, 2.0], "B")], SCHEMA)
+@pytest.mark.parametrize("rows", [
+    [(0, [1.0], "A"), (1, [1.0, 2.0], "B")],
+    [(0, [1.0, 2.0], "A"), (1, [5.0], "A"), (2, [7.0, 8.0, 9.0], "B"), (3, [0.0, 0.0], "B")],
+    [(0, [1.0, 2.0], "A"), (1, [float("nan"), 2.0], "B")],
+    [(0, [1.0, 2.0], "A"), (1, [1.0, float("-inf")], "B")],
+])
+@pytest.mark.parametrize("bytes_", [0, kcenter.GROUP_BYTES])
+def test_ragged_and_infinite_points_are_an_error_on_every_path(spark, rows, bytes_):
+    df = spark.createDataFrame(rows, SCHEMA)
     with pytest.raises(ValueError):
         fair_fft(df, 1, 1)
+    with pytest.raises(ValueError):
+        mr_fair_fft(df, 1, 1, 2, group_bytes=bytes_)
+    with pytest.raises(ValueError):
+        local_centers(with_part(df, 2), 1, 1, 2, group_bytes=bytes_)
+
+
+@pytest.mark.parametrize("count", [256, 257, 4100])
+def test_centers_need_no_rank(spark, count):
+    centers = spark.range(count).selectExpr("array(CAST(id * 2 AS DOUBLE)) AS coords")
+    points = spark.createDataFrame([(0, [5.25], "A"), (1, [-3.0], "B")], SCHEMA)
+    assert {r.id: r.distance for r in radius.nearest_center(points, centers).collect()} == {0: 0.75, 1: 3.0}
 
 
 @pytest.mark.parametrize("terms,block", [(256, 4096), (0, 4096), (0, 2)])

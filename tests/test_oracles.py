@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 from tests.check_oracles import database, difference
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = entry.all_queries(), entry.oracles.all_oracles()
 
 
 @pytest.fixture(scope="module")

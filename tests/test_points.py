@@ -12,7 +12,7 @@ def test_points_are_stripped_and_typed(lines):
     assert [(r.coords, r.label) for r in rows] == [([1.0, 2.5, -300.0], "A"), ([0.0, 0.0, 0.0], "C")]
 
 
-@pytest.mark.parametrize("bad", ["1,x,A", "1,,A", "", "   ", "A"])
+@pytest.mark.parametrize("bad", ["1,x,A", "1,,A", "", "   ", "A", "1.0d,2,A", "1,2f,A", "1,2D ,A"])
 @pytest.mark.parametrize("ansi", ["true", "false"])
 def test_bad_points_fail_the_job(spark, lines, bad, ansi):
     before = spark.conf.get("spark.sql.ansi.enabled")
@@ -52,3 +52,8 @@ def test_every_other_label_counts_as_the_second_group(lines):
 def test_parts_cover_all_points_evenly(spark):
     parts = with_part(spark.range(-5, 95).select(F.col("id")), 7).groupBy("part").count().collect()
     assert {r.part for r in parts} == set(range(7)) and max(r["count"] for r in parts) <= 15
+
+
+def test_all_blanks_are_stripped_and_infinite_numbers_stay(lines):
+    rows = parse_points(lines("1,2,A\u00a0", "\u2003inf,3e1,1.5d\x85")).orderBy("id").collect()
+    assert [(r.coords, r.label) for r in rows] == [([1.0, 2.0], "A"), ([float("inf"), 30.0], "1.5d")]

@@ -92,3 +92,10 @@ def test_summary_sink(spark, tmp_path):
         "param,frequent,almost,rare,size\n15.0,10.00,0.00,1234.50,1244.50\n",
         "param,frequent,almost,rare,size\n0.01,10.00,3.67,0.00,35.00\n",
     ]
+
+
+def test_version_by_file_name_and_no_empty_data_set(spark):
+    log = ["=== FILE: a_2.log ===", *section("Artificial.csv", 1.0, 5), *section("ArtificialX.csv", 2.0, 6)]
+    files = {"/x/combined_logs_old/combined_logs_v1.txt": log}
+    found = [(r.version, r.dataset, r.runtime_ms) for r in runs.run_records(lines(spark, files, 3)).collect()]
+    assert found == [("v1", "X", 6)]

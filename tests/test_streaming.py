@@ -138,3 +138,27 @@ def test_native_operators(spark, tmp_path):
     exact = simulate(items, RUN)[0]
     assert pairs(spark.table("native_histogram")) == exact
     assert sorted(r.item for r in spark.table("native_distinct").collect()) == sorted(exact)
+
+
+@pytest.mark.parametrize("bytes_", ["128m", "40b"])
+def test_text_files_of_one_batch_come_in_order(spark, tmp_path, bytes_):
+    """Whatever their sizes and splits: a large file in the middle, n inside it."""
+    items = skewed(900, seed=12)
+    source = ordered_files(tmp_path / "in", [3, 850, 47], items, "text")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", bytes_ if bytes_ != "40b" else "700b")
+    try:
+        root = str(tmp_path / "state")
+        stream = read_item_stream(spark, source, "text")
+        jobs.start_frequency(stream, root, str(tmp_path / "check"), RUN).awaitTermination()
+        check(spark, root, items, key=lambda i: f"0:{i}")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_batch_finds_the_one_before_by_its_path(spark, tmp_path):
+    state = BatchState(spark, str(tmp_path / "state"), jobs.FREQUENCY)
+    for batch_id in range(12):
+        state.commit(batch_id, 5, 5 * (batch_id + 1))
+    assert len(state.read_batch("sizes", 9).inputFiles()) == 1
+    assert state.last_before(10) == (9, 50) and state.last_before(20) == (11, 60) and state.last_before(0) == (-1, 0)
