@@ -26,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LETTERS = regex.compile(r"\p{L}+")
 ORDERS = (4, 3, 2, 1)
-CACHED_WORDS = 100_000
+CACHED_WORDS = 60_000
 CHUNK = 1 << 15
 
 
@@ -78,16 +78,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(labelled: DataFrame, max_rows: int = 8_000, max_entries: int = 100_000) -> Model:
+def fit(labelled: DataFrame, max_rows: int = 4_000, max_entries: int = 50_000) -> Model:
     """A model from ``doc_id, text, lang``; rows without text or lang teach nothing.
 
     ``max_rows`` bounds the expected size of the sample it learns from (rows are taken by a hash
     of the id), ``max_entries`` the words and, apart, the n-grams it keeps: those most frequent
     within their language. Without labelled rows the model knows no language.
     """
-    rows = labelled.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
-    share = min(1.0, max_rows / max(1, rows.count()))
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    rows = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL")
+    share = min(1.0, max_rows / max(1, rows.count()))  # reads no text
+    rows = rows.filter("text IS NOT NULL").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     counted = rows.select(F.col("lang").cast("string"), "text").mapInArrow(_count, "lang string, is_word boolean, gram string, n bigint")
     counts = cut(counted.groupBy("lang", "is_word", "gram").agg(F.sum("n").alias("n")))
     totals = {(r.lang, r.is_word): r.n for r in counts.groupBy("lang", "is_word").agg(F.sum("n").alias("n")).toLocalIterator()}

@@ -22,7 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLANK = "▁"
 WORDS = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 UNKNOWN_PENALTY = 10.0
-CACHED_WORDS = 80_000
+CACHED_WORDS = 60_000
 LOWEST = float("-inf")
 
 
@@ -34,7 +34,7 @@ def words_of(text: str) -> list[str]:
 
 
 class Remembered(dict):
-    """Word -> what ``find`` says of it. Of words not met for long it forgets; call ``rest`` between texts."""
+    """Word -> what ``find`` says of it with its blank sign. Of words not met for long it forgets; call ``rest`` between texts."""
 
     def __init__(self, find: Callable[[str], object]):
         super().__init__()
@@ -43,7 +43,7 @@ class Remembered(dict):
     def __missing__(self, word: str):
         found = self.older.get(word)
         if found is None:
-            found = self.find(word)
+            found = self.find(BLANK + word)
         self[word] = found
         return found
 
@@ -53,8 +53,8 @@ class Remembered(dict):
             self.clear()
 
 
-class Pieces:
-    """The pieces of a model file: an identity-normalising one with dummy prefix and byte fallback."""
+class Segmenter:
+    """The automaton over the pieces of a model file: an identity-normalising one with dummy prefix and byte fallback."""
 
     def __init__(self, model_file: str):
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -75,10 +75,9 @@ class Pieces:
                 self.singles.add(name)
         self.automaton.make_automaton()
         self.unknown = lowest - UNKNOWN_PENALTY
-        self.ids = Remembered(lambda word: self.segment(BLANK + word))
 
     def segment(self, word: str) -> tuple[int, ...]:
-        """Ids of the segmentation with the best sum of scores, of equal ones that with the longer last piece."""
+        """Ids of the segmentation of a whole word with the best sum of scores, of equal ones that with the longer last piece."""
         if not self.singles.issuperset(word):
             return self.segment_unknown(word)
         # best[i] ends behind sign i; best[-1], the last of the list, is the start
@@ -117,6 +116,18 @@ class Pieces:
             at -= length
         return tuple(reversed(ids))
 
+
+class Pieces:
+    """Encoding and decoding of texts; words that were met are remembered.
+
+    What remembers does not point back here, so all of it is freed at the end of a task.
+    """
+
+    def __init__(self, model_file: str):
+        self.segmenter = Segmenter(model_file)
+        self.names, self.bytes = self.segmenter.names, self.segmenter.bytes
+        self.ids = Remembered(self.segmenter.segment)
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []

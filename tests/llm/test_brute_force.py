@@ -192,9 +192,9 @@ def test_viterbi(text):
     assert PIECES.decode(ids) == text.replace("▁", " ")
     whole = "▁" + text.replace(" ", "▁")
     known = [PIECES.names[i] for i in ids if i not in PIECES.bytes]
-    unknown = sum(c not in PIECES.singles for c in whole) - sum(c not in PIECES.singles for c in "".join(known))
-    got = sum(SCORES[n] for n in known) + unknown * PIECES.unknown
-    assert got == pytest.approx(_plain_viterbi(whole, SCORES, PIECES.unknown))
+    unknown = sum(c not in PIECES.segmenter.singles for c in whole) - sum(c not in PIECES.segmenter.singles for c in "".join(known))
+    got = sum(SCORES[n] for n in known) + unknown * PIECES.segmenter.unknown
+    assert got == pytest.approx(_plain_viterbi(whole, SCORES, PIECES.segmenter.unknown))
 
 
 PIECES = pieces.Pieces(tokenizer_file())
