@@ -95,12 +95,22 @@ def cell_keys(unit: np.ndarray) -> np.ndarray:
     return keys
 
 
-def units(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
+def units(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def packed(x: np.ndarray) -> list[bytes]:
+    """Rows as bytes, in half the space where single precision holds them exactly."""
+    short = x.astype(np.float32)
+    kept = short if (short == x).all() else x
+    return [row.tobytes() for row in kept]
+
+
+def unpacked(rows: list[bytes], dims: int) -> np.ndarray:
+    return np.array([np.frombuffer(r, np.float32 if len(r) == 4 * dims else np.float64) for r in rows], np.float64)
+
+
 def _cells(with_vectors: bool):
     """Classes ``id, label, copies, embedding`` -> rows of ``ROW``, or only ``label, cell``."""
 
@@ -113,8 +123,8 @@ def _cells(with_vectors: bool):
                 rows = np.flatnonzero(lengths == dims)
                 for start in range(0, len(rows), 512):
                     part = rows[start : start + 512]
-                    unit = units([values[i] for i in part])
-                    keys = cell_keys(unit)
+                    x = np.array([values[i] for i in part], np.float64)
+                    keys = cell_keys(units(x))
                     n, each = len(part), TABLES * (1 + PARTS)
                     # vectors of different length never meet, as their label differs
                     label = batch.column(1).take(pa.array(np.repeat(part, each)))
@@ -122,7 +132,7 @@ def _cells(with_vectors: bool):
                     if with_vectors:
                         at = np.tile(np.repeat(np.arange(TABLES), 1 + PARTS), n)
                         home = np.tile(np.arange(1 + PARTS) == 0, n * TABLES)
-                        own = [pa.array([m[i].tobytes() for i in range(n)], pa.binary()).take(pa.array(np.repeat(np.arange(n), each))) for m in (keys, unit)]
+                        own = [pa.array(m, pa.binary()).take(pa.array(np.repeat(np.arange(n), each))) for m in ([k.tobytes() for k in keys], packed(x))]
                         ids = [batch.column(c).take(pa.array(np.repeat(part, each))) for c in (0, 2)]
                         columns += [pa.array(home), pa.array(at.astype(np.int32)), *ids, *own]
                     names = [c.split()[0] for c in ROW.split(", ")][: len(columns)]
@@ -163,7 +173,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def group(rows: pa.Table) -> tuple | None:
         at = rows["at"].to_numpy()
         home = rows["home"].to_numpy(zero_copy_only=False)
-        unit = np.frombuffer(b"".join(rows["vector"].to_pylist()), np.float64).reshape(len(at), -1)
+        # the label begins with the length of its vectors
+        unit = units(unpacked(rows["vector"].to_pylist(), int(rows["label"][0].as_py().split(":")[0])))
         keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.int64).reshape(len(at), TABLES, 1 + PARTS)
         ids, copies, side = (rows[c].to_numpy() for c in ("id", "copies", "side"))
         cell = rows["cell"][0].as_py()
