@@ -3,7 +3,8 @@
 For few terms the sum is written out per center and coordinate, which stays inside
 whole-stage codegen (about five times faster than the lambda form at ten centers in seven
 dimensions). Above ``MAX_TERMS`` the generated method would outgrow what the JIT compiles, and
-the lambda form takes over. Both add the coordinates in the same order and agree to the bit.
+known centers are measured in Arrow batches; the lambda form is for distances between columns.
+All add the coordinates in the same order and agree to the bit.
 """
 
 from __future__ import annotations
@@ -11,9 +12,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fairstream.functions.nearest import nearest_in_batches
+
 MAX_TERMS = 256
 
 
@@ -42,25 +46,21 @@ def squared_distance(x: Column | str, c: Column | str) -> Column:
     return lambda_distance(as_col(x), as_col(c))
 
 
-def nearest_to_literals(centers: Sequence[Sequence[float]], carried: str | None = None) -> Column:
+def nearest_to_known(centers: Sequence[Sequence[float]], terms: int | None = None) -> Column:
     """Squared distance from ``coords`` to the closest of some known centers.
 
-    ``carried`` names a column with the distance to earlier centers.
+    ``terms``, by default the number of products, decides between literals and Arrow batches; a
+    caller that will ask for more and more centers passes what it will come to.
     """
-    terms = [carried] if carried else []
-    if sum(len(c) for c in centers) <= MAX_TERMS:
-        for center in centers:
-            terms.append(_written_out([(f"coords[{i}]", double_sql(v)) for i, v in enumerate(center)]))
-        return _smallest(terms)
-    rows = ", ".join(f"array({', '.join(map(double_sql, c))})" for c in centers)
-    return nearest_in_array(F.expr(f"array({rows})"), carried)
+    if (sum(map(len, centers)) if terms is None else terms) > MAX_TERMS:
+        return nearest_in_batches(F.col("coords"), np.array(centers, dtype=float))
+    return _smallest([_written_out([(f"coords[{i}]", double_sql(v)) for i, v in enumerate(c)]) for c in centers])
 
 
-def nearest_in_array(centers: Column, carried: str | None = None) -> Column:
+def nearest_in_array(centers: Column) -> Column:
     """The same against an ``array<array<double>>`` column of any length."""
-    start = F.col(carried) if carried else F.lit(float("inf"))
     return F.aggregate(
-        centers, start, lambda best, c: F.least(best, lambda_distance(F.col("coords"), c))
+        centers, F.lit(float("inf")), lambda best, c: F.least(best, lambda_distance(F.col("coords"), c))
     )
 
 

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from fairstream.functions.distance import MAX_TERMS, nearest_in_state, nearest_to_literals
+from fairstream.functions.distance import MAX_TERMS, nearest_in_state, nearest_to_known
 from fairstream.functions.hashing import draw
+from fairstream.functions.nearest import nearest_by_part
 from fairstream.functions.traversal import farthest_first, first_of_best
 from fairstream.operators.points import is_a, with_part
 from fairstream.plans.storage import cut, stored
@@ -55,11 +56,10 @@ def _farthest(eligible: Column, md: Column) -> Column:
 def fair_fft(points: DataFrame, ka: int, kb: int, first: str | int = "min_id") -> DataFrame:
     """Exact traversal over all points: one scan and one global ``max_by`` per center.
 
-    Nothing is shuffled but one row per task, and no distances are stored: every pass computes
-    them again from the centers so far, which come as literals. When these grow past
-    ``MAX_TERMS`` products per point, the distance so far is written once to the shared folder
-    and the next passes start from that column. Keep ``points`` in Parquet or persisted, since
-    it is scanned ``ka + kb`` times.
+    Nothing is shuffled but one row per task, and nothing is written: every pass computes the
+    distances again from the centers so far, as literals in generated code or, past
+    ``MAX_TERMS`` products per point, on Arrow batches. Keep ``points`` in Parquet or
+    persisted, since it is scanned ``ka + kb`` times.
     """
     spark = points.sparkSession
     base = points.select("id", "coords", "label")
@@ -68,20 +68,15 @@ def fair_fft(points: DataFrame, ka: int, kb: int, first: str | int = "min_id") -
         return spark.createDataFrame([], CENTERS)
     _checked(top)
 
-    left = {True: ka, False: kb}
-    chosen, recent, carried = [], [], None
-    pick = top.pick
+    left, total = {True: ka, False: kb}, min(ka + kb, top.n)
+    chosen, pick = [], top.pick
     while True:
         chosen.append(pick)
-        recent.append(pick)
         left[pick.label == "A"] -= 1
-        if len(chosen) >= min(ka + kb, top.n):
+        if len(chosen) >= total:
             break
-        unchosen = base.filter(~F.col("id").isin([p.id for p in recent]))
-        md = nearest_to_literals([p.coords for p in recent], carried)
-        if len(recent) > 1 and (len(recent) + 1) * top.high > MAX_TERMS:
-            base = stored(unchosen.select("id", "coords", "label", md.alias("md")), "distances")
-            unchosen, md, recent, carried = base, F.col("md"), [], "md"
+        unchosen = base.filter(~F.col("id").isin([p.id for p in chosen]))
+        md = nearest_to_known([p.coords for p in chosen], total * top.high)
         if left[True] > 0 and left[False] > 0:
             eligible = F.lit(True)
         else:
@@ -202,7 +197,8 @@ def _solve_in_step(
     """All parts at once, one pass per center, for parts too large for a task.
 
     The state is one row per part in the shared folder. It is broadcast while its size, known
-    from the parameters, allows; beyond that the join is left to the optimizer.
+    from the parameters, allows; beyond that the join is left to the optimizer. Many centers
+    of a state that small go with the closure and are measured in Arrow batches.
     """
     points = points.select("part", "id", "coords", "label")
     total = max(1, ka + kb)
@@ -211,6 +207,7 @@ def _solve_in_step(
         .agg(_first_point(first).alias("pick"))
         .select("part", F.array("pick").alias("picks"), *_budgets(F.lit(ka), F.lit(kb), F.col("pick")))
     )
+    small = state.count() * total * (8 * dims + 48) <= BROADCAST_BYTES
     for count in range(1, total):
         known = state.select(
             "part",
@@ -219,7 +216,13 @@ def _solve_in_step(
             F.col("picks.id").alias("ids"),
             F.col("picks.coords").alias("centers"),
         )
-        if state.count() * total * (8 * dims + 48) <= BROADCAST_BYTES:
+        if small and count * dims > MAX_TERMS:
+            rows = state.select("part", F.col("picks.coords").alias("centers")).collect()
+            md = nearest_by_part(F.col("part"), F.col("coords"), {r.part: np.array(r.centers) for r in rows})
+            known = known.drop("centers")
+        else:
+            md = nearest_in_state("centers", count, dims)
+        if small:
             known = F.broadcast(known)
         eligible = F.col("any_group") | (is_a() == F.col("want_a"))
         found = (
@@ -228,7 +231,7 @@ def _solve_in_step(
             .select(
                 *points.columns,
                 eligible.alias("eligible"),
-                nearest_in_state("centers", count, dims).alias("md"),
+                md.alias("md"),
             )
             .groupBy("part")
             .agg(_farthest(F.col("eligible"), F.col("md")).alias("pick"))

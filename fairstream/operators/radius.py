@@ -5,35 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairstream.functions.distance import MAX_TERMS, nearest_in_array, nearest_to_literals
+from fairstream.functions.distance import MAX_TERMS, nearest_to_known
+from fairstream.functions.nearest import nearest_in_batches
 from fairstream.plans.storage import stored
 
-BLOCK = 4096
+CENTER_BYTES = 64 << 20
 
 
 def _with_squared(points: DataFrame, centers: DataFrame) -> DataFrame:
     """Add ``md``, the squared distance to the closest center, in one narrow pass.
 
-    A handful of centers becomes literals. Up to ``BLOCK`` become one array, a scalar subquery
-    Spark evaluates once. More are dealt by hash into blocks of about that many, with the
-    distance so far written to the shared folder in between, so what each pass ships stays bounded.
+    A handful of centers becomes literals; more travel in the closure of an Arrow function, up to
+    ``CENTER_BYTES``. Only beyond that are they dealt by hash into blocks of about that size,
+    with the distance so far written to the shared folder in between.
     """
-    few = centers.select("coords").limit(MAX_TERMS + 1).collect()
-    if not few:
+    shape = centers.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("coords")).alias("low"), F.max(F.size("coords")).alias("high")).head()
+    if not shape.n:
         raise ValueError("no centers")
-    if len(few) <= MAX_TERMS and sum(len(r.coords) for r in few) <= MAX_TERMS:
-        return points.withColumn("md", nearest_to_literals([r.coords for r in few]))
-    blocks = -(-centers.count() // BLOCK) if len(few) > MAX_TERMS else 1
-    dealt = centers.withColumn("block", F.pmod(F.xxhash64("coords"), F.lit(blocks)))
+    if shape.low != shape.high:
+        raise ValueError(f"centers have between {shape.low} and {shape.high} coordinates")
+    if shape.n * max(1, shape.high) <= MAX_TERMS:
+        return points.withColumn("md", nearest_to_known([r.coords for r in centers.select("coords").collect()]))
+    blocks = -(-shape.n * 8 * max(1, shape.high) // CENTER_BYTES)
+    dealt = centers.select("coords", F.pmod(F.xxhash64("coords"), F.lit(blocks)).alias("block"))
     out, carried = points, None
     for number in range(blocks):
-        block = dealt.filter(F.col("block") == number)
-        as_array = block.agg(F.collect_list("coords").alias("all")).scalar()
-        if carried:
+        block = dealt.filter(F.col("block") == number).select("coords").toArrow()["coords"].combine_chunks()
+        if not len(block):
+            continue
+        if carried is not None:
             out = stored(out, "distances")
-        md = nearest_in_array(F.col("block"), carried)
-        out = out.withColumn("block", as_array).withColumn("md", md).drop("block")
-        carried = "md"
+        known = block.flatten().to_numpy().reshape(len(block), shape.high)
+        out = out.withColumn("md", nearest_in_batches(F.col("coords"), known, carried))
+        carried = F.col("md")
     return out
 
 

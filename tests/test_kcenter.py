@@ -180,10 +180,10 @@ def test_centers_need_no_rank(spark, count):
     assert {r.id: r.distance for r in radius.nearest_center(points, centers).collect()} == {0: 0.75, 1: 3.0}
 
 
-@pytest.mark.parametrize("terms,block", [(256, 4096), (0, 4096), (0, 2)])
-def test_nearest_center_and_radius(spark, monkeypatch, terms, block):
+@pytest.mark.parametrize("terms,bytes_", [(256, 64 << 20), (0, 64 << 20), (0, 40)])
+def test_nearest_center_and_radius(spark, monkeypatch, terms, bytes_):
     monkeypatch.setattr(radius, "MAX_TERMS", terms)
-    monkeypatch.setattr(radius, "BLOCK", block)
+    monkeypatch.setattr(radius, "CENTER_BYTES", bytes_)
     points = cloud(40, 3, 14)
     df = frame(spark, points)
     centers = fair_fft(df, 3, 2)
@@ -211,6 +211,6 @@ def test_passes_scan_without_shuffling_points(spark, tmp_path):
     """The per-center plan has one exchange, to a single partition, of partial results."""
     frame(spark, cloud(20, 2, 16)).write.parquet(str(tmp_path / "p"))
     df = spark.read.parquet(str(tmp_path / "p"))
-    step = df.agg(kcenter._farthest(df.id > 0, distance.nearest_to_literals([[1.0, -2.0]])))
+    step = df.agg(kcenter._farthest(df.id > 0, distance.nearest_to_known([[1.0, -2.0]])))
     plan = step._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Exchange SinglePartition" in plan
