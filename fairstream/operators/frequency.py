@@ -122,15 +122,19 @@ def first_sampled(
     return _small(firsts, firsts.count())
 
 
-def sticky_samples(items: DataFrame, runs: Sequence[Frequency]) -> DataFrame:
-    """``run, item, n`` for several runs at once: two scans of the items, not two per run."""
-    hits = items.join(first_sampled(items, runs), "item").filter("seq >= first_seq")
-    return hits.groupBy("run", "item").agg(F.count(F.lit(1)).alias("n"))
+def sticky_samples(items: DataFrame, runs: Sequence[Frequency], firsts: DataFrame | None = None) -> DataFrame:
+    """``run, item, n, true_freq`` for several runs at once: two scans of the items, not two per run.
+
+    ``firsts`` is ``first_sampled`` of these runs, if it is at hand.
+    """
+    met = items.join(first_sampled(items, runs) if firsts is None else firsts, "item")
+    since = F.count_if(F.col("seq") >= F.col("first_seq"))
+    return met.groupBy("run", "item").agg(since.alias("n"), F.count(F.lit(1)).alias("true_freq"))
 
 
 def sticky_sample(items: DataFrame, run: Frequency) -> DataFrame:
     """``item, n``: occurrences from the first sampled one on; earlier ones are lost."""
-    return sticky_samples(items, [run]).drop("run")
+    return sticky_samples(items, [run]).select("item", "n")
 
 
 def sticky_frequent(items: DataFrame, run: Frequency) -> DataFrame:

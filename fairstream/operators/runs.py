@@ -75,34 +75,38 @@ def run_records(lines: DataFrame) -> DataFrame:
 
     A run is the stretch of lines up to a runtime line. It takes the last configuration and
     objective of that stretch and the last header of the file so far; a run that lacks one of
-    them, or has an empty data set name, gives no row. Lines are numbered by run and by header with counts inside each chunk
-    plus a running sum over chunks, so no task needs a whole file. The few lines that matter
+    them, or has an empty data set name, gives no row. Lines are numbered by run, and carry the last header, inside each chunk
+    and then over chunks, so no task needs a whole file. The few lines that matter
     are parsed once and kept as a table, since counting and carrying both read them. An incomplete run does not
     lend its values to the next one, which matters for malformed logs only.
     """
     marks = stored(log_marks(lines), "marks")
-    is_run, is_header = F.col("runtime_ms").isNotNull(), F.col("workers").isNotNull()
+    is_run = F.col("runtime_ms").isNotNull()
     in_chunk = Window.partitionBy("file", "chunk").orderBy("line")
     before_line = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
+    up_to_line = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier_chunks = (
         Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     )
     starts = (
         marks.groupBy("file", "chunk")
-        .agg(F.count_if(is_run).alias("runs"), F.count_if(is_header).alias("headers"))
+        .agg(
+            F.count_if(is_run).alias("runs"),
+            F.max_by("workers", F.when(F.col("workers").isNotNull(), F.col("line"))).alias("last_workers"),
+        )
         .select(
             "file",
             "chunk",
             F.coalesce(F.sum("runs").over(earlier_chunks), F.lit(0)).alias("runs_start"),
-            F.coalesce(F.sum("headers").over(earlier_chunks), F.lit(0)).alias("headers_start"),
+            F.last("last_workers", ignorenulls=True).over(earlier_chunks).alias("workers_start"),
         )
     )
     numbered = (
         marks.withColumn("runs_in", F.count_if(is_run).over(before_line))
-        .withColumn("headers_in", F.count_if(is_header).over(in_chunk))
+        .withColumn("workers_in", F.last("workers", ignorenulls=True).over(up_to_line))
         .join(starts, ["file", "chunk"])
         .withColumn("run", F.col("runs_start") + F.col("runs_in"))
-        .withColumn("header", F.col("headers_start") + F.col("headers_in"))
+        .withColumn("workers", F.coalesce("workers_in", "workers_start"))
     )
     at = F.struct("chunk", "line")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at))
@@ -112,12 +116,11 @@ def run_records(lines: DataFrame) -> DataFrame:
             last("config").alias("config"),
             last("objective").alias("objective"),
             F.max("runtime_ms").alias("runtime_ms"),
-            F.max(F.when(is_run, F.col("header"))).alias("header"),
+            F.max(F.when(is_run, F.col("workers"))).alias("workers"),
         )
-        .filter("config.dataset <> '' and objective is not null and runtime_ms is not null")
+        .filter("config.dataset <> '' and objective is not null and runtime_ms is not null and workers is not null")
     )
-    headers = numbered.filter(is_header).select("file", "header", "workers")
-    return runs.join(headers, ["file", "header"]).select(
+    return runs.select(
         log_version("file").alias("version"),
         "config.dataset",
         "workers",

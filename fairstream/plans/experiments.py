@@ -38,13 +38,11 @@ def quality_runs(
     sticky = [fq.Frequency(n, phi, e, seed=s) for e in epsilons for s in seeds]
     sketches = [fq.Frequency(n, phi, class_epsilon, width=w, seed=s) for w in widths for s in seeds]
 
-    samples = fq.sticky_samples(items, sticky)
+    firsts = fq.first_sampled(items, sticky)
     threshold = F.array(*[F.lit(run.sticky_threshold) for run in sticky])[F.col("run")]
-    truth = fq.histogram(items).withColumnRenamed("n", "true_freq")
-    graded = fq.quality_counts(
-        samples.filter(F.col("n") >= threshold).select("run", "item").join(truth, "item"), sticky
-    )
-    sizes = samples.groupBy("run").agg(F.count(F.lit(1)).alias("size"))
+    found = fq.sticky_samples(items, sticky, firsts).filter(F.col("n") >= threshold)
+    graded = fq.quality_counts(found, sticky)
+    sizes = firsts.groupBy("run").agg(F.count(F.lit(1)).alias("size"))
     sticky_rows = _labelled(
         items, "sticky", [e for e in epsilons for _ in seeds], len(seeds), graded.join(sizes, "run", "right")
     )
