@@ -20,7 +20,7 @@ from fairstream.functions.quality import classify
 from fairstream.operators.selection import kth_smallest
 from fairstream.plans.storage import cut
 
-BLOCK = 1 << 20
+BLOCK, LEAST_BLOCK, BLOCKS = 1 << 20, 1 << 12, 64
 BROADCAST_ROWS = 100_000
 MAX_SPANS = 64
 
@@ -171,7 +171,7 @@ def cell_crossings(
     items: DataFrame,
     runs: Sequence[Frequency],
     before: DataFrame | None = None,
-    block: int = BLOCK,
+    block: int | None = None,
 ) -> DataFrame:
     """``run, r, c, seq``: the arrival at which a cell's count reaches ``needed`` of its run.
 
@@ -179,11 +179,13 @@ def cell_crossings(
     table finds the one block in which a cell crosses. These blocks, at most
     ``depth * width`` a run, are kept as a table and become ``seq`` ranges, so the second scan
     reads little, and only their arrivals in crossing cells are ranked. No window holds more
-    than ``block`` arrivals.
+    than ``block`` arrivals. By default a block is a part of ``n``, between ``LEAST_BLOCK`` and
+    ``BLOCK`` arrivals; its size does not change the result.
 
     ``before`` (``run, r, c, n``) are counts carried over from earlier arrivals.
     """
     cell = ["run", "r", "c"]
+    block = block or min(BLOCK, max(LEAST_BLOCK, max(run.n for run in runs) // BLOCKS))
     block_of = F.expr(f"seq div {block}L").alias("block")
     blocked = items.select("seq", "item", block_of)
     sizes = cells(blocked.select("item", "block"), runs).groupBy(*cell, "block").count()
@@ -239,7 +241,7 @@ def _span(low: int, high: int, block: int) -> tuple[int, int]:
 
 
 def countmin_frequents(
-    items: DataFrame, runs: Sequence[Frequency], block: int = BLOCK
+    items: DataFrame, runs: Sequence[Frequency], block: int | None = None
 ) -> DataFrame:
     """``run, item, n`` (true count) of the items the online sketches report.
 
@@ -267,7 +269,7 @@ def full_items(crossed: DataFrame, runs: Sequence[Frequency]) -> DataFrame:
     )
 
 
-def countmin_frequent(items: DataFrame, run: Frequency, block: int = BLOCK) -> DataFrame:
+def countmin_frequent(items: DataFrame, run: Frequency, block: int | None = None) -> DataFrame:
     """``item, n`` for a single run."""
     return countmin_frequents(items, [run], block).drop("run")
 
