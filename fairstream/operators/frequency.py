@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from fairstream.functions.hashing import DRAWS, PRIME, draw, hash_pairs, universal_hash
 from fairstream.functions.quality import classify
 from fairstream.operators.selection import kth_smallest
-from fairstream.plans.storage import cut
+from fairstream.plans.storage import cut, small_table
 
 BLOCK, LEAST_BLOCK, BLOCKS = 1 << 20, 1 << 12, 64
 BROADCAST_ROWS = 100_000
@@ -95,6 +95,14 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _bounded(df: DataFrame, expected: float) -> tuple[DataFrame, int]:
+    """``df``, made once, and its number of rows; ``expected`` follows from the parameters."""
+    if expected <= BROADCAST_ROWS:
+        return small_table(df, BROADCAST_ROWS)
+    kept = cut(df)
+    return kept, kept.count()
+
+
 def cell_rows(runs: Sequence[Frequency]) -> int:
     return sum(run.depth * run.width for run in runs)
 
@@ -104,9 +112,8 @@ def first_sampled(
 ) -> DataFrame:
     """``run, item, first_seq``: the arrival at which each sampled item won its coin toss.
 
-    About ``rate`` arrivals win in each run, however long the stream is. The table is written
-    to the shared folder and counted: it is broadcast if it turned out small, otherwise the
-    optimizer chooses the join.
+    About ``rate`` arrivals win in each run, however long the stream is. The table is made once
+    and counted: it is broadcast if it turned out small, otherwise the optimizer chooses the join.
     """
     seeds = sorted({run.seed for run in runs})
     tosses = items.select("seq", "item", *[draw(s, key).alias(f"u{i}") for i, s in enumerate(seeds)])
@@ -118,8 +125,8 @@ def first_sampled(
         for number, run in enumerate(runs)
     ]
     won = tosses.select("seq", "item", F.inline(F.array(*verdicts))).filter("won")
-    firsts = cut(won.groupBy("run", "item").agg(F.min("seq").alias("first_seq")))
-    return _small(firsts, firsts.count())
+    firsts = won.groupBy("run", "item").agg(F.min("seq").alias("first_seq"))
+    return _small(*_bounded(firsts, 2 * sum(min(run.rate, run.n) for run in runs)))
 
 
 def sticky_samples(items: DataFrame, runs: Sequence[Frequency], firsts: DataFrame | None = None) -> DataFrame:
@@ -196,12 +203,12 @@ def cell_crossings(
         upto = upto.join(_small(start, cell_rows(runs)), cell, "left")
         upto = upto.withColumn("upto", F.col("upto") + F.coalesce("start", F.lit(0)))
     needed = F.array(*[F.lit(run.needed).cast("bigint") for run in runs])[F.col("run")]
-    edge = cut(
+    edge = (
         upto.withColumn("nth", needed - F.col("upto") + F.col("count"))
         .filter((F.col("nth") > 0) & (F.col("nth") <= F.col("count")))
         .select(*cell, "block", "nth")
     )
-    rows = edge.count()
+    edge, rows = _bounded(edge, cell_rows(runs))
     if rows <= BROADCAST_ROWS:
         near = blocked.filter(_in_blocks(edge, block))
     else:

@@ -45,6 +45,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_table(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """``df`` and its number of rows; up to ``rows`` rows it becomes a literal table of the plan.
+
+    For results that their parameters keep small. A larger one is checkpointed and counted.
+    """
+    found = df.limit(rows + 1).toArrow()
+    if found.num_rows <= rows:
+        return df.sparkSession.createDataFrame(found, df.schema), found.num_rows
+    kept = cut(df)
+    return kept, kept.count()
+
+
 @contextmanager
 def persisted(df: DataFrame) -> Iterator[DataFrame]:
     """Keep ``df`` in memory with spill to disk while the block runs."""
