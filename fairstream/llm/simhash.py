@@ -23,6 +23,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairstream.llm import jaccard
 from fairstream.llm.graph import components, forest
 from fairstream.plans.storage import cut, stored
 
@@ -83,10 +84,6 @@ def _finer(mask: int) -> list[int]:
     return [mask | sum(1 << i for i in open_bits[j::3]) for j in range(3)]
 
 
-def _signed_print(text: str | None) -> int:
-    return _signed(fingerprint(text))
-
-
 def keyed(prints: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """``fp`` -> ``mask, bits, fp``: every close pair shares a ``(mask, bits)``, no group is large."""
     masks = _first_masks()
@@ -215,18 +212,19 @@ def simhash_components(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame) -> DataFrame:
+def drop_near_copies(docs: DataFrame, similarity: float = jaccard.SIMILARITY, block_rows: int = jaccard.BLOCK_ROWS) -> DataFrame:
     """The rows of ``docs`` whose document is the smallest id of its component; columns stay.
 
-    Rows that repeat a kept id are one document and leave one row. A component without any id
-    leaves one row.
+    Near copies have a Jaccard similarity of ``similarity`` or more over five-word shingles; the
+    two bits of ``simhash_components`` reach few of them. Rows that repeat a kept id are one
+    document and leave one row. A component without any id leaves one row.
     """
-    found = simhash_components(docs)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), jaccard.text_key(F.col("text")).alias("fp"), "text")
+    found = stored(jaccard.near_components(rows, similarity, block_rows), "near-components")
     kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
     left = docs.join(kept, docs["doc_id"].cast("bigint") == kept["kept"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.filter("doc_id IS NULL AND component_id IS NULL").select(F.col("fp").alias("kept")).distinct()
-    print_of = F.pandas_udf(lambda texts: texts.map(_signed_print), "bigint")
+    nameless = found.filter("doc_id IS NULL AND component_id IS NULL").groupBy("root").agg(F.min("fp").alias("kept"))
     name = "fp_" + "_".join(docs.columns)
-    unnamed = docs.filter(F.col("doc_id").isNull()).withColumn(name, print_of("text"))
+    unnamed = docs.filter(F.col("doc_id").isNull()).withColumn(name, jaccard.text_key(F.col("text")))
     others = unnamed.join(nameless, unnamed[name] == nameless["kept"], "left_semi").dropDuplicates([name])
     return left.unionByName(others.drop(name))
