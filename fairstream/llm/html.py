@@ -64,14 +64,17 @@ NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 MIN_SHARE = 0.1
+# a box put out by its name only is kept from so much of the page's unlinked text; the first share needs the headline too
+MOST, NEARLY_ALL = 0.5, 0.9
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "out", "article", "score", "bonus")
+    __slots__ = ("tag", "path", "parent", "out", "named_out", "article", "score", "bonus")
 
-    def __init__(self, tag: str, classes: list[str], parent: Element | None, out: bool, article: bool, bonus: float):
+    def __init__(self, tag: str, classes: list[str], parent: Element | None, out: bool, article: bool, bonus: float, named_out: bool = False):
         step = ".".join([tag, *sorted({DIGITS.sub("#", c) for c in classes})])
         self.tag, self.parent, self.out, self.article, self.bonus = tag, parent, out, article, bonus
+        self.named_out = named_out
         self.path = f"{parent.path}>{step}" if parent else step
         self.score = 0.0
 
@@ -89,12 +92,61 @@ def _element(tag: str, rest: str, parent: Element | None) -> Element:
     words = {w.lower() for c in [*classes, attributes.get("id", "")] for w in NAME_PARTS.findall(c)}
     inside = parent is not None and parent.article
     article = inside or tag in ("article", "main")
-    out = tag in LEFT_OUT or attributes.get("role", "").lower() in LEFT_OUT_ROLES
-    out = out or (bool(words & LEFT_OUT_WORDS) and tag not in ("html", "body", "article", "main"))
-    out = out or (not inside and (tag == "header" or "header" in words and tag not in ("html", "body", "article", "main")))
+    out = tag in LEFT_OUT and tag != "form" or attributes.get("role", "").lower() in LEFT_OUT_ROLES
+    out = out or (not inside and tag == "header")
+    named_out = bool(words & LEFT_OUT_WORDS) or (not inside and "header" in words)
+    named_out = tag == "form" or (named_out and tag not in ("html", "body", "article", "main"))
+    # inside a line there is no wrapper to judge
+    out = out or (named_out and tag in INLINE)
     out = out or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(HIDDEN.search(attributes.get("style", "")))
     bonus = 2.0 if tag in ("article", "main") else 1.3 if words & ARTICLE_WORDS else 1.0
-    return Element(tag, classes, parent, out or (parent is not None and parent.out), article, bonus)
+    return Element(tag, classes, parent, out or (parent is not None and parent.out), article, bonus, named_out)
+
+
+def _without_named_out(blocks: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
+    """The blocks outside of forms and of boxes named as no part of an article.
+
+    Such a box is a wrapper, and stays, if it holds a ``main``, the longest ``article`` of the
+    page, most of the page's unlinked text with its first ``h1``, or nearly all of that text.
+    """
+    above: list[list[Element]] = []
+    free: dict[int, int] = {}
+    named: dict[int, Element] = {}
+    articles: dict[int, Element] = {}
+    mains: list[Element] = []
+    headline = None
+    for element, text, linked in blocks:
+        chain = []
+        while element.parent is not None:
+            if element.named_out or element.tag in ("article", "main"):
+                chain.append(element)
+                free[id(element)] = free.get(id(element), 0) + len(text) - linked
+                if element.named_out:
+                    named[id(element)] = element
+                elif element.tag == "main":
+                    mains.append(element)
+                else:
+                    articles[id(element)] = element
+            elif element.tag == "h1" and headline is None:
+                headline = element
+            element = element.parent
+        above.append(chain)
+    if not named:
+        return blocks
+    # of nested articles of one length the outer one
+    longest = max(articles.values(), key=lambda e: (free[id(e)], -len(e.path)), default=None)
+    wrappers, with_headline = set(), set()
+    for held, into in ((mains, wrappers), ([longest], wrappers), ([headline], with_headline)):
+        for element in held:
+            while element is not None and id(element) not in into:
+                into.add(id(element))
+                element = element.parent
+    total = sum(len(text) - linked for _, text, linked in blocks)
+    for key in named:
+        least = MOST if headline is None or key in with_headline else NEARLY_ALL
+        if total and free[key] > least * total:
+            wrappers.add(key)
+    return [b for b, chain in zip(blocks, above) if all(not e.named_out or id(e) in wrappers for e in chain)]
 
 
 def parse(html: str) -> list[tuple[Element, str, int]]:
@@ -189,7 +241,7 @@ def parse(html: str) -> list[tuple[Element, str, int]]:
             stack.append(element)
             anchors += tag == "a"
     flush()
-    return blocks
+    return _without_named_out(blocks)
 
 
 def best_path(blocks: list[tuple[Element, str, int]]) -> str | None:

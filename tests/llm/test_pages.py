@@ -48,3 +48,24 @@ def test_query_gives_the_articles(spark):
         blocks = [b for b in (" ".join(library.unescape(p).split()) for p in parts) if b]
         assert found[page.page_id].text == "\n\n".join(blocks)
         assert found[page.page_id].n_chars == len(found[page.page_id].text)
+
+
+def test_wrappers_named_for_the_layout():
+    """A name or a form puts out what it names, not a wrapper of the article."""
+    story = "<h1>Title</h1><p>First paragraph of the story.</p><p>Second one.</p>"
+    ad, wanted = "<div class='ad'>Buy this</div>", "Title\n\nFirst paragraph of the story.\n\nSecond one."
+    side = "<div class='sidebar'>Side text</div>"
+    for open_tag, close_tag in (
+        ("<div class='content-sidebar-wrap'>", "</div>"), ("<div class='has-sidebar'>", "</div>"), ("<div class='layout social-on'>", "</div>"),
+        ("<section id='no-sidebar'>", "</section>"), ("<form id='aspnetForm'>", "</form>"), ("<form><div class='with-sidebar'>", "</div></form>"),
+        ("<div class='has-header'>", "</div>"),
+    ):
+        for inner in (f"<main><article>{story}{ad}</article></main>{side}", f"<article>{story}</article>{side}", f"<div>{story}{ad}</div>{side}"):
+            assert html.main_text(f"<body>{open_tag}{inner}{close_tag}</body>", []) == wanted
+
+
+def test_named_boxes_stay_out():
+    comments = "<p>A reader says very much more than the author did.</p>" * 3
+    for box in (f"<div id='comments'>{comments}</div>", f"<div class='related'><article>{comments[:40]}</article></div>", f"<form>{comments}</form>"):
+        text = html.main_text(f"<body><article><h1>T</h1><p>{'Story words. ' * 9}</p>{box}</article></body>", [])
+        assert text == "T\n\n" + ("Story words. " * 9).strip()
