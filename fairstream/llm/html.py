@@ -63,6 +63,7 @@ ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 NAME_PARTS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 DIGITS = re.compile(r"\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MIN_SHARE = 0.1
 # a box put out by its name only is kept from so much of the page's unlinked text; the first share needs the headline too
 MOST, NEARLY_ALL = 0.5, 0.9
@@ -259,7 +260,42 @@ def best_path(blocks: list[tuple[Element, str, int]]) -> str | None:
             step *= 0.6
             at = at.parent
     best = max(seen.values(), key=lambda e: e.score, default=None)
-    return best.path if best is not None and best.score > 0 else None
+    return _whole(best, blocks).path if best is not None and best.score > 0 else None
+
+
+def _whole(best: Element, blocks: list[tuple[Element, str, int]]) -> Element:
+    """The article around the best container: that element, else the box with its headline and lead.
+
+    Without an ``article`` or ``main``, an ancestor is taken whose further blocks are headings or
+    mostly unlinked text, if it is named as an article or has a further heading; of ``body`` only
+    if they stand before the end of the container.
+    """
+    for tag in ("article", "main"):
+        at = best
+        while at is not None and at.tag != tag:
+            at = at.parent
+        if at is not None:
+            return at
+    # an ancestor's blocks are one run of the page, so only those at its two ends are further
+    within: dict[int, list[int]] = {}
+    for i, (element, _, _) in enumerate(blocks):
+        while element is not None:
+            within.setdefault(id(element), [i, i])[1] = i
+            element = element.parent
+    first, last = within[id(best)]
+    found, heading, at = best, False, best.parent
+    while at is not None and at.parent is not None:
+        low, high = within[id(at)]
+        further = [*blocks[low:first], *blocks[last + 1 : high + 1]]
+        if any(2 * linked > len(text) for _, text, linked in further):
+            break
+        if at.tag in ("html", "body") and high > last:
+            break
+        heading = heading or any(e.tag in HEADINGS for e, _, _ in further)
+        if further and (heading or at.bonus > 1):
+            found, heading = at, False
+        first, last, at = low, high, at.parent
+    return found
 
 
 def _inside(element: Element, path: str) -> bool:

@@ -69,3 +69,26 @@ def test_named_boxes_stay_out():
     for box in (f"<div id='comments'>{comments}</div>", f"<div class='related'><article>{comments[:40]}</article></div>", f"<form>{comments}</form>"):
         text = html.main_text(f"<body><article><h1>T</h1><p>{'Story words. ' * 9}</p>{box}</article></body>", [])
         assert text == "T\n\n" + ("Story words. " * 9).strip()
+
+
+def test_headline_and_lead_in_boxes_of_their_own(spark):
+    """However long the body box is, its article is the whole; also by the host's vote."""
+    shapes = (
+        "<article><h1>T</h1><div class='entry-content'>{}</div></article>",
+        "<article><header><h1>T</h1></header><div><div class='post-body'>{}</div></div></article>",
+        "<main><div><h1>T</h1></div><div class='content'><div class='text'>{}</div></div></main>",
+        "<div class='post'><h1>T</h1><div class='x'><div class='entry-content'>{}</div></div></div><ul><li><a href=/>Other pages</a></ul>",
+        "<div class='page'><h1>T</h1><div class='wrap'><div class='content'>{}</div></div></div><div>Some other box</div>",
+    )
+    rows, wanted = [], {}
+    for shape in shapes:
+        for times in (1, 4, 40, 400):
+            paragraphs = ["Words of the body."] * times
+            page = "<body>" + shape.format("".join(f"<p>{p}</p>" for p in paragraphs)) + "</body>"
+            lead = page.replace("<h1>T</h1>", "<h1>T</h1><div class='lead'><p>The lead.</p></div>")
+            for html_text, start in ((page, ["T"]), (lead, ["T", "The lead."])):
+                assert html.main_text(html_text, []) == "\n\n".join([*start, *paragraphs]), (shape, times)
+                wanted[len(rows)] = "\n\n".join([*start, *paragraphs])
+                rows.append((len(rows), f"http://h{shapes.index(shape)}.example/x", html_text))
+    found = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()} == wanted
