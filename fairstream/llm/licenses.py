@@ -94,6 +94,27 @@ def _known() -> Column:
     return F.create_map(*(F.lit(x) for pair in SENTENCES.items() for x in pair))
 
 
+# pieces of a notice that marks, capitals at the start of lines or blank lines have cut
+MOST_PIECES = 24
+OPENERS = sorted({" ".join(s.split(" ")[:n]) for s in SENTENCES for n in (1, 2)})
+
+
+def _identifier(known: Column, s: Column, i: Column) -> Column:
+    """Identifier of the sentence at ``i``, or of the notice that it and the next pieces make.
+
+    A piece that is a known sentence of its own is not joined to others.
+    """
+
+    def joined(k: Column) -> Column:
+        pieces = F.slice("cut", i + 1, k)
+        whole = F.try_element_at(known, F.array_join(F.filter(pieces, lambda p: p != ""), " "))
+        return F.when(~F.exists(pieces, lambda p: F.try_element_at(known, p).isNotNull()), whole)
+
+    several = F.filter(F.transform(F.sequence(F.lit(2), F.lit(MOST_PIECES)), joined), lambda x: x.isNotNull())
+    opens = F.substring_index(s, " ", 2).isin(OPENERS)
+    return F.coalesce(F.try_element_at(known, s), F.when(opens, F.get(several, 0)))
+
+
 def _starts(number: int, license_name: str, wanted: tuple[str, ...]) -> Column:
     """Where the identifiers of ``found`` go on as a rule wants them."""
     sequence, length = F.array(*map(F.lit, wanted)), len(wanted)
@@ -113,7 +134,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     One row per recognised statement: ``place`` counts those of a document from 1,
     ``first_sentence`` is the number of its first sentence (from 0), ``rule`` that of the rule
-    (from 0). Rules match runs of known sentences, whatever other sentences stand between. A
+    (from 0). A notice may be cut inside, as published ones are by marks and wrapped lines; the
+    SQL knows whole sentences only and agrees where no notice is cut. Rules match runs of known sentences, whatever other sentences stand between. A
     match that shares a sentence with one of an earlier rule is left out. Documents without a
     licence, also those with a null or empty text, have no row; repeated rows give repeated
     rows. Whole texts are read, other columns are not.
@@ -121,7 +143,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text").filter(F.col("text").rlike(MARKS))
     cut = rows.select("doc_id", sentences(F.col("text")).alias("cut"))
     known = _known()
-    named = F.transform("cut", lambda s, i: F.struct(i.alias("at"), F.try_element_at(known, s).alias("id")))
+    named = F.transform("cut", lambda s, i: F.struct(i.alias("at"), _identifier(known, s, i).alias("id")))
     found = cut.select("doc_id", F.filter(named, lambda s: s["id"].isNotNull()).alias("found")).filter(F.size("found") > 0)
     starts = [_starts(number, name, wanted) for number, (name, wanted) in enumerate(RULES)]
     matches = found.select("doc_id", "found", F.flatten(F.array(*starts)).alias("all"))
