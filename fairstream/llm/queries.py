@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairstream.llm import html, langid, lattice, licenses, mixing, pieces, simhash, tokencount, topk, urls
+from fairstream.llm import html, langid, lattice, licenses, manifest, mixing, pieces, repeats, sharding, simhash, tokencount, topk, urls
 
 
 # fixed values: the rules of the filter and what makes a title junk (two such signs in a row)
@@ -85,6 +89,93 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def _crc32(value: Column) -> Column:
+    return F.crc32(value.cast("string"))
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document proves itself; every seventh (by checksum of its id) with a changed ``n_chars``."""
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    changed = [F.col("n_chars") + 1 if c == "n_chars" else F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")]
+    tampered = F.when(_crc32(F.col("doc_id")) % 7 == 0, manifest.leaf_digest(*changed))
+    leaves = docs.select("doc_id", "lang", manifest.leaf_digest(*fields).alias("leaf"), tampered.alias("tampered"))
+    made = manifest.manifest(leaves, "lang", "doc_id", "leaf")
+    found = manifest.proofs(made, made.leaves.select("doc_id", "grp", "at", "tampered"))
+    groups = made.groups.select("grp", "subroot")
+    root = F.lit(made.root).cast("string")
+    folded_root = manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    joined = found.join(F.broadcast(groups) if groups.count() <= manifest.BROADCAST_ROWS else groups, "grp")
+    return joined.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        root.alias("root"),
+        manifest.proof_digest(F.col("proof")).alias("proof_sha256"),
+        folded_root.alias("folded_root"),
+        (folded_root == root).alias("verified"),
+    )
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    crc = F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32")
+    found = sharding.sharded(docs.select("doc_id", "text", crc))
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of every tenth document (by checksum of its id) go on in a period from some word on."""
+    for batch in batches:
+        texts = []
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            h = -1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+            if h % 10 == 0 and (words := (text.as_py() or b"").split()):
+                n, g = len(words), h // 10
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                tail = words[a : a + p]
+                texts.append(b" ".join(words[:a] + (tail * ((n - a) // p + 1))[: n - a]))
+            else:
+                texts.append(text.as_py())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("text"))
+    found = repeats.periodic_runs(docs.mapInArrow(_planted, "doc_id bigint, text binary"))
+    best = F.array_sort(
+        "runs",
+        lambda a, b: F.when(a["length"] != b["length"], F.sign(b["length"] - a["length"]))
+        .when(a["start"] != b["start"], F.sign(a["start"] - b["start"]))
+        .otherwise(F.sign(a["period"] - b["period"]))
+        .cast("int"),
+    )
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    shown = F.when(F.size(lines) > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    best_run = F.get(best, F.lit(0))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        best_run.alias("best"),
+        F.sha2(shown, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id",
+        "n_runs",
+        "best.start",
+        "best.length",
+        "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("bigint").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_language_id": op2_language_id,
@@ -96,6 +187,9 @@ QUERIES = {
     "op8_token_count": op8_token_count,
     "op9_html_text": op9_html_text,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_sharding": op12_sharding,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 MIX_SQL = r"""
@@ -164,7 +258,52 @@ ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER
 SELECT * FROM ranked WHERE rank <= 5
 """
 
+# the checksum of a decimal id byte by byte; nodes of one level become those of the next by window
+MERKLE_SQL = r"""
+WITH RECURSIVE
+steps AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS step),
+fields AS (SELECT doc_id, lang, n_chars, CAST(doc_id AS VARCHAR) AS id_text,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail FROM documents),
+digests AS (SELECT doc_id, lang,
+    sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN xor(list_reduce(list_transform(range(1, len(id_text) + 1), lambda i: CAST(ascii(substr(id_text, i, 1)) AS BIGINT)),
+        lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 7 = 0
+      THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS tampered
+  FROM fields, steps),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place,
+    dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS grp FROM digests),
+nodes AS (SELECT grp, 0 AS level, place, leaf AS digest FROM leaves UNION ALL
+  SELECT grp, level + 1, place // 2, sha256(digest || coalesce(next_digest, '')) FROM
+    (SELECT *, lead(digest) OVER (PARTITION BY grp ORDER BY place) AS next_digest, count(*) OVER (PARTITION BY grp) AS n FROM nodes)
+  WHERE n > 1 AND place % 2 = 0),
+subroots AS (SELECT grp, max(level) AS height, arg_max(digest, level) AS subroot FROM nodes GROUP BY grp),
+above AS (SELECT 0 AS level, grp AS place, subroot AS digest FROM subroots UNION ALL
+  SELECT level + 1, place // 2, sha256(digest || coalesce(next_digest, '')) FROM
+    (SELECT *, lead(digest) OVER (ORDER BY place) AS next_digest, count(*) OVER () AS n FROM above)
+  WHERE n > 1 AND place % 2 = 0),
+top AS (SELECT max(level) AS height, arg_max(digest, level) AS root FROM above),
+ways AS (
+  SELECT l.grp, l.place, k.level, (l.place >> k.level) % 2 = 1 AS is_right, n.digest AS other
+  FROM leaves l JOIN subroots s USING (grp) CROSS JOIN LATERAL (SELECT unnest(range(s.height)) AS level) k
+  LEFT JOIN nodes n ON n.grp = l.grp AND n.level = k.level AND n.place = xor(l.place >> k.level, 1)
+  UNION ALL
+  SELECT l.grp, l.place, 1000 + k.level, (l.grp >> k.level) % 2 = 1, n.digest
+  FROM leaves l CROSS JOIN top t CROSS JOIN LATERAL (SELECT unnest(range(t.height)) AS level) k
+  LEFT JOIN above n ON n.level = k.level AND n.place = xor(l.grp >> k.level, 1)),
+paths AS (SELECT grp, place, sha256(coalesce(string_agg(other, '' ORDER BY level), '')) AS proof_sha256,
+    list(CASE WHEN is_right THEN 'L' ELSE 'R' END || coalesce(other, '') ORDER BY level) AS steps FROM ways GROUP BY grp, place),
+checked AS (SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256,
+    list_reduce(coalesce(steps, []), lambda own, x: sha256(CASE WHEN x[1] = 'L' THEN x[2:] || own ELSE own || x[2:] END),
+      coalesce(tampered, leaf)) AS folded_root
+  FROM leaves JOIN subroots USING (grp) CROSS JOIN top LEFT JOIN paths USING (grp, place))
+SELECT *, folded_root = root AS verified FROM checked
+"""
+
 ORACLES = {
+    "op11_merkle_manifest": MERKLE_SQL,
     "op1_license_scan": licenses.scan_sql(),
     "op3_mix_sources": MIX_SQL,
     "op6_url_filter": URL_SQL,

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fairstream.llm import html, langid, lattice, licenses, mixing, pieces, simhash, tokencount, topk, urls
+from fairstream.llm import html, langid, lattice, licenses, manifest, mixing, pieces, repeats, sharding, simhash, tokencount, topk, urls
 from fairstream.llm.queries import URL_RULES, tokenizer_file
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -25,6 +25,14 @@ DOC_ROWS = [
     (8, "Some words here.\nLicensed under the Apache License, Version 2.0.", "en", "c", 1),
 ]
 CLASHING = "kept count key bucket hot root fp size target position doc source_size found score prefix rank copies first word b n".split()
+
+
+def _proved(docs):
+    leaves = docs.withColumn("leaf", manifest.leaf_digest(F.col("doc_id"), F.col("text")))
+    made = manifest.manifest(leaves.select("doc_id", "lang", "leaf"), "lang", "doc_id", "leaf")
+    return manifest.proofs(made, made.leaves.select("doc_id", "grp", "at"))
+
+
 DOC_OPS = {
     "licenses": licenses.scan,
     "langid": langid.identify,
@@ -34,6 +42,9 @@ DOC_OPS = {
     "simhash": simhash.simhash_components,
     "simhash_filter": simhash.drop_near_copies,
     "pieces": lambda docs: pieces.encoded(docs, tokenizer_file()),
+    "sharded": lambda docs: sharding.sharded(docs, 3),
+    "manifest": _proved,
+    "repeats": repeats.periodic_runs,
     "tokens": lambda docs: tokencount.counted(docs, tokenizer_file()),
 }
 PAGE_OPS = {
