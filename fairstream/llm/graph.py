@@ -13,6 +13,9 @@ from fairstream.plans.storage import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# far above what any table needs; each round keeps some share of the links
+MAX_ROUNDS = 1_000
+
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> list[int]:
     """Places of those links of one bounded group that already connect all that it connects."""
@@ -37,35 +40,28 @@ def components(links: DataFrame) -> DataFrame:
     """``a bigint, b bigint`` -> ``node, root``: the smallest node reachable, for every node of a link.
 
     Links to oneself, repeated links and both directions may occur; links with a null end are
-    left out. Each round joins the links with the labels of both ends, lowers the label of each
-    end and of its present root, and then halves the way to the root. Both inputs of each join
-    are checkpoints, so Spark can split the rows of a node with very many links. The rounds grow
-    with the logarithm of the longest path; only a changed-row count reaches the driver.
+    left out. Each round lets every node go to the first of its neighbours in a random order (a
+    hash of the round) if that comes before it, and to where that one goes; then both ends of the
+    links are renamed, and links inside one node and repeated ones vanish. So the links shrink by
+    a constant share each round, whatever their shape, and no later round sees the first table.
+    Inputs of the joins are checkpoints, so Spark can split the rows of a node with very many links.
     """
     ends = links.select(F.col("a").cast("bigint"), F.col("b").cast("bigint")).filter("a <> b")
     ends = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = cut(
-        ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
-    )
-    while True:
-        at_a = labels.select(F.col("node").alias("a"), F.col("root").alias("root_a"))
-        at_b = labels.select(F.col("node").alias("b"), F.col("root").alias("root_b"))
-        low = F.least("root_a", "root_b")
-        lowered = (
-            ends.join(at_a, "a")
-            .join(at_b, "b")
-            .select(F.explode(F.array(*(F.struct(F.col(c).alias("node"), low.alias("root")) for c in ("a", "b", "root_a", "root_b")))).alias("s"))
-            .select("s.node", "s.root")
-        )
-        hooked = cut(
-            lowered.union(labels.select("node", "root"))
-            .groupBy("node")
-            .agg(F.min("root").alias("root"))
-        )
-        above = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = cut(hooked.join(above, "root").select("node", F.col("next").alias("root")))
-        # labels only fall, so an unchanged sum means an unchanged table
-        total = F.sum(F.col("root").cast("decimal(38,0)"))
-        if labels.select(total).head()[0] == jumped.select(total).head()[0]:
-            return jumped
-        labels = jumped
+    labels = cut(ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node")))
+    for turn in range(MAX_ROUNDS):
+        if ends.isEmpty():
+            break
+        turned = [F.struct(F.xxhash64(F.lit(turn), c).alias("at"), F.col(c).alias("node")) for c in ("a", "b")]
+        both = ends.select(F.explode(F.array(*(F.struct(F.col(c).alias("node"), F.least(*turned).alias("first")) for c in ("a", "b")))).alias("s"))
+        step = cut(both.groupBy("s.node").agg(F.min("s.first")["node"].alias("next")))
+        beyond = step.select(F.col("node").alias("next"), F.col("next").alias("last"))
+        moved = cut(step.join(beyond, "next").select("node", F.col("last").alias("to")))
+        labels = labels.join(moved.withColumnRenamed("node", "root"), "root", "left")
+        labels = cut(labels.select("node", F.coalesce("to", "root").alias("root")))
+        for c in ("a", "b"):
+            ends = ends.join(moved.withColumnRenamed("node", c), c).drop(c).withColumnRenamed("to", c)
+        ends = ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        ends = cut(ends.distinct())
+    lowest = labels.groupBy("root").agg(F.min("node").alias("lowest"))
+    return cut(labels.join(lowest, "root").select("node", F.col("lowest").alias("root")))

@@ -213,18 +213,39 @@ def simhash_components(docs: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = jaccard.SIMILARITY, block_rows: int = jaccard.BLOCK_ROWS) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest id of its component; columns stay.
-
-    Near copies have a Jaccard similarity of ``similarity`` or more over five-word shingles; the
-    two bits of ``simhash_components`` reach few of them. Rows that repeat a kept id are one
-    document and leave one row. A component without any id leaves one row.
+    """One row of ``docs`` of each component of near copies; columns stay.
+
+    Near copies have a Jaccard similarity of ``similarity`` or more over five-word shingles (the
+    two bits of ``simhash_components`` reach few of them); a pair is found unless it shares none of
+    28 MinHash keys, at 0.8 with probability 4e-7. The row kept is that of the smallest ``doc_id``
+    (null last), then of the smallest hashes of its text and of the whole row. So unequal texts
+    under one id are each judged alone, repeated rows leave one row, and reruns agree. All texts
+    that are null, empty or without words are copies of each other. Equal texts are told by 128
+    bits. Long texts are compared whole; an empty table gives an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), jaccard.text_key(F.col("text")).alias("fp"), "text")
-    found = stored(jaccard.near_components(rows, similarity, block_rows), "near-components")
-    kept = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept")).distinct()
-    left = docs.join(kept, docs["doc_id"].cast("bigint") == kept["kept"], "left_semi").dropDuplicates(["doc_id"])
-    nameless = found.filter("doc_id IS NULL AND component_id IS NULL").groupBy("root").agg(F.min("fp").alias("kept"))
-    name = "fp_" + "_".join(docs.columns)
-    unnamed = docs.filter(F.col("doc_id").isNull()).withColumn(name, jaccard.text_key(F.col("text")))
-    others = unnamed.join(nameless, unnamed[name] == nameless["kept"], "left_semi").dropDuplicates([name])
-    return left.unionByName(others.drop(name))
+    first, second = jaccard.text_keys(F.col("text"))
+    name = "_".join(["found", *docs.columns])  # no column of the table has this name
+    keyed = docs.withColumn(name, F.struct(first.alias("first"), second.alias("second"), F.xxhash64(*(F.col(c) for c in docs.columns)).alias("row")))
+    id_, found = F.col("doc_id").cast("bigint"), F.col(name)
+    held = stored(keyed.select(id_.alias("doc_id"), found["first"].alias("first"), found["second"].alias("second"), found["row"].alias("row")), "near-rows")
+    # texts that share their first hash but not the second get a hash of both
+    shared = cut(held.groupBy("first").agg((F.min("second") != F.max("second")).alias("twice")).filter("twice"))
+    twice = shared.count()
+    small = F.broadcast(shared) if twice <= BROADCAST_ROWS else shared
+
+    def told(rows: DataFrame) -> DataFrame:
+        """``first, second`` -> ``fp``."""
+        if not twice:
+            return rows.withColumnRenamed("first", "fp").drop("second")
+        fp = F.when(F.col("twice"), F.xxhash64("second", "first")).otherwise(F.col("first"))
+        return rows.join(small, "first", "left").withColumn("fp", fp).drop("first", "second", "twice")
+
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "row")).alias("least")
+    classes = stored(told(held).groupBy("fp").agg(least), "near-classes")
+    one_each = classes.select("fp", F.col("least.row").alias("row"))
+    texts = told(keyed.select(found["first"].alias("first"), found["second"].alias("second"), found["row"].alias("row"), "text"))
+    texts = texts.join(one_each, ["fp", "row"], "left_semi").filter("fp <> 0").select("fp", "text")
+    roots = jaccard.near_components(classes, texts, similarity, block_rows)
+    kept = stored(roots.groupBy("root").agg(F.min("least").alias("least")).select("least.fp", "least.row"), "near-kept")
+    marked = told(keyed.select(found["first"].alias("first"), found["second"].alias("second"), found["row"].alias("row"), F.struct(*docs.columns).alias("doc")))
+    return marked.join(kept, ["fp", "row"], "left_semi").dropDuplicates(["fp", "row"]).select("doc.*")

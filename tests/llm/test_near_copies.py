@@ -67,3 +67,64 @@ def test_documents(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == sorted(_kept(texts))
     large = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     assert [r.doc_id for r in simhash.drop_near_copies(large.filter(F.col("doc_id").isin(0, 7818))).collect()] == [0]
+
+
+def test_one_id_with_unequal_texts(spark):
+    """Unique texts under one id all stay; a copy of one of them goes, whatever its id."""
+    words = [f"w{i}" for i in range(40)]
+    one, two, other = " ".join(words), " ".join(reversed(words)), " ".join(f"x{i}" for i in range(40))
+    rows = [(5, one), (5, two), (5, other), (6, two), (None, one), (None, "alone here"), (None, "alone here")]
+    found = simhash.drop_near_copies(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in found) == sorted([(5, one), (5, two), (5, other), (-1, "alone here")])
+
+
+def test_texts_that_share_a_hash(spark, monkeypatch):
+    """The first key alone decides nothing: here all texts share it."""
+    keys = lambda text: [F.lit(7).cast("bigint"), F.xxhash64(text)]
+    monkeypatch.setattr(jaccard, "text_keys", keys)
+    rows = [(i, f"text {i % 5} " * 12) for i in range(20)]
+    found = simhash.drop_near_copies(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(r.doc_id for r in found) == [0, 1, 2, 3, 4]
+
+
+def _counted_links(spark, n, block_rows):
+    """One family of ``n`` texts with 0 to 5 edits of a template, as the check tables have it."""
+    rng = np.random.default_rng(n)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 150)]
+    docs = {i: _edited(rng, words, int(rng.integers(0, 6))) + f" e{i}" for i in range(n)}
+    texts = spark.createDataFrame(list(docs.items()), "fp bigint, text string")
+    sketches = texts.mapInArrow(jaccard._keys, "fp bigint, keys array<bigint>, words bigint, bits bigint")
+    crowded = sketches.select(F.lit(0).cast("bigint").alias("root"), "fp", "words", "bits")
+    links, left = jaccard._thinned(crowded, texts, 0.8)
+    rows = jaccard._dealt(left, block_rows).count()
+    return docs, rows, links.count(), jaccard.near_links(texts, block_rows=block_rows).count()
+
+
+def test_work_grows_with_the_family(spark):
+    """Rows of texts in blocks and links grow with the texts, not with their square."""
+    counted = {n: _counted_links(spark, n, 100)[1:] for n in (500, 1000, 2000)}
+    for n, (rows, to_pivot, links) in counted.items():
+        assert rows <= 3 * n and to_pivot < n and links <= 2 * n, counted
+
+
+@pytest.mark.parametrize("block_rows", [4096, 40])
+def test_family_of_edits(spark, block_rows):
+    rng = np.random.default_rng(4)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    docs = {i: _edited(rng, words, int(rng.integers(0, 7))) for i in range(250)}
+    others = [f"y{x}" for x in rng.integers(0, 5000, 120)]
+    docs |= {250 + i: _edited(rng, others[:60] + words[:60], int(rng.integers(0, 3))) for i in range(100)}
+    found = simhash.drop_near_copies(spark.createDataFrame(list(docs.items()), DOCS), block_rows=block_rows)
+    assert sorted(r.doc_id for r in found.collect()) == sorted(_kept(docs))
+
+
+def test_bit_sliced_distances():
+    from fairstream.llm.bitslices import near_counts
+
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 4, dtype=np.uint64)
+    values = np.array([int(b) ^ sum(1 << int(i) for i in set(rng.integers(0, 64, rng.integers(0, 25)))) for b in np.repeat(base, 500)], np.uint64)
+    got = {(x, y): d for step in near_counts(values) for x, y, d in zip(*(s.tolist() for s in step))}
+    apart = np.bitwise_count(values[:, None] ^ values)
+    expected = {(x, y): int(apart[x, y]) for x, y in zip(*np.nonzero(np.triu(apart < 16, 1)))}
+    assert got == expected
