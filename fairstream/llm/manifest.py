@@ -153,8 +153,8 @@ class Manifest:
 
 def manifest(leaves: DataFrame, group: str, *order: str) -> Manifest:
     """The manifest of ``leaves`` (which have a column ``leaf``), in order of ``order`` in each group."""
-    placed, sizes = ranked(leaves, group, *order)
-    named = sizes.select(group, "n", F.lit(0).alias("one"))
+    placed, sizes = ranked(stored(leaves, "manifest-leaves"), group, *order)  # a range exchange reads its input twice
+    named = sizes.select(group, "n", (F.col("n") - F.col("n")).alias("one"))  # one group of all, not folded into a constant
     numbered, _ = ranked(named, "one", group)
     numbered = cut(numbered.select(F.col(group).alias("own_group"), F.col("at").alias("grp"), "n"))
     groups = numbered.count()
