@@ -31,13 +31,14 @@ def _components(nodes, links):
     return {n: top(n) for n in nodes}
 
 
-def test_components_of_odd_graphs(spark):
+@pytest.mark.parametrize("finish_links", [graph.FINISH_LINKS, 20, 0])
+def test_components_of_odd_graphs(spark, finish_links):
     path = [(i, i + 1) for i in range(60)]
     shuffled = [((a * 37) % 61 + 100, (b * 37) % 61 + 100) for a, b in path]
     star = [(500, 500 + i) for i in range(1, 80)]
     links = path + shuffled + star + [(7, 7), (1, 0), (300, 299)]
     expected = _components({x for ab in links for x in ab}, links)
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(links, "a bigint, b bigint"), finish_links).collect()}
     assert got == expected
 
 
