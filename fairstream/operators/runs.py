@@ -6,11 +6,18 @@ Log lines come as ``file, chunk, line, value``: within a file they are ordered b
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairstream.plans.storage import stored
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # fixed values: the formats of the log files and of their names
 VERSION = r"combined_logs_(.*?)\.txt"
 HEADER = r"===\s*FILE:\s*.*?_(\d+)\.log\s*==="
@@ -70,65 +77,109 @@ def log_marks(lines: DataFrame) -> DataFrame:
     )
 
 
+# What a reader of the lines has in hand, as a number: 4 with workers, 2 with a data set, 1 with an
+# objective. A runtime line that finds all three is a record and takes the last two away.
+WHOLE, HEADER_BIT, CONFIG_BIT, OBJECTIVE_BIT = 7, 4, 2, 1
+STATES = range(WHOLE + 1)
+
+
+def _next_state(kind: str, state: int) -> int:
+    if kind == "runtime":
+        return HEADER_BIT if state == WHOLE else state
+    if kind == "no_dataset":
+        return state & ~CONFIG_BIT
+    return state | {"header": HEADER_BIT, "config": CONFIG_BIT, "objective": OBJECTIVE_BIT}[kind]
+
+
+def _chunk_effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted ``file, chunk, line, kind`` -> ``file, chunk, effect``: the state after a chunk for each one before it."""
+    at, effect = None, list(STATES)
+
+    def told() -> pa.RecordBatch:
+        rows = [] if at is None else [{"file": at[0], "chunk": at[1], "effect": effect}]
+        return pa.RecordBatch.from_pylist(rows, pa.schema([("file", pa.string()), ("chunk", pa.int64()), ("effect", pa.list_(pa.int32()))]))
+
+    for batch in batches:
+        for file, chunk, _, kind in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, chunk) != at:
+                yield told()
+                at, effect = (file, chunk), list(STATES)
+            effect = [_next_state(kind, s) for s in effect]
+    yield told()
+
+
+def _chunk_starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted ``file, chunk, effect`` -> ``file, chunk, state`` before the chunk; effects are composed in order."""
+    own, state = None, 0
+    for batch in batches:
+        states = []
+        for file, _, effect in zip(*(c.to_pylist() for c in batch.columns)):
+            if file != own:
+                own, state = file, 0
+            states.append(state)
+            state = effect[state]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(states, pa.int32())], ["file", "chunk", "state"])
+
+
+def _finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted ``file, chunk, line, kind, state, run`` -> the ``run`` of the lines that are records."""
+    at, state = None, 0
+    for batch in batches:
+        kept = []
+        for file, chunk, _, kind, start in zip(*(c.to_pylist() for c in batch.columns[:5])):
+            if (file, chunk) != at:
+                at, state = (file, chunk), start
+            kept.append(kind == "runtime" and state == WHOLE)
+            state = _next_state(kind, state)
+        rows = batch.column(5).filter(pa.array(kept, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([rows], ["run"])
+
+
 def run_records(lines: DataFrame) -> DataFrame:
     """``version, dataset, workers, l, runtime_ms, ka, kb, objective``, one row per finished run.
 
-    A run is the stretch of lines up to a runtime line. It takes the last configuration and
-    objective of that stretch and the last header of the file so far; a run that lacks one of
-    them, or has an empty data set name, gives no row. Lines are numbered by run, and carry the last header, inside each chunk
-    and then over chunks, so no task needs a whole file. The few lines that matter
-    are parsed once and kept as a table, since counting and carrying both read them. An incomplete run does not
-    lend its values to the next one, which matters for malformed logs only.
+    A runtime line is a record if the file has a header before it and, since the last record, a
+    configuration whose data set has a name and an objective; it takes the last of each. A
+    runtime line that is no record takes nothing away, also in malformed logs. A configuration
+    with an empty name stands for none.
+
+    No task needs a whole file: the values are carried inside each chunk and then over chunks, and
+    what a chunk does to a reader is a function of eight states, worked out chunk by chunk and
+    composed over the chunks of a file (one short row each). The few lines that matter are parsed
+    once and kept as a table.
     """
-    marks = stored(log_marks(lines), "marks")
-    is_run = F.col("runtime_ms").isNotNull()
-    in_chunk = Window.partitionBy("file", "chunk").orderBy("line")
-    before_line = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
-    up_to_line = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier_chunks = (
-        Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = (
-        marks.groupBy("file", "chunk")
-        .agg(
-            F.count_if(is_run).alias("runs"),
-            F.max_by("workers", F.when(F.col("workers").isNotNull(), F.col("line"))).alias("last_workers"),
-        )
-        .select(
-            "file",
-            "chunk",
-            F.coalesce(F.sum("runs").over(earlier_chunks), F.lit(0)).alias("runs_start"),
-            F.last("last_workers", ignorenulls=True).over(earlier_chunks).alias("workers_start"),
-        )
-    )
-    numbered = (
-        marks.withColumn("runs_in", F.count_if(is_run).over(before_line))
-        .withColumn("workers_in", F.last("workers", ignorenulls=True).over(up_to_line))
-        .join(starts, ["file", "chunk"])
-        .withColumn("run", F.col("runs_start") + F.col("runs_in"))
-        .withColumn("workers", F.coalesce("workers_in", "workers_start"))
-    )
-    at = F.struct("chunk", "line")
-    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), at))
-    runs = (
-        numbered.groupBy("file", "run")
-        .agg(
-            last("config").alias("config"),
-            last("objective").alias("objective"),
-            F.max("runtime_ms").alias("runtime_ms"),
-            F.max(F.when(is_run, F.col("workers"))).alias("workers"),
-        )
-        .filter("config.dataset <> '' and objective is not null and runtime_ms is not null and workers is not null")
+    named = F.col("config.dataset") != ""
+    kind = F.when(F.col("workers").isNotNull(), "header").when(F.col("config").isNotNull(), F.when(named, "config").otherwise("no_dataset"))
+    kind = kind.when(F.col("objective").isNotNull(), "objective").otherwise("runtime")
+    marks = stored(log_marks(lines).withColumn("kind", kind), "marks")
+    by_line = ["file", "chunk", "line"]
+    effects = marks.select(*by_line, "kind").repartition("file", "chunk").sortWithinPartitions(*by_line)
+    effects = effects.mapInArrow(_chunk_effects, "file string, chunk bigint, effect array<int>")
+    composed = effects.repartition("file").sortWithinPartitions("file", "chunk")
+    states = composed.mapInArrow(_chunk_starts, "file string, chunk bigint, state int")
+
+    carried = ("workers", "config", "objective")
+    up_to_line = Window.partitionBy("file", "chunk").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier_chunks = Window.partitionBy("file").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = marks.groupBy("file", "chunk").agg(
+        *(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line"))).alias(c) for c in carried)
     )
+    before = [F.last(c, ignorenulls=True).over(earlier_chunks).alias(f"{c}_before") for c in carried]
+    starts = lasts.select("file", "chunk", *before).join(states, ["file", "chunk"])
+    last = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(up_to_line), F.col(f"{c}_before")).alias(c)
+    run = F.struct("file", *map(last, carried), "runtime_ms").alias("run")
+    told = marks.join(starts, ["file", "chunk"]).select(*by_line, "kind", "state", run)
+    told = told.repartition("file", "chunk").sortWithinPartitions(*by_line)
+    runs = told.mapInArrow(_finished, f"run {told.schema['run'].dataType.simpleString()}")
     return runs.select(
-        log_version("file").alias("version"),
-        "config.dataset",
-        "workers",
-        "config.l",
-        "runtime_ms",
-        "config.ka",
-        "config.kb",
-        "objective",
+        log_version("run.file").alias("version"),
+        "run.config.dataset",
+        "run.workers",
+        "run.config.l",
+        "run.runtime_ms",
+        "run.config.ka",
+        "run.config.kb",
+        "run.objective",
     )
 
 

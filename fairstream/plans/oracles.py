@@ -191,41 +191,59 @@ taken AS (SELECT batch, item FROM batches JOIN kept USING (batch))"""
 
 # logs
 
-LOG = f"""WITH log AS (
+# A record is a block of lines up to a runtime line, found in a state. What a block does to the four states
+# (2 with a data set, 1 with an objective) is a list; lists are composed by doubling.
+LOG = f"""WITH RECURSIVE log AS (
   SELECT CASE WHEN o_custkey % 4 = 3 THEN 'other.txt' ELSE 'combined_logs_v' || (o_custkey % 4) || '.txt' END AS file,
          o_orderkey AS k, o_orderkey % 7 = 3 AS crashed, o_totalprice,
-         CASE WHEN o_orderstatus = 'P' THEN 'plain_' ELSE 'Artificial' END || o_orderpriority || '.csv' AS path
+         CASE WHEN o_orderstatus = 'P' THEN 'plain_' ELSE 'Artificial' END
+           || CASE WHEN o_orderkey % 17 = 6 THEN '' ELSE o_orderpriority END || '.csv' AS path
   FROM orders),
 lines AS (
   SELECT file, k * 8 AS line, '=== FILE: run_' || (2 << CAST(k % 4 AS INT)) || '.log ===' AS value FROM log WHERE k % 3 = 0
-  UNION ALL SELECT file, k * 8 + 1, 'File path = ' || path || ', KA = ' || (k % 2 + 7) || ', KB = 2, L = 16' FROM log
-  UNION ALL SELECT file, k * 8 + 3, 'Objective function = ' || (floor(o_totalprice) / 8) FROM log WHERE NOT crashed
+  UNION ALL SELECT file, k * 8 + 1, 'File path = ' || path || ', KA = ' || (k % 2 + 7) || ', KB = 2, L = 16' FROM log WHERE k % 13 <> 4
+  UNION ALL SELECT file, k * 8 + 3, 'Objective function = ' || (floor(o_totalprice) / 8) FROM log WHERE NOT crashed AND k % 11 <> 5
   UNION ALL SELECT file, k * 8 + 4, 'Running time of MRFairFFT = ' || CAST(floor(o_totalprice) AS BIGINT) || ' ms' FROM log WHERE NOT crashed),
 seen AS (
-  SELECT file, line,
+  SELECT file, line, value,
          nullif(regexp_extract(value, '{runs.HEADER}', 1), '') AS workers,
-         nullif(regexp_extract(value, '{runs.CONFIG}', 1), '') AS path,
+         CASE WHEN regexp_matches(value, '{runs.CONFIG}') THEN regexp_extract(value, '{runs.CONFIG}', 1) END AS path,
          nullif(regexp_extract(value, '{runs.CONFIG}', 2), '') AS ka,
          nullif(regexp_extract(value, '{runs.CONFIG}', 3), '') AS kb,
          nullif(regexp_extract(value, '{runs.CONFIG}', 4), '') AS l,
          nullif(regexp_extract(value, '{runs.OBJECTIVE}', 1), '') AS objective,
          nullif(regexp_extract(value, '{runs.RUNTIME}', 1), '') AS runtime
   FROM lines),
+named AS (
+  SELECT *, CASE WHEN regexp_matches(path, '{runs.DATASET}') THEN regexp_extract(path, '{runs.DATASET}', 1) ELSE path END AS dataset FROM seen),
 carried AS (
-  SELECT *, last_value(workers IGNORE NULLS) OVER (PARTITION BY file ORDER BY line) AS w,
+  SELECT *, last_value(workers IGNORE NULLS) OVER w AS w, last_value(dataset IGNORE NULLS) OVER w AS p,
+         last_value(ka IGNORE NULLS) OVER w AS a, last_value(kb IGNORE NULLS) OVER w AS b,
+         last_value(l IGNORE NULLS) OVER w AS ll, last_value(objective IGNORE NULLS) OVER w AS o,
          count(runtime) OVER (PARTITION BY file ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run
-  FROM seen),
-filled AS (
-  SELECT *, last_value(path IGNORE NULLS) OVER r AS p, last_value(ka IGNORE NULLS) OVER r AS a,
-         last_value(kb IGNORE NULLS) OVER r AS b, last_value(l IGNORE NULLS) OVER r AS ll,
-         last_value(objective IGNORE NULLS) OVER r AS o
-  FROM carried WINDOW r AS (PARTITION BY file, run ORDER BY line)),
+  FROM named WINDOW w AS (PARTITION BY file ORDER BY line)),
+blocks AS (
+  SELECT file, run, max(w) FILTER (runtime IS NOT NULL) IS NOT NULL AS with_workers, count(objective) > 0 AS with_objective,
+         arg_max(dataset <> '', line) FILTER (dataset IS NOT NULL) AS with_dataset
+  FROM carried GROUP BY file, run HAVING count(runtime) > 0),
+found AS (
+  SELECT *, list_transform(range(4), lambda s: CASE WHEN coalesce(with_dataset, s >= 2) THEN 2 ELSE 0 END
+                                             + CASE WHEN with_objective OR s % 2 = 1 THEN 1 ELSE 0 END) AS reached FROM blocks),
+effects AS (
+  SELECT file, run, with_workers, reached,
+         list_transform(reached, lambda s: CASE WHEN s = 3 AND with_workers THEN 0 ELSE s END) AS effect FROM found),
+composed AS (
+  SELECT 1 AS step, file, run, effect FROM effects UNION ALL
+  SELECT 2 * p.step, p.file, p.run, CASE WHEN e.effect IS NULL THEN p.effect ELSE list_transform(e.effect, lambda s: p.effect[s + 1]) END
+  FROM composed p LEFT JOIN composed e ON e.file = p.file AND e.run = p.run - p.step
+  WHERE p.step <= (SELECT max(run) FROM effects)),
+before AS (SELECT file, run + 1 AS run, effect[1] AS state FROM composed WHERE step > (SELECT max(run) FROM effects)),
+finished AS (SELECT file, run FROM effects LEFT JOIN before USING (file, run) WHERE with_workers AND reached[coalesce(state, 0) + 1] = 3),
 records AS (
-  SELECT coalesce(nullif(regexp_extract(file, '{runs.VERSION}', 1), ''), 'unknown') AS version,
-         CASE WHEN regexp_matches(p, '{runs.DATASET}') THEN regexp_extract(p, '{runs.DATASET}', 1) ELSE p END AS dataset,
+  SELECT coalesce(nullif(regexp_extract(file, '{runs.VERSION}', 1), ''), 'unknown') AS version, p AS dataset,
          CAST(w AS INT) AS workers, CAST(ll AS INT) AS l, CAST(runtime AS BIGINT) AS runtime_ms,
          a AS ka, b AS kb, CAST(o AS DOUBLE) AS objective
-  FROM filled WHERE runtime IS NOT NULL AND w IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL AND p <> '' AND NOT regexp_matches(p, 'Artificial\\.csv'))"""
+  FROM carried JOIN finished USING (file, run) WHERE runtime IS NOT NULL)"""
 
 
 def all_oracles() -> dict[str, str]:
@@ -244,7 +262,7 @@ def all_oracles() -> dict[str, str]:
     averages = f"{quality()}, means AS (SELECT algorithm, param, {means} FROM experiments GROUP BY ALL)"
     counts = "count(*) AS n, count(*) FILTER (label = 'A') AS na, count(*) FILTER (label <> 'A') AS nb"
     return {
-        "point_scan": f"WITH points AS ({POINTS}) SELECT x0, x1, x2, label FROM points",
+        "point_scan": f"WITH points AS ({POINTS}) SELECT row_number() OVER (ORDER BY id) - 1 AS id, x0, x1, x2, label FROM points",
         "point_parse": "SELECT o_orderkey AS id, CAST(o_custkey AS DOUBLE) AS x0, CAST(o_orderkey AS DOUBLE) AS x1, "
         "CAST(month(o_orderdate) AS DOUBLE) AS x2, CAST(year(o_orderdate) AS DOUBLE) AS x3, "
         "floor(o_totalprice) AS x4, o_orderstatus AS label FROM orders",

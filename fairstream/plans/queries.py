@@ -56,9 +56,10 @@ def point_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "points")
     points = tb.order_points(spark, sf)
     fields = [F.col("coords")[i].cast("string") for i in range(3)]
-    points.select(F.concat_ws(",", *fields, "label").alias("value")).write.text(path)
+    dealt = points.repartitionByRange("id").sortWithinPartitions("id")
+    dealt.select(F.concat_ws(",", *fields, "label").alias("value")).write.text(path)
     axes = [F.col("coords")[i].alias(f"x{i}") for i in range(3)]
-    return read_points(spark, path).select(*axes, "label")
+    return read_points(spark, path).select("id", *axes, "label")
 
 
 def point_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,14 +297,10 @@ def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stream_text_frequent(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as text files of unequal size that all come in one batch; the prefix ends in the second."""
+    """Events as text files that all come in one batch; the prefix ends inside a file."""
     items = tb.event_items(spark, sf)
     rows, inbox = items.count(), scratch_path(spark, "inbox")
-    ends = [0, rows // 10, rows * 9 // 10, rows]
-    for low, high in zip(ends, ends[1:]):
-        # a file keeps the order of its lines, so one task writes each
-        part = items.filter((F.col("seq") >= low) & (F.col("seq") < high)).repartition(1).sortWithinPartitions("seq")
-        part.select(F.col("item").cast("string").alias("value")).write.mode("append").text(inbox)
+    tb.write_in_order(items.select("seq", F.col("item").cast("string").alias("value")), "seq", inbox, rows // 3 + 1)
     root, checkpoint = scratch_path(spark, "stream"), scratch_path(spark, "offsets")
     run = frequency_run(prefix_length(rows))
     jobs.start_frequency(read_item_stream(spark, inbox, "text"), root, checkpoint, run).awaitTermination()
@@ -355,7 +352,7 @@ def run_logs_file(spark: SparkSession, sf: str) -> DataFrame:
     """The same logs written as files of their names, and those of known name read by glob."""
     folder = scratch_path(spark, "logs")
     tb.write_logs(tb.order_logs(spark, sf), folder)
-    return runs.run_records(read_run_logs(spark, f"{folder}/combined_logs_*"))
+    return runs.run_records(read_run_logs(spark, f"{folder}/file=combined_logs_*"))
 
 
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:

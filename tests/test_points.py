@@ -57,3 +57,18 @@ def test_parts_cover_all_points_evenly(spark):
 def test_all_blanks_are_stripped_and_infinite_numbers_stay(lines):
     rows = parse_points(lines("1,2,A\u00a0", "\u2003inf,3e1,1.5d\x85")).orderBy("id").collect()
     assert [(r.coords, r.label) for r in rows] == [([1.0, 2.0], "A"), ([float("inf"), 30.0], "1.5d")]
+
+
+def test_ids_are_line_numbers_whatever_the_splits(spark, tmp_path):
+    """Two files and blank lines; small and large input splits give the same ids."""
+    for name, first in (("a.csv", 0), ("b.csv", 400)):
+        lines = [f"{i},{i % 7},{'AB'[i % 2]}" if i % 50 else "" for i in range(first, first + 400)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    found = []
+    for size in ("200b", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found.append(sorted((r.id, r.coords[0]) for r in read_points(spark, str(tmp_path), drop_blank=True).collect()))
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert found[0] == found[1] == [(i, float(i)) for i in range(800) if i % 50]

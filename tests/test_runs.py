@@ -99,3 +99,57 @@ def test_version_by_file_name_and_no_empty_data_set(spark):
     files = {"/x/combined_logs_old/combined_logs_v1.txt": log}
     found = [(r.version, r.dataset, r.runtime_ms) for r in runs.run_records(lines(spark, files, 3)).collect()]
     assert found == [("v1", "X", 6)]
+
+
+def read_in_order(text):
+    """A reader of one log, line by line: what it has in hand goes with each record."""
+    import re
+
+    workers = config = objective = None
+    for line in text:
+        if m := re.search(runs.HEADER, line):
+            workers = int(m[1])
+        elif m := re.search(runs.CONFIG, line):
+            named = re.search(runs.DATASET, m[1])
+            config = (named[1] if named else m[1], int(m[4]), m[2], m[3])
+        elif m := re.search(runs.OBJECTIVE, line):
+            objective = float(m[1])
+        elif (m := re.search(runs.RUNTIME, line)) and config and config[0] and workers is not None and objective is not None:
+            yield config[0], workers, config[1], int(m[1]), config[2], config[3], objective
+            config = objective = None
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_malformed_logs_against_a_line_by_line_reader(spark, seed):
+    """Lines of all kinds in any order: values outlive runtime lines that are no records."""
+    import random
+
+    rng = random.Random(seed)
+    kinds = [
+        lambda: f"=== FILE: a_{rng.randint(1, 16)}.log ===",
+        lambda: f"File path = Artificial{rng.choice(['', 'N1', 'N2'])}.csv, KA = {rng.randint(1, 9)}, KB = 2, L = 16",
+        lambda: f"Objective function = {rng.randint(1, 99)}.5",
+        lambda: f"Running time of MRFairFFT = {rng.randint(1, 999)} ms",
+        lambda: "Center = [1.0] Label = A",
+    ]
+    files = {f"combined_logs_v{i}.txt": [rng.choice(kinds)() for _ in range(rng.choice([0, 3, 60, 400]))] for i in range(6)}
+    expected = sorted((f"v{i}", *r) for i, text in enumerate(files.values()) for r in read_in_order(text))
+    for chunk in (1, 7, 1000):
+        found = sorted(tuple(r) for r in runs.run_records(lines(spark, files, chunk)).collect())
+        assert found == expected
+
+
+def test_a_log_in_several_files(spark, tmp_path):
+    """A folder of files is one log, read in order of the paths and splits."""
+    from fairstream.plans.tables import write_logs
+
+    text = LOG * 40
+    rows = [("combined_logs_v1.txt", 0, i, v) for i, v in enumerate(text)] + [("other.txt", 0, i, v) for i, v in enumerate(LOG)]
+    made = spark.createDataFrame(rows, "file string, chunk bigint, line bigint, value string")
+    write_logs(made, str(tmp_path / "logs"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        found = runs.run_records(read_run_logs(spark, f"{tmp_path}/logs/file=combined_logs_*")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(tuple(r) for r in found) == sorted(("v1", *r) for r in read_in_order(text))
