@@ -7,6 +7,7 @@ Coordinates are added in the order of the SQL expression, and the results agree
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,10 @@ from pyspark.sql.pandas.functions import ArrowUDFType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 CENTERS_AT_ONCE = 16
+#: From so many centers on they are put into groups, and whole groups are left out by bounds.
+LEAST_FOR_TREE = 64
+#: Far above the rounding of a distance, far below what would cost.
+SLACK = 1e-9
 
 
 def squared_to_nearest(axes: np.ndarray, centers: np.ndarray) -> np.ndarray:
@@ -36,6 +41,74 @@ def squared_to_nearest(axes: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return best
 
 
+class CenterTree:
+    """Centers in some ``sqrt(n)`` balls, each around one of them.
+
+    By the triangle inequality no center of a ball is closer to a point than the distance to the
+    ball's own center less the radius. Distances are computed as in ``squared_to_nearest``, and what is
+    left out is farther by more than any rounding, so the results agree to the bit.
+    """
+
+    def __init__(self, centers: np.ndarray):
+        self.centers = centers
+        balls = int(np.ceil(np.sqrt(len(centers))))
+        nearest = np.full(len(centers), np.inf)
+        own, middles, at = np.zeros(len(centers), np.int64), [], 0
+        for ball in range(balls):  # farthest-first, as the clustering itself
+            middles.append(at)
+            gap = ((centers - centers[at]) ** 2).sum(1)
+            closer = gap < nearest
+            nearest[closer], own[closer] = gap[closer], ball
+            at = int(nearest.argmax())
+        self.middles = centers[middles]
+        self.balls = [np.flatnonzero(own == ball) for ball in range(balls)]
+        self.radii = np.array([np.sqrt(nearest[b].max(initial=0.0)) for b in self.balls])
+        self.products = 0
+
+    def squared(self, axes: np.ndarray) -> np.ndarray:
+        n = axes.shape[1]
+        to_middle = np.stack([squared_to_nearest(axes, m[None]) for m in self.middles])
+        self.products += to_middle.size
+        home = np.where(np.isnan(to_middle), np.inf, to_middle).argmin(0)
+        best = np.fmin.reduce(to_middle)
+
+        def meet(ball: int, points: np.ndarray) -> None:
+            members = self.centers[self.balls[ball]]
+            if len(points) and len(members):
+                self.products += len(points) * len(members)
+                best[points] = np.fmin(best[points], squared_to_nearest(axes[:, points], members))
+
+        for ball in range(len(self.balls)):
+            meet(ball, np.flatnonzero(home == ball))
+        far = np.sqrt(to_middle)
+        least = far - self.radii[:, None] - SLACK * (far + self.radii[:, None])
+        reach = np.sqrt(best)
+        for ball in range(len(self.balls)):
+            meet(ball, np.flatnonzero((least[ball] <= reach) & (home != ball)))
+            if n:
+                reach = np.sqrt(best)
+        return best
+
+
+def nearest_place(coords: Column, centers: np.ndarray) -> Column:
+    """``struct<place int, squared double>``: the first of the closest centers and the squared distance to it."""
+
+    def measured(points: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in points:
+            axes, whole = columns_of(batch, centers.shape[1])
+            best, place = np.full(axes.shape[1], np.inf), np.zeros(axes.shape[1], np.int32)
+            for i, center in enumerate(centers):
+                gap = squared_to_nearest(axes, center[None])
+                closer = gap < best
+                best[closer], place[closer] = gap[closer], i
+            out, at = np.full(len(batch), np.nan), np.zeros(len(batch), np.int32)
+            out[whole], at[whole] = best, place
+            yield pa.StructArray.from_arrays([pa.array(at), pa.array(out)], ["place", "squared"])
+
+    measured.__annotations__ = {"points": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(measured, "place int, squared double")(coords)
+
+
 def columns_of(coords: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """One row per coordinate of the points that have ``dims`` of them and no null, and which these are."""
     whole = pc.fill_null(pc.list_value_length(coords), -1).to_numpy(zero_copy_only=False) == dims
@@ -54,10 +127,12 @@ def nearest_in_batches(coords: Column, centers: np.ndarray, carried: Column | No
     ``carried`` is the distance to other centers.
     """
 
+    tree = CenterTree(centers) if len(centers) >= LEAST_FOR_TREE and np.isfinite(centers).all() else None
+
     def measured(points: pa.Array, *before: pa.Array) -> pa.Array:
         axes, whole = columns_of(points, centers.shape[1])
         out = np.full(len(points), np.nan)
-        out[whole] = squared_to_nearest(axes, centers)
+        out[whole] = tree.squared(axes) if tree else squared_to_nearest(axes, centers)
         if before:
             np.fmin(out, before[0].to_numpy(zero_copy_only=False), out=out)
         return pa.array(out, mask=~whole, from_pandas=False)

@@ -24,14 +24,17 @@ from pyspark.sql.types import StructType
 
 from fairstream.functions.distance import MAX_TERMS, nearest_in_state, nearest_to_known
 from fairstream.functions.hashing import draw
-from fairstream.functions.nearest import nearest_by_part
+from fairstream.functions.nearest import SLACK, nearest_by_part, nearest_place
 from fairstream.functions.traversal import farthest_first, first_of_best
 from fairstream.operators.points import is_a, with_part
-from fairstream.plans.storage import cut, stored
+from fairstream.plans.storage import cut, small_table, stored
 
 CENTERS = "rank int, id bigint, coords array<double>, label string"
 CORESET = f"part int, {CENTERS}"
 GROUP_BYTES = 256 << 20
+SMALL_ROWS = 10_000
+#: Blocks of the lazy traversal, and the share of them that is read first.
+BLOCKS, FIRST_LOOK = 256, 32
 BROADCAST_BYTES = 64 << 20
 
 
@@ -86,6 +89,78 @@ def fair_fft(points: DataFrame, ka: int, kb: int, first: str | int = "min_id") -
     return spark.createDataFrame(rows, CENTERS)
 
 
+def fair_fft_lazy(points: DataFrame, ka: int, kb: int, first: str | int = "min_id", blocks: int = BLOCKS) -> DataFrame:
+    """The centers of ``fair_fft``, with ``blocks_read``: how many blocks each took to find.
+
+    Points are put once into blocks around ``blocks`` of them and stored in that order. Of each block
+    and group the driver keeps an upper bound of the distance to the centers: the block's middle and
+    radius give one, and so does what a block had when it was last read, since distances only
+    fall. For a center the blocks of the largest bounds are read first, and then only those whose
+    bound is not below the best found. Where points are clumped most blocks are read a few times.
+    """
+    spark = points.sparkSession
+    base = points.select("id", "coords", "label", is_a().alias("in_a"))
+    top = base.agg(_first_point(first).alias("pick"), *_shape()).head()
+    if not top.n:
+        return spark.createDataFrame([], f"{CENTERS}, blocks_read int")
+    _checked(top)
+    chosen_first = base.orderBy(F.xxhash64("id"), "id").limit(blocks).select("coords").collect()
+    middles = np.array([r.coords for r in chosen_first], dtype=float).reshape(len(chosen_first), -1)
+    placed = base.withColumn("near", nearest_place(F.col("coords"), middles))
+    placed = placed.select("*", F.col("near.place").alias("block"), F.col("near.squared").alias("squared")).drop("near")
+    dealt_out = placed.repartitionByRange("block", F.xxhash64("id")).sortWithinPartitions("block")
+    held = stored(dealt_out, "lazy-blocks")
+    spread = held.groupBy("block", "in_a").agg(F.sqrt(F.max("squared")).alias("radius")).collect()
+    bound = {(r.block, r.in_a): math.inf for r in spread}
+    radius = {(r.block, r.in_a): r.radius for r in spread}
+
+    left, total = {True: ka, False: kb}, min(ka + kb, top.n)
+    chosen, pick, read = [], top.pick, 0
+    reads = []
+
+    def lowered(center: list[float]) -> None:
+        apart = np.sqrt(((middles - np.array(center)) ** 2).sum(1))
+        for key in bound:
+            bound[key] = min(bound[key], (apart[key[0]] + radius[key]) ** 2 * (1 + SLACK))
+
+    def looked_at(keys: list[tuple[int, bool]]) -> list[Row]:
+        """The farthest unchosen point of each block and group; their bounds become exact."""
+        md = nearest_to_known([p.coords for p in chosen], total * top.high)
+        own = held.filter(F.col("block").isin(sorted({k[0] for k in keys})) & ~F.col("id").isin([p.id for p in chosen]))
+        asked = {g: [b for b, own_group in keys if own_group == g] for g in (True, False)}
+        own = own.filter(F.when(F.col("in_a"), F.col("block").isin(asked[True])).otherwise(F.col("block").isin(asked[False])))
+        found = own.withColumn("md", md).groupBy("block", "in_a").agg(_farthest(F.lit(True), F.col("md")).alias("pick"), F.max("md").alias("md")).collect()
+        for key in keys:
+            bound[key] = -1.0  # all chosen
+        for r in found:
+            bound[r.block, r.in_a] = r.md
+        return found
+
+    while True:
+        chosen.append(pick)
+        reads.append(read)
+        left[pick.label == "A"] -= 1
+        if len(chosen) >= total:
+            break
+        lowered(pick.coords)
+        groups = {g for g in left if left[g] > 0 or left[not g] <= 0}
+        keys = [k for k in bound if k[1] in groups and bound[k] >= 0]
+        keys = sorted(keys or [k for k in bound if bound[k] >= 0], key=lambda k: -bound[k])
+        best, read = [], 0
+        while keys:
+            floor = max((r.md for r in best), default=None)
+            now = keys[: max(1, blocks // FIRST_LOOK)] if floor is None else [k for k in keys if bound[k] >= floor]
+            keys = [] if floor is not None else keys[len(now) :]
+            if now:
+                read += len({k[0] for k in now})
+                best += looked_at(now)
+            if not keys and not best:  # the groups with a budget have no point left
+                keys = sorted((k for k in bound if bound[k] >= 0), key=lambda k: -bound[k])
+        pick = max(best, key=lambda r: (r.md, -r.pick.id)).pick
+    rows = [(rank, p.id, p.coords, p.label, n) for rank, (p, n) in enumerate(zip(chosen, reads))]
+    return spark.createDataFrame(rows, f"{CENTERS}, blocks_read int")
+
+
 def mr_fair_fft(
     points: DataFrame,
     ka: int,
@@ -94,17 +169,43 @@ def mr_fair_fft(
     first: str | int = "min_id",
     group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
-    """Two rounds: the traversal in each of ``parts`` parts, then on the union of the results."""
+    """Two rounds: the traversal in each of ``parts`` parts, then on the union of the results.
+
+    Points that ``dealt`` has placed (and a cache holds) are solved where they are, without a shuffle.
+    """
+    if "part" in points.columns:
+        return _on_placed(points, ka, kb, parts, first, group_bytes)
     shape = points.agg(*_shape()).head()
     dims = _checked(shape)
     coreset = local_centers(with_part(points, parts), ka, kb, parts, first, group_bytes, (shape.n, dims))
     if parts * max(1, ka + kb) * _row_bytes(dims) <= group_bytes:
         # the coreset's size is bounded by the parameters, so one group holds it
-        merged = _solve_groups(coreset.withColumn("part", F.lit(0)), ka, kb, first, 1)
-        return cut(merged.drop("part"))
+        return _merged(coreset, ka, kb, first)
     return fair_fft(stored(coreset, "coreset"), ka, kb, first)
 
 
+def _merged(coreset: DataFrame, ka: int, kb: int, first: str | int) -> DataFrame:
+    """Round two over a coreset that one group holds; so few rows are a literal of later plans."""
+    merged = _solve_groups(coreset.withColumn("part", F.lit(0)), ka, kb, first, 1)
+    return small_table(merged.drop("part"), SMALL_ROWS)[0]
+
+
+def dealt(points: DataFrame, parts: int) -> DataFrame:
+    """``points`` with ``part``, each part in a partition of its own: persist it and use it again and again."""
+    return with_part(points, parts).repartitionById(parts, F.col("part"))
+
+
+def _on_placed(points: DataFrame, ka: int, kb: int, parts: int, first: str | int, group_bytes: int) -> DataFrame:
+    """The rounds over points as ``dealt`` left them; the solving tasks check the points themselves."""
+    where = points.select("part", F.spark_partition_id().alias("at"), F.size("coords").alias("dims"))
+    spread = [F.count(F.lit(1)).alias("n"), F.min("at").alias("low"), F.max("at").alias("high"), F.max("dims").alias("dims")]
+    found = where.groupBy("part").agg(*spread).collect()
+    dims, largest = max((r.dims for r in found), default=0), max((r.n for r in found), default=0)
+    if any(r.low != r.high for r in found) or max(largest, parts * max(1, ka + kb)) * _row_bytes(dims) > group_bytes:
+        return mr_fair_fft(points.drop("part"), ka, kb, parts, first, group_bytes)
+    return _merged(_solve_groups(points, ka, kb, first, parts, placed=True), ka, kb, first)
+
+
 def local_centers(
     points: DataFrame,
     ka: int,
@@ -163,9 +264,12 @@ def _row_bytes(dims: int) -> int:
 
 
 def _solve_groups(
-    points: DataFrame, ka: int, kb: int, first: str | int, parts: int
+    points: DataFrame, ka: int, kb: int, first: str | int, parts: int, placed: bool = False
 ) -> DataFrame:
-    """One partition per part, each solved in memory; ``part`` is 0..parts-1."""
+    """One partition per part, each solved in memory; ``part`` is 0..parts-1.
+
+    With ``placed`` no part lies in two partitions, and one partition may hold several.
+    """
     sent = points.select(
         "part", "id", "coords", "label", is_a().alias("in_a"), _start_key(first).alias("key")
     )
@@ -175,20 +279,30 @@ def _solve_groups(
         held = list(batches)
         if not held:
             return
-        group = pa.Table.from_batches(held).combine_chunks()
+        whole = pa.Table.from_batches(held).combine_chunks()
         held.clear()
+        for part in whole["part"].unique().to_pylist():
+            mine = whole["part"].to_numpy() == part
+            yield from solved(whole if mine.all() else whole.filter(pa.array(mine)))
+
+    def solved(group: pa.Table) -> list[pa.RecordBatch]:
         ids, keys = group["id"].to_numpy(), group["key"].to_numpy()
-        axes = group["coords"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).T.copy()
+        coords = group["coords"].combine_chunks()
+        sizes = coords.value_lengths().to_numpy(zero_copy_only=False)
+        if len(sizes) and (sizes != sizes[0]).any():
+            raise ValueError(f"points have between {sizes.min()} and {sizes.max()} coordinates")
+        axes = coords.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).T.copy()
+        if not np.isfinite(axes).all():
+            raise ValueError("points have coordinates that are not finite")
         start = first_of_best(ids, -keys)
         picks = farthest_first(ids, axes, group["in_a"].to_numpy(), ka, kb, start)
         out = group.take(pa.array(picks))
         ranks = pa.array(np.arange(len(picks), dtype=np.int32))
         columns = [out["part"], ranks, out["id"], out["coords"], out["label"]]
         # the cast drops the NOT NULL that Spark may know of the coordinates
-        table = pa.table([c.cast(f.type) for c, f in zip(columns, result)], schema=result)
-        yield from table.to_batches()
+        return pa.table([c.cast(f.type) for c, f in zip(columns, result)], schema=result).to_batches()
 
-    return sent.repartitionById(parts, F.col("part")).mapInArrow(solve, CORESET)
+    return (sent if placed else sent.repartitionById(parts, F.col("part"))).mapInArrow(solve, CORESET)
 
 
 def _solve_in_step(

@@ -273,12 +273,14 @@ def all_oracles() -> dict[str, str]:
         "FROM points JOIN customer ON c_custkey = x0",
         "fair_fft": exact(q.KA, q.KB) + CENTERS,
         "fair_fft_seeded": exact(q.KA, q.KB, q.SEED) + CENTERS,
+        "fair_fft_lazy": exact(q.KA, q.KB) + CENTERS,
         "fair_fft_one_budget": exact(0, 5) + CENTERS,
         "fair_fft_embeddings": embedding + " SELECT rank, id, label FROM centers",
         "fair_fft_embeddings_radius": embedding + near(64) + RADIUS,
         "local_centers": coreset,
         "local_centers_in_step": coreset,
         "mr_fair_fft": two_rounds(q.KA, q.KB, q.PARTS) + CENTERS,
+        "mr_fair_fft_placed": two_rounds(q.KA, q.KB, q.PARTS) + CENTERS,
         "mr_fair_fft_seeded": two_rounds(8, 2, 16, q.SEED) + CENTERS,
         "nearest_center": exact(q.KA, q.KB) + near() + " SELECT id, label, round(sqrt(md), 6) AS distance FROM near",
         "objective": two_rounds(q.KA, q.KB, q.PARTS) + near() + RADIUS,

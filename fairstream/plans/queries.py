@@ -14,7 +14,7 @@ from fairstream.functions.quality import classify
 from fairstream.operators import distinct as ds
 from fairstream.operators import frequency as fq
 from fairstream.operators import runs, words
-from fairstream.operators.kcenter import fair_fft, local_centers, mr_fair_fft
+from fairstream.operators.kcenter import dealt, fair_fft, fair_fft_lazy, local_centers, mr_fair_fft
 from fairstream.operators.points import label_counts, with_part
 from fairstream.operators.radius import nearest_center, objective
 from fairstream.operators.selection import kth_smallest
@@ -369,6 +369,8 @@ def all_queries() -> dict[str, Query]:
         "squared_distance": distances,
         "fair_fft": lambda s, d: _flat(fair_fft(points(s, d), KA, KB)),
         "fair_fft_seeded": lambda s, d: _flat(fair_fft(points(s, d), KA, KB, first=SEED)),
+        "fair_fft_lazy": lambda s, d: _flat(fair_fft_lazy(points(s, d), KA, KB)),
+        "mr_fair_fft_placed": lambda s, d: _flat(mr_fair_fft(dealt(points(s, d), PARTS), KA, KB, PARTS)),
         "fair_fft_one_budget": lambda s, d: _flat(fair_fft(points(s, d), 0, 5)),
         "fair_fft_embeddings": embedding_centers,
         "fair_fft_embeddings_radius": embedding_radius,

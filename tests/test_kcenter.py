@@ -1,11 +1,12 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from fairstream.functions import distance
 from fairstream.operators import kcenter, radius
-from fairstream.operators.kcenter import fair_fft, local_centers, mr_fair_fft
+from fairstream.operators.kcenter import dealt, fair_fft, fair_fft_lazy, local_centers, mr_fair_fft
 from fairstream.operators.points import with_part
 
 SCHEMA = "id bigint, coords array<double>, label string"
@@ -214,3 +215,63 @@ def test_passes_scan_without_shuffling_points(spark, tmp_path):
     step = df.agg(kcenter._farthest(df.id > 0, distance.nearest_to_known([[1.0, -2.0]])))
     plan = step._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "Exchange SinglePartition" in plan
+
+
+def clumped(n, clumps, dims, seed=0):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(0, 100, (clumps, dims))
+    return middles[rng.integers(0, clumps, n)] + rng.normal(0, 1, (n, dims))
+
+
+@pytest.mark.parametrize("budgets", [(40, 20), (3, 90), (0, 60)])
+@pytest.mark.parametrize("make", [lambda: clumped(3000, 30, 4), lambda: np.random.default_rng(1).integers(0, 6, (2000, 3)).astype(float)])
+def test_clusters_give_the_plain_traversal(monkeypatch, make, budgets):
+    from fairstream.functions import traversal
+
+    points = make()
+    ids = np.random.default_rng(2).permutation(len(points))
+    in_a = ids % 13 < 10
+    axes = points.T.copy()
+    pruned = traversal.Clusters(ids, axes, in_a)
+    got = pruned.farthest_first(*budgets, 5)
+    monkeypatch.setattr(traversal, "LEAST_FOR_CLUSTERS", 10**9)
+    assert got == traversal.farthest_first(ids, axes, in_a, *budgets, 5)
+    if len(points) == 3000:  # clumps: most clusters are left out
+        assert pruned.distances < 0.5 * len(points) * sum(budgets)
+
+
+def lazy_points(spark, n=6000, clumps=40):
+    rows = [(i, x.tolist(), "A" if i % 13 < 10 else "B") for i, x in enumerate(clumped(n, clumps, 3, seed=4))]
+    return spark.createDataFrame(rows, "id bigint, coords array<double>, label string")
+
+
+def test_lazy_traversal_reads_few_blocks_of_clumped_points(spark):
+    points = lazy_points(spark).cache()
+    plain = [r.id for r in fair_fft(points, 12, 6).orderBy("rank").collect()]
+    lazy = fair_fft_lazy(points, 12, 6, blocks=120).orderBy("rank").collect()
+    assert [r.id for r in lazy] == plain
+    assert sum(r.blocks_read for r in lazy) < 120 * 18 / 3
+
+
+@pytest.mark.parametrize("budgets", [(2, 2), (0, 3), (4, 0), (20, 20)])
+def test_lazy_traversal_of_few_and_equal_points(spark, budgets):
+    """Ties, repeated points, a group that runs out and more centers than points."""
+    rows = [(i, [float(i % 3), 0.0], "A" if i < 4 else "B") for i in range(12)]
+    points = spark.createDataFrame(rows, "id bigint, coords array<double>, label string")
+    plain = [tuple(r) for r in fair_fft(points, *budgets).orderBy("rank").collect()]
+    lazy = fair_fft_lazy(points, *budgets, blocks=5).drop("blocks_read").orderBy("rank").collect()
+    assert [tuple(r) for r in lazy] == plain
+    assert fair_fft_lazy(points.limit(0), *budgets).collect() == []
+
+
+def test_placed_points_need_no_shuffle(spark):
+    points = lazy_points(spark, 4000)
+    held = dealt(points, 6).persist()
+    plain = [tuple(r) for r in mr_fair_fft(points, 5, 3, 6).orderBy("rank").collect()]
+    assert [tuple(r) for r in mr_fair_fft(held, 5, 3, 6).orderBy("rank").collect()] == plain
+    # a part in several partitions is dealt again
+    assert [tuple(r) for r in mr_fair_fft(held.repartition(4), 5, 3, 6).orderBy("rank").collect()] == plain
+    held.unpersist()
+    bad = spark.createDataFrame([(1, [1.0, 2.0], "A"), (2, [float("nan"), 0.0], "A")], points.schema)
+    with pytest.raises(Exception, match="not finite"):
+        mr_fair_fft(dealt(bad, 2), 1, 1, 2)

@@ -41,3 +41,33 @@ def test_each_part_has_its_own_centers(spark):
 def test_small_tables_keep_all_rows(spark, rows):
     kept, count = small_table(spark.range(rows), 5)
     assert count == rows and sorted(r.id for r in kept.collect()) == list(range(rows))
+
+
+@pytest.mark.parametrize("clumps", [1, 40])
+def test_balls_of_centers_agree_to_the_bit(clumps):
+    from fairstream.functions import nearest
+
+    rng = np.random.default_rng(clumps)
+    middles = rng.normal(0, 50, (clumps, 5))
+    centers = middles[rng.integers(0, clumps, 2000)] + rng.normal(0, 1, (2000, 5))
+    points = middles[rng.integers(0, clumps, 3000)] + rng.normal(0, 1, (3000, 5))
+    points[:3] = [[np.inf] * 5, [np.nan] * 5, [1e300] * 5]
+    points[3:9] = centers[:6]
+    with np.errstate(all="ignore"):
+        tree = nearest.CenterTree(centers)
+        got, plain = tree.squared(points.T.copy()), nearest.squared_to_nearest(points.T.copy(), centers)
+    assert np.array_equal(got, plain, equal_nan=True)
+    assert clumps == 1 or tree.products < 0.2 * len(centers) * len(points)
+
+
+def test_ten_thousand_centers_in_one_pass(spark):
+    from fairstream.operators.radius import nearest_center
+
+    rng = np.random.default_rng(3)
+    at = rng.normal(0, 100, (60, 3))
+    rows = [(i, (at[i % 60] + rng.normal(0, 1, 3)).tolist()) for i in range(12_000)]
+    centers = spark.createDataFrame(rows[:10_000], "id bigint, coords array<double>").select("coords")
+    points = spark.createDataFrame(rows[10_000:], "id bigint, coords array<double>")
+    found = {r.id: r.distance for r in nearest_center(points, centers).collect()}
+    known = np.array([c for _, c in rows[:10_000]])
+    assert all(found[i] == pytest.approx(np.sqrt(((known - np.array(c)) ** 2).sum(1).min()), rel=1e-12) for i, c in rows[10_000:10_200])
