@@ -15,7 +15,7 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairstream.llm.urls import host_of
@@ -42,6 +42,12 @@ LEFT_OUT_WORDS = frozenset(
     "related replies reply respond share sharing sidebar signup skip social sponsor sponsored sponsors subscribe "
     "subscription toolbar topbar widget widgets".split()
 )
+# fixed value: words that say nothing more about a box than that it is one, or where
+FILLERS = frozenset(
+    "area bar block blocks bottom box boxes button buttons center container controls count cta div entries field group inner "
+    "item items js label layer left line link links list loop main mobile module outer page panel post posts primary "
+    "right row section secondary site slot sub tag title top unit wrap wrapper zone".split()
+)
 ARTICLE_WORDS = frozenset("article body content entry main post story text".split())
 # start tags that end an open paragraph, and elements that end another of their kind
 ENDS_PARAGRAPH = frozenset(
@@ -65,17 +71,21 @@ DIGITS = re.compile(r"\d+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MIN_SHARE = 0.1
+# so many boxes of one class with so much of a container's text are a list
+BOXES, LIKE_BOXES, MOSTLY = frozenset("article div li section".split()), 3, 0.8
+# what is marked as the article needs so much of the best score
+LEAST_ARTICLE = 0.02
 # a box put out by its name only is kept from so much of the page's unlinked text; the first share needs the headline too
 MOST, NEARLY_ALL = 0.5, 0.9
 
 
 class Element:
-    __slots__ = ("tag", "path", "parent", "out", "named_out", "article", "score", "bonus")
+    __slots__ = ("tag", "path", "parent", "out", "named_out", "hinted", "article", "score", "bonus")
 
-    def __init__(self, tag: str, classes: list[str], parent: Element | None, out: bool, article: bool, bonus: float, named_out: bool = False):
+    def __init__(self, tag: str, classes: list[str], parent: Element | None, out: bool, article: bool, bonus: float, named_out: bool = False, hinted: bool = False):
         step = ".".join([tag, *sorted({DIGITS.sub("#", c) for c in classes})])
         self.tag, self.parent, self.out, self.article, self.bonus = tag, parent, out, article, bonus
-        self.named_out = named_out
+        self.named_out, self.hinted = named_out, hinted
         self.path = f"{parent.path}>{step}" if parent else step
         self.score = 0.0
 
@@ -90,26 +100,41 @@ def _attributes(rest: str) -> dict[str, str]:
 def _element(tag: str, rest: str, parent: Element | None) -> Element:
     attributes = _attributes(rest) if "=" in rest or "hidden" in rest else {}
     classes = attributes.get("class", "").split()
-    words = {w.lower() for c in [*classes, attributes.get("id", "")] for w in NAME_PARTS.findall(c)}
+    names = [{w.lower() for w in NAME_PARTS.findall(c)} for c in [*classes, attributes.get("id", "")]]
+    words = set().union(*names)
     inside = parent is not None and parent.article
     article = inside or tag in ("article", "main")
     out = tag in LEFT_OUT and tag != "form" or attributes.get("role", "").lower() in LEFT_OUT_ROLES
     out = out or (not inside and tag == "header")
-    named_out = bool(words & LEFT_OUT_WORDS) or (not inside and "header" in words)
-    named_out = tag == "form" or (named_out and tag not in ("html", "body", "article", "main"))
-    # inside a line there is no wrapper to judge
-    out = out or (named_out and tag in INLINE)
+    telling = LEFT_OUT_WORDS if inside else LEFT_OUT_WORDS | {"header"}
+    # a name tells if all of it does; a part of one is a hint, for which the links in the box decide.
+    # Inside a line names say nothing
+    judged = tag not in INLINE and tag not in ("html", "body", "article", "main")
+    named_out = tag == "form" or judged and any(n & telling and n <= telling | FILLERS for n in names)
+    hinted = judged and not named_out and bool(words & telling)
     out = out or "hidden" in attributes or attributes.get("aria-hidden") == "true" or bool(HIDDEN.search(attributes.get("style", "")))
     bonus = 2.0 if tag in ("article", "main") else 1.3 if words & ARTICLE_WORDS else 1.0
-    return Element(tag, classes, parent, out or (parent is not None and parent.out), article, bonus, named_out)
+    return Element(tag, classes, parent, out or (parent is not None and parent.out), article, bonus, named_out, hinted)
 
 
 def _without_named_out(blocks: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
     """The blocks outside of forms and of boxes named as no part of an article.
 
-    Such a box is a wrapper, and stays, if it holds a ``main``, the longest ``article`` of the
-    page, most of the page's unlinked text with its first ``h1``, or nearly all of that text.
+    A box with only a hint of that in its name is one of them if most of its text is in links. Such
+    a box is a wrapper, and stays, if it holds a ``main``, the longest ``article`` of the page,
+    most of the page's unlinked text with its first ``h1``, or nearly all of that text.
     """
+    size: dict[int, list[int]] = {}
+    hints: dict[int, Element] = {}
+    for element, text, linked in blocks:
+        while element.parent is not None:
+            if element.hinted:
+                hints[id(element)] = element
+                held = size.setdefault(id(element), [0, 0])
+                held[0], held[1] = held[0] + len(text), held[1] + linked
+            element = element.parent
+    for key, element in hints.items():
+        element.named_out = 2 * size[key][1] > size[key][0]
     above: list[list[Element]] = []
     free: dict[int, int] = {}
     named: dict[int, Element] = {}
@@ -245,8 +270,31 @@ def parse(html: str) -> list[tuple[Element, str, int]]:
     return _without_named_out(blocks)
 
 
+def _like_boxes(blocks: list[tuple[Element, str, int]]) -> dict[int, float]:
+    """Which share of its text a container has in three or more boxes of one class, as readers' comments are."""
+    whole: dict[int, int] = {}
+    boxes: dict[tuple[int, str], dict[int, int]] = {}
+    for element, text, _ in blocks:
+        while element.parent is not None:
+            parent = element.parent
+            whole[id(parent)] = whole.get(id(parent), 0) + len(text)
+            if element.tag in BOXES and element.path[len(parent.path) :].count("."):
+                own = boxes.setdefault((id(parent), element.path), {})
+                own[id(element)] = own.get(id(element), 0) + len(text)
+            element = parent
+    found: dict[int, float] = {}
+    for (parent, _), own in boxes.items():
+        if len(own) >= LIKE_BOXES:
+            found[parent] = max(found.get(parent, 0.0), sum(own.values()) / whole[parent])
+    return found
+
+
 def best_path(blocks: list[tuple[Element, str, int]]) -> str | None:
-    """Path of the container with the best score; text counts less the farther out, links not at all."""
+    """Path of the container with the best score; text counts less the farther out, links not at all.
+
+    A container that is mostly a list of like boxes counts half. If the best of those that are or
+    lie in an ``article`` or ``main`` is no mere list and has a share of the best score, it is taken.
+    """
     seen: dict[int, Element] = {}
     for element, text, linked in blocks:
         weight = (len(text) - linked) * (1 - linked / len(text))
@@ -259,8 +307,25 @@ def best_path(blocks: list[tuple[Element, str, int]]) -> str | None:
             at.score += weight * step * at.bonus
             step *= 0.6
             at = at.parent
+    lists = {key for key, share in _like_boxes(blocks).items() if share > MOSTLY}
+    for key in lists & seen.keys():
+        seen[key].score *= 0.5
     best = max(seen.values(), key=lambda e: e.score, default=None)
-    return _whole(best, blocks).path if best is not None and best.score > 0 else None
+    if best is None or best.score <= 0:
+        return None
+    inside = [e for e in seen.values() if e.article and id(e) not in lists and not _one_of_many(e, lists)]
+    marked = max(inside, key=lambda e: e.score, default=None)
+    if not best.article and marked is not None and marked.score >= LEAST_ARTICLE * best.score:
+        best = marked
+    return _whole(best, blocks).path
+
+
+def _one_of_many(element: Element, lists: set[int]) -> bool:
+    while element is not None:
+        if element.parent is not None and id(element.parent) in lists and element.tag in BOXES:
+            return True
+        element = element.parent
+    return False
 
 
 def _whole(best: Element, blocks: list[tuple[Element, str, int]]) -> Element:
@@ -334,11 +399,16 @@ BROADCAST_ROWS = 50_000
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, paths``: per host the paths with a tenth of its votes or more, most votes first."""
+    """``host, paths``: per host the path with most votes and those with a tenth of them or more, most votes first.
+
+    Of equal votes the first path counts. Votes are counted by host and path before they meet by
+    host, where sums and a maximum suffice, so a host with very many paths is no large group.
+    """
     votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_votes, "host string, path string")
-    counts = votes.filter("path IS NOT NULL").groupBy("host", "path").count()
-    share = F.col("count") / F.sum("count").over(Window.partitionBy("host"))
-    kept = counts.withColumn("share", share).filter(F.col("share") >= MIN_SHARE)
+    counts = stored(votes.filter("path IS NOT NULL").groupBy("host", "path").count(), "host-votes")
+    best = F.min(F.struct((-F.col("count")).alias("n"), "path"))
+    hosts = counts.groupBy("host").agg(F.sum("count").alias("votes"), best["path"].alias("most"))
+    kept = counts.join(hosts, "host").filter((F.col("count") >= MIN_SHARE * F.col("votes")) | (F.col("path") == F.col("most")))
     order = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "path")))
     return stored(kept.groupBy("host").agg(order.alias("o")).select("host", F.col("o.path").alias("paths")), "host-paths")
 
@@ -346,9 +416,11 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """``page_id, url, html`` -> ``page_id, url, text, n_chars``, one row per row.
 
-    The whole page is read. A null or empty page, or one without an article, has an empty text.
-    Pages without a host (also those with a null URL) vote together. Repeated rows give repeated
-    rows; other columns are not read.
+    The whole page is read, however long. A null or empty page, or one without an article, has an
+    empty text. Pages without a host (also those with a null URL) vote together. Of paths with equal
+    votes the first by name counts, of containers with equal scores the first of the page.
+    Repeated rows vote and come out as often as they are; an empty table gives an empty result;
+    other columns are not read.
     """
     paths = host_paths(pages)
     paths = paths.select(F.col("host").alias("path_host"), "paths")

@@ -92,3 +92,97 @@ def test_headline_and_lead_in_boxes_of_their_own(spark):
                 rows.append((len(rows), f"http://h{shapes.index(shape)}.example/x", html_text))
     found = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
     assert {r.page_id: r.text for r in found.collect()} == wanted
+
+
+def test_names_inside_a_line_say_nothing():
+    line = "<p>We took <span class='notice'>great care</span> of it and <em class='ad-hoc'>so on</em>.</p>"
+    assert html.main_text(f"<body><article>{line}</article></body>", []) == "We took great care of it and so on."
+
+
+def test_a_part_of_a_name_is_only_a_hint():
+    """Boxes of the article whose names hold a telling word stay; lists of links under such names go."""
+    story = "<h1>T</h1><p>First words of the story.</p>"
+    kept = "<div class='related-work'><h2>Related work</h2><p>Others did it.</p></div><section id='social-history'><h2>Life</h2><p>Born early.</p></section>"
+    links = "<div class='related-reading'><a href=/a>One more page</a> <a href=/b>And another</a></div>"
+    gone = "<div class='related-posts'><p>Read on</p></div><div class='share-buttons'>Send</div><div class='ad-box'>Buy</div>"
+    text = html.main_text(f"<body><article>{story}{kept}{links}{gone}<p>Last words.</p></article></body>", [])
+    assert text == "\n\n".join(["T", "First words of the story.", "Related work", "Others did it.", "Life", "Born early.", "Last words."])
+
+
+def test_comments_under_an_unknown_name():
+    """Readers write far more than the author, in boxes of one shape."""
+    said = "".join(f"<div class='r r{i}'><b>Reader {i}</b><p>{'I think so too, and more. ' * 6}</p></div>" for i in range(30))
+    story = "<h1>Title</h1><p>The story is short.</p><p>It ends here.</p>"
+    wanted = "Title\n\nThe story is short.\n\nIt ends here."
+    for inner in (f"<article>{story}</article><div class='responses'>{said}</div>", f"<main><article>{story}</article></main><ol class='responses'>{said.replace('div', 'li')}</ol>"):
+        assert html.main_text(f"<body>{inner}</body>", []) == wanted
+
+
+def test_a_host_of_many_layouts(spark):
+    """No path has a tenth of the votes; the one with most still counts."""
+    page = "<body><div class='{}'><p>{}</p></div><div class='zz'><p>{}</p></div></body>"
+    letters = [f"{a}{b}" for a in "abcdefg" for b in "hij"]
+    rows = [(i, "http://h.example/x", page.format(x, "story words " * 30, "box")) for i, x in enumerate([*letters, "ah"])]
+    rows.append((99, "http://h.example/x", page.format("ah", "short story", "box words " * 30)))
+    found = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    assert {r.page_id: r.text for r in found.collect()}[99] == "short story"
+
+
+def _random_page(rng, depth=0):
+    """Nested lists ``[tag, class, children or text]``."""
+    if depth == 3 or depth and rng.random() < 0.4:
+        return ["p", "", "word " * rng.integers(1, 40)]
+    return ["div", f"c{rng.choice(list('xyz'))}", [_random_page(rng, depth + 1) for _ in range(rng.integers(1, 4))]]
+
+
+def _shown(node):
+    tag, name, inner = node
+    attribute = f" class='{name}'" if name else ""
+    return f"<{tag}{attribute}>{inner if isinstance(inner, str) else ''.join(map(_shown, inner))}</{tag}>"
+
+
+def _paragraphs(node, above, out):
+    """``(containers from the outermost, text)`` of every paragraph, by walking the tree that was written."""
+    tag, name, inner = node
+    if isinstance(inner, str):
+        out.append((above, " ".join(inner.split())))
+        return
+    path = (above[-1][0] if above else "") + f">{tag}" + (f".{name}" if name else "")
+    for child in inner:
+        _paragraphs(child, [*above, (path, id(node))], out)
+
+
+def _plain_best(paragraphs):
+    """The container with the best sum of text, less by 0.6 a level; the first seen of equal ones."""
+    scores = {}
+    for above, text in paragraphs:
+        for far, container in enumerate(reversed(above)):
+            scores[container] = scores.get(container, 0.0) + len(text) * 0.6**far
+    return max(scores, key=scores.get)[0]
+
+
+def test_votes_and_texts_against_a_plain_version(spark):
+    """Scores, votes of a host and the texts of pages without marked articles or lists of like boxes."""
+    from collections import Counter
+
+    import numpy as np
+
+    rng, pages, votes = np.random.default_rng(6), [], Counter()
+    while len(pages) < 60:
+        tree = ["body", "", [_random_page(rng) for _ in range(2)]]
+        if html._like_boxes(html.parse(_shown(tree))):
+            continue
+        paragraphs = []
+        _paragraphs(tree, [], paragraphs)
+        best = _plain_best(paragraphs)
+        pages.append((_shown(tree), paragraphs, best))
+        votes[best] += 1
+    order = sorted(votes, key=lambda p: (-votes[p], p))
+    ranked = [p for p in order if votes[p] >= html.MIN_SHARE * len(pages) or p == order[0]]
+    rows = [(i, "http://h.example/", page) for i, (page, _, _) in enumerate(pages)]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i, (_, paragraphs, best) in enumerate(pages):
+        texts = []
+        for path in [*ranked, best]:
+            texts = texts or [t for above, t in paragraphs if path in [p for p, _ in above]]
+        assert found[i] == "\n\n".join(texts)
