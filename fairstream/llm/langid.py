@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairstream.plans.storage import cut
@@ -28,6 +28,8 @@ LETTERS = regex.compile(r"\p{L}+")
 ORDERS = (4, 3, 2, 1)
 CACHED_WORDS = 60_000
 CHUNK = 1 << 15
+BROADCAST_ROWS = 100_000
+DENSE_CELLS = 1_000_000
 
 
 def words_of(text: str | None) -> list[str]:
@@ -47,13 +49,25 @@ def held_out(doc_id: Column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    """Log frequencies: row ``words[w]`` or ``grams[g]`` of a matrix with a column per language."""
+    """Log frequencies of words and n-grams by language.
+
+    ``words[w]`` or ``grams[g]`` is a row of a sparse table ``(floor, starts, columns, values)``: the
+    languages it is known in and its log frequency there; ``floor`` is that of an unknown one.
+    """
 
     languages: tuple[str, ...]
     words: dict[str, int]
-    word_rows: np.ndarray
+    word_table: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     grams: dict[str, int]
-    gram_rows: np.ndarray
+    gram_table: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def row_of(table: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], row: int) -> np.ndarray:
+    floor, starts, columns, values = table
+    found = floor.copy()
+    own = slice(starts[row], starts[row + 1])
+    found[columns[own]] = values[own]
+    return found
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,54 +92,78 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def fit(labelled: DataFrame, max_rows: int = 4_000, max_entries: int = 50_000) -> Model:
+def _sampled(labelled: DataFrame, max_rows: int) -> DataFrame:
+    """About ``max_rows`` labelled rows, as many of each language (all of one that has fewer), by a hash."""
+    rows = labelled.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL")
+    sizes = cut(rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")))  # reads no text
+    languages = sizes.count()
+    share = F.least(F.lit(1.0), F.lit(max_rows / max(1, languages)) / F.col("rows"))
+    shares = sizes.select("lang", (share * float(1 << 40)).alias("below"))
+    shares = F.broadcast(shares) if languages <= BROADCAST_ROWS else shares
+    taken = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40)) < F.col("below")
+    return rows.filter("text IS NOT NULL").join(shares, "lang").filter(taken).select("lang", "text")
+
+
+def fit(labelled: DataFrame, max_rows: int = 4_000, max_entries: int = 12_500) -> Model:
     """A model from ``doc_id, text, lang``; rows without text or lang teach nothing.
 
-    ``max_rows`` bounds the expected size of the sample it learns from (rows are taken by a hash
-    of the id), ``max_entries`` the words and, apart, the n-grams it keeps: those most frequent
-    within their language. Without labelled rows the model knows no language.
+    ``max_rows`` bounds the expected size of the sample it learns from, dealt evenly over the
+    languages, so that a rare one is learnt too. ``max_entries`` bounds the words and, apart, the
+    n-grams kept of each language: its most frequent, the first by code point of equally frequent
+    ones. Without labelled rows the model knows no language.
     """
-    rows = labelled.select("doc_id", "text", "lang").filter("lang IS NOT NULL")
-    share = min(1.0, max_rows / max(1, rows.count()))  # reads no text
-    rows = rows.filter("text IS NOT NULL").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
-    counted = rows.select(F.col("lang").cast("string"), "text").mapInArrow(_count, "lang string, is_word boolean, gram string, n bigint")
+    counted = _sampled(labelled, max_rows).mapInArrow(_count, "lang string, is_word boolean, gram string, n bigint")
     counts = cut(counted.groupBy("lang", "is_word", "gram").agg(F.sum("n").alias("n")))
     totals = {(r.lang, r.is_word): r.n for r in counts.groupBy("lang", "is_word").agg(F.sum("n").alias("n")).toLocalIterator()}
     languages = tuple(sorted({lang for lang, _ in totals}))
+    at = {lang: i for i, lang in enumerate(languages)}
+    in_order = Window.partitionBy("lang", "is_word").orderBy(F.col("n").desc(), "gram")
+    top = cut(counts.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= max_entries))
     tables: list = []
     for is_word in (True, False):
-        of_kind = counts.filter(F.col("is_word") == is_word)
-        in_lang = of_kind.groupBy("lang").agg(F.sum("n").alias("total"))
-        top = of_kind.join(F.broadcast(in_lang), "lang").orderBy((F.col("n") / F.col("total")).desc(), "lang", "gram").limit(max_entries)
-        floor = [math.log(0.5 / totals[lang, is_word]) for lang in languages]
+        floor = np.array([math.log(0.5 / totals.get((lang, is_word), 1)) for lang in languages])
         place: dict[str, int] = {}
-        cells = []
-        for r in top.toLocalIterator():
-            row = place.setdefault(r.gram, len(place))
-            cells.append((row, languages.index(r.lang), math.log(r.n / r.total)))
-        matrix = np.tile(np.array(floor), (len(place), 1))
-        for row, column, value in cells:
-            matrix[row, column] = value
-        tables += [place, matrix]
+        columns, values, starts = [], [], [0]
+        for r in top.filter(F.col("is_word") == is_word).select("gram", "lang", "n").orderBy("gram", "lang").toLocalIterator():
+            if r.gram not in place:
+                place[r.gram] = len(place)
+                starts.append(starts[-1])
+            starts[-1] += 1
+            columns.append(at[r.lang])
+            values.append(math.log(r.n / totals[r.lang, is_word]))
+        tables += [place, (floor, np.array(starts, np.int64), np.array(columns, np.int32), np.array(values))]
     return Model(languages, *tables)
 
 
+def all_rows(table: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray | None:
+    """The whole table as a matrix, if it is small."""
+    floor, starts, columns, values = table
+    if (len(starts) - 1) * len(floor) > DENSE_CELLS:
+        return None
+    matrix = np.tile(floor, (len(starts) - 1, 1))
+    matrix[np.repeat(np.arange(len(starts) - 1), np.diff(starts)), columns] = values
+    return matrix
+
+
 class _Rows(dict):
     """Word -> row of a score matrix, filled as words come up and emptied when it is full."""
 
     def __init__(self, model: Model):
         super().__init__()
+        self.word_rows, self.gram_rows = all_rows(model.word_table), all_rows(model.gram_table)
         self.model, self.matrix = model, np.zeros((CACHED_WORDS + CHUNK, len(model.languages)))
 
     def vector(self, word: str) -> np.ndarray | float:
         known = self.model.words.get(word)
         if known is not None:
-            return self.model.word_rows[known]
+            return row_of(self.model.word_table, known) if self.word_rows is None else self.word_rows[known]
         get = self.model.grams.get
         for order in ORDERS:
             found = [v for g in grams_of(word, order) if (v := get(g)) is not None]
             if found:
-                return self.model.gram_rows[found].mean(0)
+                if self.gram_rows is None:
+                    return np.mean([row_of(self.model.gram_table, v) for v in found], axis=0)
+                return self.gram_rows[found].mean(0)
         return 0.0
 
     def __missing__(self, word: str) -> int:
@@ -181,7 +219,13 @@ def learnt_from(docs: DataFrame) -> Model:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, lang`` -> ``doc_id, held_out, lang_pred, score``, one row per row."""
+    """``doc_id, text, lang`` -> ``doc_id, held_out, lang_pred, score``, one row per row.
+
+    Null and empty texts and those without a letter are ``und`` with score 0, as are all where no
+    row is labelled; of languages with equal scores the first by name. A null id is not held
+    out. Texts are read whole, however long; repeated rows get equal answers, an empty table gives
+    an empty result, and other columns are not read.
+    """
     found = language(learnt_from(docs), docs.sparkSession)
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), found("text").alias("found"))
     return rows.select("doc_id", "held_out", "found.lang_pred", "found.score")
