@@ -2,7 +2,7 @@
 
 Every source has a share of the words and a weight schedule over training time. The integral of
 the schedule is the source's cumulative demand; a document's place in its source's supply (an
-order by a hash of its id) is turned into a training position by inverting that integral.
+order by a hash of its id and text) is turned into a training position by inverting that integral.
 
 Supply is summed by source and hash prefix, so no window ever holds the rows of a source: a
 document needs the sums before its prefix, and only the one prefix in which a source's target is
@@ -22,7 +22,8 @@ SHARE = 1.5
 MOST = 2
 PREFIX = 3
 DIGITS = 9
-BROADCAST_ROWS = 200_000
+#: Of the mixing table, one row per source and prefix.
+ROW_BYTES, BROADCAST_BYTES = 160, 32 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -30,9 +31,10 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def supply_key(doc_id: Column) -> Column:
-    """Place of a document in the supply of its source; rows that repeat an id share it."""
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+def supply_key(doc_id: Column, text: Column) -> Column:
+    """Place of a document in the supply of its source; rows that repeat both id and text share it."""
+    own = F.coalesce(F.md5(text.cast("binary")), F.lit(""))
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), own).cast("binary"))
 
 
 def _by_rank(values: tuple, rank: Column) -> Column:
@@ -102,7 +104,7 @@ def _position(words: Column) -> Column:
 def placed(rows: DataFrame, table: DataFrame) -> DataFrame:
     """``rows`` with ``source`` and ``key``, plus the mixing table's columns, ``copies`` and ``first``, ``second``."""
     other = table.withColumnRenamed("source", "table_source")
-    other = F.broadcast(other) if other.count() <= BROADCAST_ROWS else other
+    other = F.broadcast(other) if other.count() * ROW_BYTES <= BROADCAST_BYTES else other
     met = rows.join(other, rows["source"].eqNullSafe(other["table_source"]) & (F.substring("key", 1, PREFIX) == other["prefix"])).drop("table_source", "prefix")
     met = met.withColumn("copies", F.col("epochs") + (F.col("key") <= F.col("last_key")).cast("bigint"))
     inner = F.conv(F.substring("key", PREFIX + 1, DIGITS), 16, 10).cast("double") / float(16**DIGITS)
@@ -115,7 +117,7 @@ def placed(rows: DataFrame, table: DataFrame) -> DataFrame:
 def sized_documents(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", F.col("source").cast("string").alias("source"),
-        word_count(F.col("text")).alias("size"), supply_key(F.col("doc_id")).alias("key"),
+        word_count(F.col("text")).alias("size"), supply_key(F.col("doc_id"), F.col("text")).alias("key"),
     )
 
 
@@ -124,8 +126,9 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 
     One row per row, sorted by ``position``: when training first reads the document (null if it
     is not taken, or if its source has no words). A source with a null name is a source; a null
-    text has no words. Rows that repeat an id are taken alike. An empty table gives an empty
-    result; other columns are not read. The order of supply depends on the ids only.
+    text has no words. Rows that repeat an id and its text are taken alike; rows without an id are
+    dealt by their texts. An empty table gives an empty result; other columns are not read. The
+    order of supply depends on ids and texts only.
     """
     sized = stored(sized_documents(docs), "mix-sizes")
     found = placed(sized, supply(sized))
@@ -138,12 +141,14 @@ def mix_plan(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame) -> DataFrame:
     """The documents of the mix in training order, with the columns of ``docs``.
 
-    A document read in two epochs is two rows. The texts are shuffled once, for the order.
+    A document read in two epochs is two rows. The texts are shuffled once, for the order. Null and
+    empty texts have no words, so they come as often as their source's whole epochs say; a source
+    without words comes last. Repeated rows are taken alike, an empty table gives an empty result.
     """
     columns = [F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
     sized = stored(sized_documents(docs), "mix-sizes")
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("source").cast("string").alias("source"), supply_key(F.col("doc_id")).alias("key")
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("source").cast("string").alias("source"), supply_key(F.col("doc_id"), F.col("text")).alias("key")
     )
     found = placed(rows, supply(sized))
     # a source without words has no demand to follow: its rows come last
