@@ -332,18 +332,23 @@ def _dealt(left: DataFrame, block_rows: int) -> DataFrame:
     return blocks.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "fp", "alone", "text")
 
 
-def near_links(texts: DataFrame, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def near_links(texts: DataFrame, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS, one_each: DataFrame | None = None) -> DataFrame:
     """``fp, text`` -> ``a, b``: links whose components are those of all pairs at ``similarity`` or more.
 
-    Rows of equal ``fp`` have equal texts. At most two links a text come out of each comparison.
+    Rows of equal ``fp`` have equal texts; of these the texts of the rows in ``one_each`` (by ``fp`` and
+    other columns of ``texts``) travel, where it is given. At most two links a text come out of
+    each comparison.
     """
-    sketches = stored(texts.mapInArrow(_keys, "fp bigint, keys array<bigint>, words bigint, bits bigint"), "jaccard-keys")
+    sketches = stored(texts.select("fp", "text").mapInArrow(_keys, "fp bigint, keys array<bigint>, words bigint, bits bigint"), "jaccard-keys")
     sketches = sketches.dropDuplicates(["fp"])
     rough = candidates(sketches.select("fp", "keys"))
     sized = cut(rough.join(sketches.select(F.col("fp").alias("node"), "words", "bits"), "node"))
     sizes = sized.groupBy("root").agg(((F.count("*") > block_rows) | (F.sum("words") > BLOCK_WORDS)).alias("crowded"))
     sized = cut(sized.join(cut(sizes), "root").select(F.col("node").alias("fp"), "root", "words", "bits", "crowded"))
-    met = stored(texts.join(_small(sized.select("fp", "root", "crowded")), "fp").dropDuplicates(["fp"]), "jaccard-texts")
+    wanted = sized.select("fp", "root", "crowded")
+    wanted = wanted if one_each is None else cut(wanted.join(one_each, "fp"))
+    by = ["fp"] if one_each is None else one_each.columns
+    met = stored(texts.join(_small(wanted), by).dropDuplicates(["fp"]), "jaccard-texts")
     zero = F.lit(0)
     blocks = met.filter(~F.col("crowded")).select("root", zero.alias("low"), zero.alias("high"), zero.alias("part"), "fp", F.lit(None).cast("bigint").alias("alone"), "text")
     crowded = sized.filter("crowded").select("root", "fp", "words", "bits")
@@ -356,7 +361,7 @@ def near_links(texts: DataFrame, similarity: float = SIMILARITY, block_rows: int
     return found if links is None else found.unionByName(links)
 
 
-def near_components(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Distinct ``fp`` and the texts ``fp, text`` -> ``fp, root``: the component of near copies of each."""
-    roots = components(near_links(texts, similarity, block_rows))
+def near_components(classes: DataFrame, texts: DataFrame, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS, one_each: DataFrame | None = None) -> DataFrame:
+    """Distinct ``fp`` and the texts ``fp, text`` -> ``classes`` with ``root``, the component of near copies of each."""
+    roots = components(near_links(texts, similarity, block_rows, one_each))
     return classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))

@@ -244,8 +244,8 @@ def drop_near_copies(docs: DataFrame, similarity: float = jaccard.SIMILARITY, bl
     classes = stored(told(held).groupBy("fp").agg(least), "near-classes")
     one_each = classes.select("fp", F.col("least.row").alias("row"))
     texts = told(keyed.select(found["first"].alias("first"), found["second"].alias("second"), found["row"].alias("row"), "text"))
-    texts = texts.join(one_each, ["fp", "row"], "left_semi").filter("fp <> 0").select("fp", "text")
-    roots = jaccard.near_components(classes, texts, similarity, block_rows)
+    texts = texts.filter("fp <> 0").select("fp", "row", "text")
+    roots = jaccard.near_components(classes, texts, similarity, block_rows, one_each)
     kept = stored(roots.groupBy("root").agg(F.min("least").alias("least")).select("least.fp", "least.row"), "near-kept")
     marked = told(keyed.select(found["first"].alias("first"), found["second"].alias("second"), found["row"].alias("row"), F.struct(*docs.columns).alias("doc")))
     return marked.join(kept, ["fp", "row"], "left_semi").dropDuplicates(["fp", "row"]).select("doc.*")
