@@ -172,6 +172,7 @@ def sharded(
     parts_a_shard: int = PARTS_A_SHARD,
     probes: int = PROBES,
     tolerance: float = TOLERANCE,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` with ``size``, ``shard`` (from 0) and ``slot`` (place in its shard, from 0), a row per row.
 
@@ -185,7 +186,7 @@ def sharded(
     columns may swap places between runs, which no one can see). Columns of ``docs`` named like
     the new ones are replaced, all others are kept. An empty table gives an empty result.
     """
-    own = [c for c in docs.columns if c not in ("size", "shard", "slot")]
+    own = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "shard", "slot")]
     rows = docs.select(
         F.struct(*own).alias("doc"),
         size_of(F.col("text")).alias("size"),
