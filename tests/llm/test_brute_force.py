@@ -1,5 +1,6 @@
 """Operators against plain versions of what they promise."""
 
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,8 +10,9 @@ import sentencepiece
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from fairstream.llm import graph, langid, lattice, pieces, simhash, tokencount
+from fairstream.llm import graph, langid, lattice, mixing, pieces, simhash, tokencount
 from fairstream.llm import queries as registered
 from fairstream.llm.queries import tokenizer_file
 
@@ -114,9 +116,16 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def _table(matrix):
+    """A sparse table that knows every cell."""
+    n, k = np.shape(matrix)
+    return np.zeros(k), np.arange(n + 1) * k, np.tile(np.arange(k), n), np.ravel(matrix)
+
+
+
 def test_backoff_by_hand():
     grams = np.array([[-4.0, -2.0], [-3.0, -1.0], [-1.0, -2.0]])
-    model = langid.Model(("a", "b"), {"one": 0}, np.array([[-1.0, -5.0]]), {"<x": 0, "xy": 1, "q": 2}, grams)
+    model = langid.Model(("a", "b"), {"one": 0}, _table([[-1.0, -5.0]]), {"<x": 0, "xy": 1, "q": 2}, _table(grams))
     rows = langid._Rows(model)
     assert list(rows.vector("one")) == [-1.0, -5.0]
     assert list(rows.vector("xy")) == [-3.5, -1.5]  # the two known pairs, not the single signs
@@ -126,13 +135,72 @@ def test_backoff_by_hand():
 
 
 def test_long_texts_score_alike_in_chunks(monkeypatch):
-    model = langid.Model(("a", "b"), {"one": 0}, np.array([[-1.0, -1.5]]), {"t": 0}, np.array([[-2.0, -1.0]]))
+    model = langid.Model(("a", "b"), {"one": 0}, _table([[-1.0, -1.5]]), {"t": 0}, _table([[-2.0, -1.0]]))
     text = "one two " * 400
     whole = langid._Rows(model).total(langid.words_of(text))
     monkeypatch.setattr(langid, "CHUNK", 7)
     assert np.allclose(langid._Rows(model).total(langid.words_of(text)), whole)
 
 
+@pytest.mark.parametrize("cells", [langid.DENSE_CELLS, 0])
+def test_languages_against_a_plain_version(spark, monkeypatch, cells):
+    """Every prediction of the test documents, from counts of the labelled texts that are not held out."""
+    monkeypatch.setattr(langid, "DENSE_CELLS", cells)
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()
+    words, grams, totals = defaultdict(Counter), defaultdict(Counter), Counter()
+    for d in docs:
+        if d.lang is None or d.text is None or zlib.crc32(str(d.doc_id).encode()) % 4 == 2:
+            continue
+        for w in langid.words_of(d.text):
+            words[d.lang][w] += 1
+            for order in langid.ORDERS:
+                grams[d.lang].update(langid.grams_of(w, order))
+    languages = sorted(words)
+    kept = lambda c: dict(sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:12_500])
+    top_words, top_grams = ({l: kept(c[l]) for l in languages} for c in (words, grams))
+    log = lambda c, top, l, x: math.log((top[l][x] if x in top[l] else 0.5) / sum(c[l].values()))
+    known_grams = set().union(*top_grams.values())
+
+    def plain(text):
+        score = Counter({l: 0.0 for l in languages})
+        for w in (found := langid.words_of(text)):
+            if any(w in top_words[l] for l in languages):
+                for l in languages:
+                    score[l] += log(words, top_words, l, w)
+                continue
+            for order in langid.ORDERS:
+                if known := [g for g in langid.grams_of(w, order) if g in known_grams]:
+                    for l in languages:
+                        score[l] += sum(log(grams, top_grams, l, g) for g in known) / len(known)
+                    break
+        if not found:
+            return "und", 0.0
+        most = max(score.values())
+        best = next(l for l in languages if score[l] == most)
+        return best, 1 / sum(math.exp(score[l] - most) for l in languages)
+
+    found = {r.doc_id: r for r in registered.op2_language_id(spark, SF_DIR).collect()}
+    for d in docs:
+        lang, score = plain(d.text)
+        r = found[d.doc_id]
+        assert r.held_out == (zlib.crc32(str(d.doc_id).encode()) % 4 == 2)
+        assert r.score == pytest.approx(score, rel=1e-6) and (r.lang_pred == lang or score < 0.5 + 1e-6)
+
+
+def test_a_rare_language_is_learnt(spark):
+    rows = [(i, f"the cat sat on mat number{i}", "en") for i in range(3000)] + [(5000 + i, "кот сидит на коврике", "ru") for i in range(3)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), max_rows=100, max_entries=50)
+    assert model.languages == ("en", "ru") and "кот" in model.words and len(model.words) <= 100
+
+
+def test_mix_of_rows_without_ids(spark):
+    """A third of the rows have no id; their source still comes near its target."""
+    rows = [(None if i % 3 == 0 else i, " ".join(f"w{i}" for _ in range(10)), "ab"[i % 2]) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken = mixing.mix_plan(docs).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= 20 for r in taken)
+
+
 def test_mix_reaches_targets(spark):
     rows = registered.op3_mix_sources(spark, "/root/testdata/sf0.01").collect()
     sources = {r.doc_id: r.source for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source").collect()}
