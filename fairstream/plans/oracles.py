@@ -332,6 +332,7 @@ def all_oracles() -> dict[str, str]:
         "max(item) AS largest FROM batches",
         "stream_frequent": f"{part} {REPORT}",
         "stream_replay": f"{part} {REPORT}",
+        "stream_compacted": f"{part} {REPORT}",
         "stream_text_frequent": PREFIX + stream(run, PREFIX_LENGTH, key="'0:' || seq") + REPORT,
         "stream_native_histogram": f"WITH {ITEMS} SELECT item, count(*) AS n FROM items GROUP BY item",
         "stream_native_distinct": f"WITH {ITEMS} SELECT DISTINCT item FROM items",

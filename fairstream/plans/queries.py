@@ -289,7 +289,19 @@ def stream_replay(spark: SparkSession, sf: str) -> DataFrame:
     """The same after the first and the last batch have been run a second time."""
     root, run = _frequency_stream(spark, sf)
     items = tb.event_items(spark, sf)
-    rows, state = items.count(), BatchState(spark, root, jobs.FREQUENCY)
+    rows, state = items.count(), BatchState(spark, root, jobs.FREQUENCY, jobs.FREQUENCY_FOLDS)
+    for cut in (0, STREAM_CUTS - 1):
+        low, high = rows * cut // STREAM_CUTS, rows * (cut + 1) // STREAM_CUTS
+        jobs.update_frequency(state, items.filter((F.col("seq") >= low) & (F.col("seq") < high)), cut, run)
+    return _stream_answers(spark, root, run)
+
+
+def stream_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """The same after all batches but the last were folded, with a folded and the last one run again."""
+    root, run = _frequency_stream(spark, sf)
+    items = tb.event_items(spark, sf)
+    rows, state = items.count(), BatchState(spark, root, jobs.FREQUENCY, jobs.FREQUENCY_FOLDS)
+    state.compact(STREAM_CUTS - 2)
     for cut in (0, STREAM_CUTS - 1):
         low, high = rows * cut // STREAM_CUTS, rows * (cut + 1) // STREAM_CUTS
         jobs.update_frequency(state, items.filter((F.col("seq") >= low) & (F.col("seq") < high)), cut, run)
@@ -416,6 +428,7 @@ def all_queries() -> dict[str, Query]:
         "distinct_report": on_batches(ds.distinct_report),
         "stream_frequent": stream_frequent,
         "stream_replay": stream_replay,
+        "stream_compacted": stream_compacted,
         "stream_text_frequent": stream_text_frequent,
         "stream_native_histogram": lambda s, d: _native_stream(s, d, jobs.streaming_histogram, "complete"),
         "stream_native_distinct": lambda s, d: _native_stream(s, d, jobs.streaming_distinct, "append"),

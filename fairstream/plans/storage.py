@@ -27,9 +27,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths given out in this process and not yet cleared.
+_given_out: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, there until ``clear_scratch``."""
+    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given_out.append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def clear_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete the intermediate tables this process has written, from the ``since``-th on; how many they were.
+
+    Results are lazy and read them, so this is for after a result is written or collected.
+    Checkpoints are Spark's own (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    """
+    paths = _given_out[since:]
+    for path in paths:
+        remove(spark, path)
+    del _given_out[since:]
+    return len(paths)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

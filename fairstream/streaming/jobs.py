@@ -32,6 +32,33 @@ FREQUENCY = {
 }
 
 
+def fold_items(rows: DataFrame) -> DataFrame:
+    """One row an item for all batches: its count, its last batch and arrival, its sticky count if it was sampled."""
+    earlier = Window.partitionBy("item").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.withColumn("s", F.when(F.count("sticky").over(earlier) > 0, F.col("n")).otherwise(F.col("sticky")))
+    last = F.max_by(F.struct("last_seq", "batch_id"), "batch_id")
+    folded = counted.groupBy("item").agg(F.sum("n").alias("n"), last.alias("last"), F.sum("s").alias("sticky"))
+    return folded.select("item", "n", "last.last_seq", "sticky", "last.batch_id")
+
+
+def last_batch(rows: DataFrame) -> DataFrame:
+    """Running totals: those of the last batch are all there is."""
+    newest = rows.agg(F.max("batch_id").alias("newest"))
+    return rows.filter(F.col("batch_id") == newest.scalar())
+
+
+def first_seen(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("item").agg(F.min("batch_id").alias("batch_id"))
+
+
+DISTINCT_FOLDS = {"items": first_seen}
+FREQUENCY_FOLDS = {"items": fold_items, "matrix": last_batch}
+
+
+def _frequency_state(spark: SparkSession, root: str) -> BatchState:
+    return BatchState(spark, root, FREQUENCY, FREQUENCY_FOLDS)
+
+
 def streaming_histogram(items: DataFrame) -> DataFrame:
     """Native streaming aggregation ``item, n`` for complete or update mode."""
     return items.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
@@ -54,7 +81,7 @@ def start_distinct(
     items: DataFrame, root: str, checkpoint: str, threshold: int, trigger: dict | None = None
 ) -> StreamingQuery:
     """Distinct items of whole batches, taken while fewer than ``threshold`` items came."""
-    state = BatchState(items.sparkSession, root, DISTINCT)
+    state = BatchState(items.sparkSession, root, DISTINCT, DISTINCT_FOLDS)
 
     def update(batch: DataFrame, batch_id: int) -> None:
         update_distinct(state, batch, batch_id, threshold)
@@ -63,6 +90,8 @@ def start_distinct(
 
 
 def update_distinct(state: BatchState, batch: DataFrame, batch_id: int, threshold: int) -> None:
+    if state.is_folded(batch_id):
+        return
     _, total = state.last_before(batch_id)
     if total >= threshold:
         state.commit(batch_id, 0, total)
@@ -74,17 +103,18 @@ def update_distinct(state: BatchState, batch: DataFrame, batch_id: int, threshol
         state.write("items", batch_id, counted.select("item"))
         size = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
         state.commit(batch_id, size, total + size)
+        state.compact_if_due(batch_id)
     finally:
         counted.unpersist()
 
 
 def stream_distinct_items(spark: SparkSession, root: str) -> DataFrame:
-    return BatchState(spark, root, DISTINCT).committed("items").select("item").distinct()
+    return BatchState(spark, root, DISTINCT, DISTINCT_FOLDS).committed("items").select("item").distinct()
 
 
 def stream_distinct_report(spark: SparkSession, root: str) -> DataFrame:
     """One row ``items, distinct_items, largest``."""
-    state = BatchState(spark, root, DISTINCT)
+    state = BatchState(spark, root, DISTINCT, DISTINCT_FOLDS)
     seen = state.sizes().agg(F.coalesce(F.sum("size"), F.lit(0)).alias("items"))
     found = state.committed("items").agg(
         F.countDistinct("item").alias("distinct_items"), F.max("item").alias("largest")
@@ -102,7 +132,7 @@ def start_frequency(
 
     Without a ``seq`` column the order of arrival is that of the source's files and their lines.
     """
-    state = BatchState(items.sparkSession, root, FREQUENCY)
+    state = _frequency_state(items.sparkSession, root)
 
     def update(batch: DataFrame, batch_id: int) -> None:
         update_frequency(state, batch, batch_id, run)
@@ -111,6 +141,8 @@ def start_frequency(
 
 
 def update_frequency(state: BatchState, batch: DataFrame, batch_id: int, run: Frequency) -> None:
+    if state.is_folded(batch_id):
+        return
     previous, total = state.last_before(batch_id)
     if total >= run.n:
         state.commit(batch_id, 0, total)
@@ -154,6 +186,7 @@ def update_frequency(state: BatchState, batch: DataFrame, batch_id: int, run: Fr
             batch_id, items=items, crossings=crossed.drop("run"), matrix=now
         )
         state.commit(batch_id, size, total + size)
+        state.compact_if_due(batch_id)
     finally:
         held.unpersist()
 
@@ -173,7 +206,7 @@ def in_order(lines: DataFrame) -> DataFrame:
 
 
 def stream_histogram(spark: SparkSession, root: str) -> DataFrame:
-    partials = BatchState(spark, root, FREQUENCY).committed("items")
+    partials = _frequency_state(spark, root).committed("items")
     return partials.groupBy("item").agg(F.sum("n").alias("n"))
 
 
@@ -183,7 +216,7 @@ def stream_true_frequent(spark: SparkSession, root: str, run: Frequency) -> Data
 
 def stream_sticky_sample(spark: SparkSession, root: str) -> DataFrame:
     """``item, n``: the batch that first sampled an item counts in part, later ones in full."""
-    partials = BatchState(spark, root, FREQUENCY).committed("items")
+    partials = _frequency_state(spark, root).committed("items")
     earlier = (
         Window.partitionBy("item").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -198,7 +231,7 @@ def stream_sticky_frequent(spark: SparkSession, root: str, run: Frequency) -> Da
 
 def stream_countmin_frequent(spark: SparkSession, root: str, run: Frequency) -> DataFrame:
     """``item, n`` as in the batch form: all cells of an item crossed by its last arrival."""
-    state = BatchState(spark, root, FREQUENCY)
+    state = _frequency_state(spark, root)
     seen = state.committed("items").groupBy("item").agg(
         F.sum("n").alias("n"),
         F.max("batch_id").alias("last_batch"),

@@ -1,31 +1,82 @@
-"""Stream state as one small table per micro-batch.
+"""Stream state as one small table per micro-batch, folded into snapshots.
 
 Batch ``k`` overwrites ``<root>/<table>/batch_id=k`` and reads only batches before ``k``, so
-running a batch again changes nothing, however long ago it ran first. The ``sizes`` row is
-written last: a batch without one has not happened.
+running a batch again changes nothing. The ``sizes`` row is written last: a batch without one has
+not happened.
+
+Every few batches all but the last are folded into one snapshot: a table of what the job's answers
+need of them. A manifest of a new version names the snapshot and its last batch; only then are the
+folded batches and the snapshot before it deleted. Whoever reads goes by the newest manifest and
+leaves out older batches, so a stop between any two of these steps does no harm. A folded batch that
+is run again is answered by the snapshot: it is done, and nothing is written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairstream.plans.storage import remove
+
 SIZES = "size bigint, total bigint"
+MANIFEST = "upto bigint, snapshot string"
+COMPACT_EVERY = 32
+
+Fold = Callable[[DataFrame], DataFrame]
 
 
 class BatchState:
-    def __init__(self, spark: SparkSession, root: str, schemas: Mapping[str, str]):
+    """``folds`` says for each table what a snapshot keeps of its rows, which have ``batch_id``; by default all."""
+
+    def __init__(self, spark: SparkSession, root: str, schemas: Mapping[str, str], folds: Mapping[str, Fold] | None = None):
         self.spark, self.root = spark, root.rstrip("/")
-        self.schemas = {**schemas, "sizes": SIZES}
+        self.schemas, self.folds = {**schemas, "sizes": SIZES}, dict(folds or {})
         for table, schema in self.schemas.items():
             # an empty partition makes every table readable from the start
             self.spark.createDataFrame([], schema).write.mode("ignore").parquet(
                 f"{self.root}/{table}/batch_id=-1"
             )
+        self.spark.createDataFrame([], MANIFEST).write.mode("ignore").parquet(f"{self.root}/manifest/version=-1")
+        self.version, self.upto, self.snapshot = self._newest()
+
+    def _newest(self) -> tuple[int, int, str | None]:
+        rows = self.spark.read.schema(f"{MANIFEST}, version bigint").parquet(f"{self.root}/manifest")
+        row = rows.agg(F.max_by(F.struct("version", "upto", "snapshot"), "version").alias("m")).head().m
+        return (-1, -1, None) if row is None else (row.version, row.upto, row.snapshot)
+
+    def is_folded(self, batch_id: int) -> bool:
+        """Whether a snapshot holds what this batch did."""
+        return batch_id <= self.upto
+
+    def compact(self, upto: int) -> None:
+        """Fold all batches up to ``upto`` into a new snapshot and delete what it replaces."""
+        if upto <= self.upto:
+            return
+        old = (self.version, self.upto, self.snapshot)
+        snapshot = f"{self.root}/snapshots/{upto}-{uuid.uuid4().hex}"
+        for table in self.schemas:
+            kept = self.committed(table) if table != "sizes" else self.read("sizes")
+            kept = self.folds.get(table, lambda df: df)(kept.filter(F.col("batch_id") <= upto))
+            kept.coalesce(1 if table == "sizes" else 8).write.parquet(f"{snapshot}/{table}")
+        row = self.spark.createDataFrame([(upto, snapshot)], MANIFEST)
+        row.coalesce(1).write.parquet(f"{self.root}/manifest/version={old[0] + 1}")
+        self.version, self.upto, self.snapshot = old[0] + 1, upto, snapshot
+        for batch_id in range(old[1] + 1, upto + 1):
+            for table in self.schemas:
+                remove(self.spark, f"{self.root}/{table}/batch_id={batch_id}")
+        if old[2]:
+            remove(self.spark, f"{self.root}/manifest/version={old[0]}")
+            remove(self.spark, old[2])
+
+    def compact_if_due(self, batch_id: int, every: int | None = None) -> None:
+        """After batch ``batch_id``; it and its input stay as they are, since it may be run again."""
+        if batch_id - self.upto > (COMPACT_EVERY if every is None else every):
+            self.compact(batch_id - 1)
 
     def write(self, table: str, batch_id: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch_id={batch_id}")
@@ -42,13 +93,20 @@ class BatchState:
         self.write("sizes", batch_id, row)
 
     def read(self, table: str) -> DataFrame:
-        """All batches, with ``batch_id``; filters on it prune directories."""
+        """All batches, with ``batch_id``, folded ones as the snapshot has them; filters on it prune directories."""
         schema = f"{self.schemas[table]}, batch_id bigint"
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+        rows = self.spark.read.schema(schema).parquet(f"{self.root}/{table}")
+        if self.snapshot is None:
+            return rows
+        folded = self.spark.read.schema(schema).parquet(f"{self.snapshot}/{table}")
+        return folded.unionByName(rows.filter(F.col("batch_id") > self.upto))
 
     def read_batch(self, table: str, batch_id: int) -> DataFrame:
         """One batch by its path, without listing the others; empty if it was not written."""
         schema = self.schemas[table]
+        if self.snapshot is not None and batch_id <= self.upto:
+            rows = self.spark.read.schema(f"{schema}, batch_id bigint").parquet(f"{self.snapshot}/{table}")
+            return rows.filter(F.col("batch_id") == batch_id).drop("batch_id")
         try:
             return self.spark.read.schema(schema).parquet(f"{self.root}/{table}/batch_id={batch_id}")
         except AnalysisException as missing:
@@ -75,6 +133,7 @@ class BatchState:
 
     def committed(self, table: str) -> DataFrame:
         done = self.read("sizes").select("batch_id")
+        # what a snapshot holds was committed; a fold may keep any batch's number for it
         return self.read(table).join(done, "batch_id", "left_semi")
 
     def sizes(self) -> DataFrame:

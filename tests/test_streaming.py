@@ -162,3 +162,35 @@ def test_a_batch_finds_the_one_before_by_its_path(spark, tmp_path):
         state.commit(batch_id, 5, 5 * (batch_id + 1))
     assert len(state.read_batch("sizes", 9).inputFiles()) == 1
     assert state.last_before(10) == (9, 50) and state.last_before(20) == (11, 60) and state.last_before(0) == (-1, 0)
+
+
+def test_compaction_keeps_answers_and_bounds_files(spark, tmp_path, monkeypatch):
+    """Twelve batches, folded every third: the same answers from as many files; a torn fold and replays do no harm."""
+    from fairstream.streaming import state as states
+
+    monkeypatch.setattr(states, "COMPACT_EVERY", 3)
+    items = skewed(900)
+    source = ordered_files(tmp_path / "in", [75] * 12, items)
+    root = run_frequency(spark, tmp_path, source)
+    check(spark, root, items)
+    state = jobs._frequency_state(spark, root)
+    assert state.upto >= 6 and state.version >= 1
+    batches = [d for d in os.listdir(f"{root}/items") if d.startswith("batch_id=") and d != "batch_id=-1"]
+    assert len(batches) <= 4 and len(os.listdir(f"{root}/snapshots")) == 1
+    sizes = [r.size for r in jobs.stream_batch_sizes(spark, root).orderBy("batch_id").collect()]
+    assert sizes == [75] * 9 + [25]
+    # a folded batch run again with other items, and a snapshot whose manifest was never written
+    other = spark.createDataFrame([(0, 999)], "seq bigint, item bigint")
+    jobs.update_frequency(state, other, 2, RUN)
+    spark.range(3).write.parquet(f"{root}/snapshots/99-torn/items")
+    check(spark, root, items)
+
+
+def test_scratch_is_cleared(spark):
+    from fairstream.plans import storage
+
+    since = len(storage._given_out)
+    kept = storage.stored(spark.range(5), "gone")
+    path = storage._given_out[-1].removeprefix("file:")
+    assert kept.count() == 5 and os.path.isdir(path)
+    assert storage.clear_scratch(spark, since) == 1 and not os.path.isdir(path)
