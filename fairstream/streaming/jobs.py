@@ -1,11 +1,13 @@
 """Structured Streaming jobs: distinct items, and frequent items of a stream prefix.
 
 Arrival order is the micro-batch number, then ``seq`` within the batch. The bounded trigger
-ends a job with its input; a job also stops taking items once it has its fill.
+ends a job with its input; a job also ends once it has its fill.
 """
 
 from __future__ import annotations
 
+from threading import Event, Thread
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,9 +71,23 @@ def streaming_distinct(items: DataFrame) -> DataFrame:
     return items.select("item").dropDuplicates(["item"])
 
 
-def _start(items: DataFrame, update, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+def _start(items: DataFrame, update, checkpoint: str, trigger: dict | None, full: Event) -> StreamingQuery:
+    """Start a job that ends with its input or once ``full`` is set, also on an endless source.
+
+    A batch cannot stop its own query, so a thread does. Should a further batch begin before
+    that, it does nothing; should the stop cut off a batch that is done, it is done when run again.
+    """
     writer = items.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"availableNow": True})).start()
+    query = writer.trigger(**(trigger or {"availableNow": True})).start()
+
+    def watch() -> None:
+        while query.isActive:
+            if full.wait(0.1):
+                query.stop()
+                return
+
+    Thread(target=watch, daemon=True).start()
+    return query
 
 
 # distinct items
@@ -83,19 +99,20 @@ def start_distinct(
     """Distinct items of whole batches, taken while fewer than ``threshold`` items came."""
     state = BatchState(items.sparkSession, root, DISTINCT, DISTINCT_FOLDS)
 
+    full = Event()
+
     def update(batch: DataFrame, batch_id: int) -> None:
-        update_distinct(state, batch, batch_id, threshold)
+        if not full.is_set() and update_distinct(state, batch, batch_id, threshold) >= threshold:
+            full.set()
 
-    return _start(items, update, checkpoint, trigger)
+    return _start(items, update, checkpoint, trigger, full)
 
 
-def update_distinct(state: BatchState, batch: DataFrame, batch_id: int, threshold: int) -> None:
-    if state.is_folded(batch_id):
-        return
-    _, total = state.last_before(batch_id)
-    if total >= threshold:
-        state.commit(batch_id, 0, total)
-        return
+def update_distinct(state: BatchState, batch: DataFrame, batch_id: int, threshold: int) -> int:
+    """The items taken so far, with those of this batch; a batch after the last one taken leaves nothing."""
+    _, total = state.last_before(batch_id + 1 if state.is_folded(batch_id) else batch_id)
+    if total >= threshold or state.is_folded(batch_id):
+        return total
     # one aggregation gives the distinct items and, as the sum of their counts, the batch size
     counted = batch.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     counted = counted.persist(StorageLevel.MEMORY_AND_DISK)
@@ -104,6 +121,7 @@ def update_distinct(state: BatchState, batch: DataFrame, batch_id: int, threshol
         size = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
         state.commit(batch_id, size, total + size)
         state.compact_if_due(batch_id)
+        return total + size
     finally:
         counted.unpersist()
 
@@ -134,19 +152,20 @@ def start_frequency(
     """
     state = _frequency_state(items.sparkSession, root)
 
+    full = Event()
+
     def update(batch: DataFrame, batch_id: int) -> None:
-        update_frequency(state, batch, batch_id, run)
+        if not full.is_set() and update_frequency(state, batch, batch_id, run) >= run.n:
+            full.set()
 
-    return _start(items, update, checkpoint, trigger)
+    return _start(items, update, checkpoint, trigger, full)
 
 
-def update_frequency(state: BatchState, batch: DataFrame, batch_id: int, run: Frequency) -> None:
-    if state.is_folded(batch_id):
-        return
-    previous, total = state.last_before(batch_id)
-    if total >= run.n:
-        state.commit(batch_id, 0, total)
-        return
+def update_frequency(state: BatchState, batch: DataFrame, batch_id: int, run: Frequency) -> int:
+    """The items taken so far, with those of this batch; a batch after the last one taken leaves nothing."""
+    previous, total = state.last_before(batch_id + 1 if state.is_folded(batch_id) else batch_id)
+    if total >= run.n or state.is_folded(batch_id):
+        return total
     if "seq" in batch.columns:
         toss = F.col("seq").cast("string")
         batch = batch.select("seq", "item")
@@ -187,6 +206,7 @@ def update_frequency(state: BatchState, batch: DataFrame, batch_id: int, run: Fr
         )
         state.commit(batch_id, size, total + size)
         state.compact_if_due(batch_id)
+        return total + size
     finally:
         held.unpersist()
 

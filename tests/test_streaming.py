@@ -194,3 +194,15 @@ def test_scratch_is_cleared(spark):
     path = storage._given_out[-1].removeprefix("file:")
     assert kept.count() == 5 and os.path.isdir(path)
     assert storage.clear_scratch(spark, since) == 1 and not os.path.isdir(path)
+
+
+def test_an_endless_source_ends_with_its_fill(spark, tmp_path):
+    """The query ends by itself, no batch after the last one taken leaves anything, a new start ends at once."""
+    rate = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 150).load()
+    items = rate.selectExpr("value AS seq", "value % 37 AS item")
+    root, checkpoint = str(tmp_path / "state"), str(tmp_path / "check")
+    for _ in range(2):
+        query = jobs.start_frequency(items, root, checkpoint, RUN, {"processingTime": "0 seconds"})
+        assert query.awaitTermination(120) and query.exception() is None
+        check(spark, root, [i % 37 for i in range(2000)])
+        assert [r.size for r in jobs.stream_batch_sizes(spark, root).orderBy("batch_id").collect()] == [150] * 4 + [100]
