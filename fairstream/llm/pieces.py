@@ -169,7 +169,12 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
 
 
 def decoded(rows: DataFrame, model_file: str) -> DataFrame:
-    """``doc_id, ids`` -> ``doc_id, text``; null ids give an empty text."""
+    """``doc_id, ids`` -> ``doc_id, text``, one row per row.
+
+    Null and empty lists give an empty text. Runs of byte pieces are read as UTF-8, what is none of it
+    as the replacement sign. Long lists are decoded whole; repeated rows give repeated rows, an
+    empty table gives an empty result, and other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model_file)
