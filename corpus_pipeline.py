@@ -10,24 +10,39 @@ from fairstream.plans.storage import stored
 
 
 def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; what has no letters, or no likely language, goes."""
+    """Documents in a language; what has no letters, or no likely language, goes.
+
+    Null and empty texts go. Texts are judged whole, repeated rows alike; without any labelled row all
+    texts with letters stay. An empty table stays empty, columns of any names stay as they are.
+    """
     small_batches(spark)
     return langid.drop_undetermined(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the smallest id, null last.
+
+    Unequal texts under one id are judged apart, repeated rows leave one row, null and wordless texts
+    are copies of each other. An empty table stays empty, columns of any names stay as they are.
+    """
     small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources in training order; a document of two epochs is two rows."""
+    """The mix of sources in training order; a document of two epochs is two rows.
+
+    A null source is a source, a null text has no words; rows without an id are dealt by their texts.
+    An empty table stays empty, columns of any names stay as they are.
+    """
     return mixing.mixed(docs)
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the pieces of each whole text."""
+    """Ids of the pieces of each whole text: ``doc_id, ids, n_pieces, round_trip``.
+
+    A null or empty text has no pieces; repeated rows give repeated rows, an empty table none.
+    """
     small_batches(spark)
     return pieces.encoded(docs, tokenizer_file())
 
