@@ -337,6 +337,7 @@ def all_oracles() -> dict[str, str]:
         "stream_native_histogram": f"WITH {ITEMS} SELECT item, count(*) AS n FROM items GROUP BY item",
         "stream_native_distinct": f"WITH {ITEMS} SELECT DISTINCT item FROM items",
         "stream_sticky_sample": f"{part} SELECT * FROM sticky",
+        "stream_keyed_sample": f"{part} SELECT * FROM sticky",
         "stream_batch_sizes": PREFIX.rstrip(", ")
         + ", cuts AS (SELECT unnest(range(4)) AS batch_id, (SELECT count(*) FROM items) AS n) "
         "SELECT batch_id, count(*) AS size FROM cuts JOIN arrivals ON seq >= n * batch_id // 4 "

@@ -24,6 +24,7 @@ from fairstream.plans.storage import scratch_path
 from fairstream.sources.files import read_docs, read_points, read_run_logs, write_summary
 from fairstream.sources.streams import read_item_stream
 from fairstream.streaming import jobs
+from fairstream.streaming.keyed import keyed_state, streaming_sticky_sample
 from fairstream.streaming.state import BatchState
 
 KA, KB, PARTS = 4, 3, 8
@@ -338,6 +339,23 @@ def stream_sample(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.stream_sticky_sample(spark, root)
 
 
+def stream_keyed_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """The sticky sample from keyed state; what each batch gave out is kept, the last count of an item holds."""
+    out, checkpoint = scratch_path(spark, "keyed"), scratch_path(spark, "offsets")
+    run = frequency_run(prefix_length(tb.event_items(spark, sf).count()))
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    def start(items: DataFrame, rows: int):
+        writer = streaming_sticky_sample(items, run).writeStream.foreachBatch(keep).outputMode("update")
+        return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    with keyed_state(spark):
+        _arrivals(spark, sf, start)
+    return spark.read.schema("item bigint, n bigint").parquet(out).groupBy("item").agg(F.max("n").alias("n"))
+
+
 def stream_sizes(spark: SparkSession, sf: str) -> DataFrame:
     root, _ = _frequency_stream(spark, sf)
     return jobs.stream_batch_sizes(spark, root)
@@ -433,6 +451,7 @@ def all_queries() -> dict[str, Query]:
         "stream_native_histogram": lambda s, d: _native_stream(s, d, jobs.streaming_histogram, "complete"),
         "stream_native_distinct": lambda s, d: _native_stream(s, d, jobs.streaming_distinct, "append"),
         "stream_sticky_sample": stream_sample,
+        "stream_keyed_sample": stream_keyed_sample,
         "stream_batch_sizes": stream_sizes,
         "stream_distinct": stream_distinct,
         "run_logs_file": run_logs_file,

@@ -206,3 +206,38 @@ def test_an_endless_source_ends_with_its_fill(spark, tmp_path):
         assert query.awaitTermination(120) and query.exception() is None
         check(spark, root, [i % 37 for i in range(2000)])
         assert [r.size for r in jobs.stream_batch_sizes(spark, root).orderBy("batch_id").collect()] == [150] * 4 + [100]
+
+
+def test_arrivals_since_the_first_win_in_any_order():
+    import random
+
+    import pandas as pd
+
+    from fairstream.streaming.keyed import arrivals_since_win
+
+    rng = random.Random(5)
+    for _ in range(200):
+        rows = [(i, rng.random() < 0.1) for i in range(rng.randrange(60))]
+        wins = [i for i, won in rows if won]
+        rng.shuffle(rows)
+        frames = [pd.DataFrame(rows[i : i + 7], columns=["seq", "won"]) for i in range(0, len(rows), 7)]
+        assert arrivals_since_win(iter(frames)) == (len(rows) - min(wins) if wins else 0)
+
+
+@pytest.mark.parametrize("cuts", [[900], [1, 300, 0, 599]])
+def test_keyed_state_gives_the_sticky_sample(spark, tmp_path, cuts):
+    """Whatever the batches, and after a restart in between."""
+    from fairstream.streaming.keyed import keyed_state, streaming_sticky_sample
+
+    items = skewed(900)
+    source, out, checkpoint = ordered_files(tmp_path / "in", cuts, items), str(tmp_path / "out"), str(tmp_path / "check")
+    for files in (1, 10):  # the second start finds nothing new
+        stream = streaming_sticky_sample(read_item_stream(spark, source, "parquet", files_per_batch=files), RUN)
+        with keyed_state(spark):
+            writer = stream.writeStream.foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(f"{out}/batch_id={k}"))
+            writer.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    found = {}
+    for r in rows:
+        found[r.item] = max(r.n, found.get(r.item, 0))
+    assert found == simulate(items[: RUN.n], RUN, lambda i: i)[1]
