@@ -44,6 +44,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What a folder of the shared store holds; nothing if it is not there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in files.listStatus(at)] if files.exists(at) else []
+
+
 def clear_scratch(spark: SparkSession, since: int = 0) -> int:
     """Delete the intermediate tables this process has written, from the ``since``-th on; how many they were.
 

@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairstream.plans.storage import remove
+from fairstream.plans.storage import names_in, remove
 
 SIZES = "size bigint, total bigint"
 MANIFEST = "upto bigint, snapshot string"
@@ -41,13 +41,16 @@ class BatchState:
             self.spark.createDataFrame([], schema).write.mode("ignore").parquet(
                 f"{self.root}/{table}/batch_id=-1"
             )
-        self.spark.createDataFrame([], MANIFEST).write.mode("ignore").parquet(f"{self.root}/manifest/version=-1")
         self.version, self.upto, self.snapshot = self._newest()
 
     def _newest(self) -> tuple[int, int, str | None]:
-        rows = self.spark.read.schema(f"{MANIFEST}, version bigint").parquet(f"{self.root}/manifest")
-        row = rows.agg(F.max_by(F.struct("version", "upto", "snapshot"), "version").alias("m")).head().m
-        return (-1, -1, None) if row is None else (row.version, row.upto, row.snapshot)
+        """Version, last folded batch and snapshot by the newest manifest; a job only where there is one."""
+        versions = [int(name.removeprefix("version=")) for name in names_in(self.spark, f"{self.root}/manifest") if name.startswith("version=")]
+        for version in sorted(versions, reverse=True):
+            row = self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/version={version}").head()
+            if row:  # else its write was cut off
+                return version, row.upto, row.snapshot
+        return -1, -1, None
 
     def is_folded(self, batch_id: int) -> bool:
         """Whether a snapshot holds what this batch did."""
@@ -64,7 +67,7 @@ class BatchState:
             kept = self.folds.get(table, lambda df: df)(kept.filter(F.col("batch_id") <= upto))
             kept.coalesce(1 if table == "sizes" else 8).write.parquet(f"{snapshot}/{table}")
         row = self.spark.createDataFrame([(upto, snapshot)], MANIFEST)
-        row.coalesce(1).write.parquet(f"{self.root}/manifest/version={old[0] + 1}")
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/version={old[0] + 1}")
         self.version, self.upto, self.snapshot = old[0] + 1, upto, snapshot
         for batch_id in range(old[1] + 1, upto + 1):
             for table in self.schemas:
