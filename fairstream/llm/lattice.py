@@ -6,7 +6,13 @@ a cell. A vector lives in its home cell and also visits the cells with one of th
 exchanged for the next nearest. Vectors that meet are compared by cosine in double precision.
 
 A pair counts in the first table, and there in the one cell, where it can meet, so links are
-counted without a list of pairs. Crowded cells are compared in blocks by many tasks.
+counted without a list of pairs.
+
+Where cells are crowded, balls come first. Their centers are found in a bounded sample of each
+crowded cell; a vector of the label belongs to the first ball whose center is within half the angle
+of a link. Angles are a metric, so all of a ball are links of each other, whatever their number: they
+are counted by one sum a ball and never meet in a cell. What is left of a crowded cell is compared in blocks by
+many tasks, but for balls that the triangle inequality keeps too far apart.
 """
 
 from __future__ import annotations
@@ -32,7 +38,15 @@ SCALE = 0.9
 SEED = 20
 BLOCK = 1024
 BROADCAST_ROWS = 100_000
-ROW = "label string, cell bigint, home boolean, at int, id bigint, copies bigint, keys binary, vector binary"
+#: Rows a crowded cell is sampled by, balls it may propose, and the least share of a sample in a ball.
+SAMPLE, PROPOSED, LEAST_SHARE = 256, 8, 1 / 32
+#: Balls in all, those of the most rows; vectors of no ball are compared in blocks.
+BALLS = 1024
+LINK = float(np.arccos(COSINE))
+#: Cosine with the center inside a ball, well on the safe side of rounding.
+INSIDE = float(np.cos(LINK / 2 - 1e-6))
+ROW = "label string, cell bigint, ball int, home boolean, at int, id bigint, copies bigint, keys binary, vector binary"
+CLASS = "id bigint, label string, copies bigint, embedding array<double>, ball int"
 
 
 def usable(vector: Column) -> Column:
@@ -112,7 +126,7 @@ def unpacked(rows: list[bytes], dims: int) -> np.ndarray:
 
 
 def _cells(with_vectors: bool):
-    """Classes ``id, label, copies, embedding`` -> rows of ``ROW``, or only ``label, cell``."""
+    """Classes of ``CLASS`` -> rows of ``ROW``, or only ``label, cell, ball``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
@@ -128,7 +142,8 @@ def _cells(with_vectors: bool):
                     n, each = len(part), TABLES * (1 + PARTS)
                     # vectors of different length never meet, as their label differs
                     label = batch.column(1).take(pa.array(np.repeat(part, each)))
-                    columns = [label, pa.array(keys.reshape(-1))]
+                    ball = batch.column(4).take(pa.array(np.repeat(part, each)))
+                    columns = [label, pa.array(keys.reshape(-1)), ball]
                     if with_vectors:
                         at = np.tile(np.repeat(np.arange(TABLES), 1 + PARTS), n)
                         home = np.tile(np.arange(1 + PARTS) == 0, n * TABLES)
@@ -141,15 +156,15 @@ def _cells(with_vectors: bool):
     return run
 
 
-def _compare(at: np.ndarray, home: np.ndarray, side: np.ndarray, cell: int, ids: np.ndarray, copies: np.ndarray, keys: np.ndarray, unit: np.ndarray):
-    """Links of one cell: ends as positions. ``side`` is 0 in a block by itself, else 1 or 2."""
+def _compare(at: np.ndarray, home: np.ndarray, side: np.ndarray, cell: int, ids: np.ndarray, ball: np.ndarray, keys: np.ndarray, unit: np.ndarray):
+    """Links of one cell but those inside a ball: ends as positions. ``side`` is 0 in a block by itself, else 1 or 2."""
     if side.max() == 0:
         a, b = np.nonzero(np.triu(unit @ unit.T >= COSINE, 1))
     else:
         one, two = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
         a, b = np.nonzero(unit[one] @ unit[two].T >= COSINE)
         a, b = one[a], two[b]
-    ok = (home[a] | home[b]) & (ids[a] != ids[b])
+    ok = (home[a] | home[b]) & (ids[a] != ids[b]) & ((ball[a] != ball[b]) | (ball[a] < 0))
     a, b = a[ok], b[ok]
     table = int(at[0])
     new = np.ones(len(a), bool)
@@ -176,9 +191,9 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the label begins with the length of its vectors
         unit = units(unpacked(rows["vector"].to_pylist(), int(rows["label"][0].as_py().split(":")[0])))
         keys = np.frombuffer(b"".join(rows["keys"].to_pylist()), np.int64).reshape(len(at), TABLES, 1 + PARTS)
-        ids, copies, side = (rows[c].to_numpy() for c in ("id", "copies", "side"))
+        ids, copies, side, ball = (rows[c].to_numpy() for c in ("id", "copies", "side", "ball"))
         cell = rows["cell"][0].as_py()
-        a, b = _compare(at, home, side, cell, ids, copies, keys, unit)
+        a, b = _compare(at, home, side, cell, ids, ball, keys, unit)
         if not len(a):
             return None
         more = np.bincount(a, copies[b], len(at)) + np.bincount(b, copies[a], len(at))
@@ -214,18 +229,108 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from results(held, np.array([0]))
 
 
-def _placed(classes: DataFrame, block: int) -> DataFrame:
-    """Rows of ``ROW`` with the pair of blocks ``i <= j`` they are compared in and their ``side``."""
-    crowded = classes.mapInArrow(_cells(False), "label string, cell bigint").groupBy("label", "cell").count()
-    crowded = cut(crowded.filter(F.col("count") > block).select("label", "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    rows = crowded.count()
+def _proposed(key: tuple, rows: pa.Table) -> pa.Table:
+    """Centers of balls for the sample of one crowded cell, with the rows of the cell each may hold."""
+    label, size = key[0].as_py(), rows["count"][0].as_py()
+    unit = units(unpacked(rows["vector"].to_pylist(), int(label.split(":")[0])))
+    centers, weights, left = [], [], np.ones(len(unit), bool)
+    around = (unit @ unit.T >= COSINE).astype(float) @ unit
+    around /= np.sqrt((around * around).sum(1, keepdims=True))
+    inside = around @ unit.T >= INSIDE
+    while len(centers) < PROPOSED:
+        held = (inside & left).sum(1)
+        best = int(held.argmax())
+        if held[best] < max(2, LEAST_SHARE * len(unit)):
+            break
+        centers.append(around[best].tobytes())
+        weights.append(float(held[best] / len(unit) * size))
+        left &= ~inside[best]
+    return pa.table({"label": pa.array([label] * len(centers), pa.string()), "center": pa.array(centers, pa.binary()), "weight": pa.array(weights, pa.float64())})
+
+
+def _centers(classes: DataFrame, crowded: DataFrame, cells: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Label -> numbers and centers of its balls; at most ``BALLS`` in all, the heaviest first."""
+    rows = classes.mapInArrow(_cells(True), ROW).select("label", "cell", "id", "vector")
+    met = rows.join(F.broadcast(crowded) if cells <= BROADCAST_ROWS else crowded, ["label", "cell"])
+    # about SAMPLE rows a cell, by hash
+    sample = met.filter(F.pmod(F.xxhash64("id", "cell"), F.lit(1 << 30)) < F.lit(SAMPLE * float(1 << 30)) / F.col("count"))
+    proposed = sample.select("label", "cell", "count", "vector").groupBy("label", "cell").applyInArrow(_proposed, "label string, center binary, weight double")
+    balls: dict[str, list] = {}
+    number = 0
+    # one crowd proposes much the same center in each of its cells
+    for row in proposed.orderBy(F.desc("weight"), "label", "center").limit(4 * BALLS).collect():
+        center, own = np.frombuffer(row.center), balls.setdefault(row.label, [])
+        if number < BALLS and all(center @ other < np.cos(LINK / 4) for _, other in own):
+            own.append((number, center))
+            number += 1
+    return {label: (np.array([n for n, _ in own]), np.array([c for _, c in own])) for label, own in balls.items() if own}
+
+
+def _with_balls(balls: dict[str, tuple[np.ndarray, np.ndarray]]):
+    """Classes with the number of the first ball each is in, else -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, ball = batch.column(1).to_pylist(), np.full(batch.num_rows, -1, np.int32)
+            for label in set(labels) & balls.keys():
+                numbers, centers = balls[label]
+                rows = np.flatnonzero([x == label for x in labels])
+                unit = units(np.array(batch.column(3).take(pa.array(rows)).to_pylist(), np.float64))
+                inside = unit @ centers.T >= INSIDE
+                ball[rows] = np.where(inside.any(1), numbers[inside.argmax(1)], -1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(ball)], ["id", "label", "copies", "embedding", "ball"])
+
+    return run
+
+
+def in_balls(classes: DataFrame, block: int = BLOCK) -> tuple[DataFrame, dict[int, list[int]]]:
+    """``id, label, copies, embedding`` -> rows of ``CLASS``, and for each ball those near enough for links.
+
+    The cells are counted first; where none holds more than ``block`` vectors there are no balls.
+    """
+    plain = classes.withColumn("ball", F.lit(-1))
+    sizes = plain.mapInArrow(_cells(False), "label string, cell bigint, ball int").groupBy("label", "cell").count()
+    crowded = cut(sizes.filter(F.col("count") > block))
+    cells = crowded.count()
+    balls = _centers(plain, crowded, cells) if cells else {}
+    if not balls:
+        return plain, {}
+    near = {}
+    for numbers, centers in balls.values():
+        # both radii are half a link
+        close = centers @ centers.T >= np.cos(min(2 * LINK + 1e-6, np.pi))
+        near.update({int(n): numbers[row].tolist() for n, row in zip(numbers, close)})
+    return stored(classes.mapInArrow(_with_balls(balls), CLASS), "vector-balls"), near
+
+
+def _placed(classes: DataFrame, near: dict[int, list[int]], block: int) -> DataFrame:
+    """Rows of ``ROW`` with the pair of blocks ``i <= j`` they are compared in and their ``side``.
+
+    In a crowded cell a ball that fills half a block has blocks of its own, which are compared
+    with those of other balls near enough and with the loose rows, never with each other.
+    """
+    parts = classes.mapInArrow(_cells(False), "label string, cell bigint, ball int").groupBy("label", "cell", "ball").agg(F.count("*").alias("n"))
+    own = F.when((F.col("ball") >= 0) & (F.col("n") * 2 >= block), F.col("ball")).otherwise(-1)
+    parts = parts.groupBy("label", "cell", own.alias("ball")).agg(F.sum("n").alias("n"))
+    group = F.struct("ball", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    layout = parts.groupBy("label", "cell").agg(F.sum("n").alias("count"), F.sort_array(F.collect_list(group)).alias("groups"))
+    layout = cut(layout.filter(F.col("count") > block).drop("count"))
+    groups = layout.agg(F.coalesce(F.sum(F.size("groups")), F.lit(0))).head()[0]
     cells = classes.mapInArrow(_cells(True), ROW)
-    met = cells.join(F.broadcast(crowded) if rows <= BROADCAST_ROWS else crowded, ["label", "cell"], "left")
-    met = met.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = cells.join(F.broadcast(layout) if groups <= BROADCAST_ROWS else layout, ["label", "cell"], "left")
+    close = classes.sparkSession.createDataFrame(list(near.items()), "ball int, near array<int>")
+    met = met.join(F.broadcast(close), "ball", "left")
+    # a group's blocks come after those of the groups before it
+    met = met.withColumn("groups", F.coalesce("groups", F.expr("array(named_struct('ball', -1, 'blocks', 1))")))
+    before = F.expr("transform(groups, (g, at) -> aggregate(slice(groups, 1, at), 0, (n, x) -> n + x.blocks))")
+    met = met.withColumn("groups", F.arrays_zip(F.col("groups.ball").alias("ball"), F.col("groups.blocks").alias("blocks"), before.alias("first")))
+    met = met.withColumn("mine", F.expr("coalesce(get(filter(groups, g -> g.ball >= 0 AND g.ball = ball), 0), get(filter(groups, g -> g.ball < 0), 0))"))
+    met = met.withColumn("own", (F.col("mine.first") + F.pmod(F.xxhash64("id"), F.col("mine.blocks"))).cast("int"))
+    others = "filter(groups, g -> mine.ball < 0 OR g.ball < 0 OR (g.ball <> mine.ball AND array_contains(near, g.ball)))"
+    met = met.withColumn("other", F.explode(F.expr(f"flatten(transform({others}, g -> sequence(g.first, g.first + g.blocks - 1)))")))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    return met.select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
+    names = [c.split()[0] for c in ROW.split(", ")]
+    return met.select(*names, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
 
 
 def near_vectors(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -248,16 +353,22 @@ def near_vectors(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
     good = rows.filter(ok)
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
     classes = stored(classes.select("id", "label", "copies", "embedding"), "vector-classes")
-    placed = _placed(classes, block).drop("blocks", "own", "other")
+    classes, near = in_balls(classes, block)
+    placed = _placed(classes, near, block)
     grouped = placed.repartition("label", "cell", "i", "j").sortWithinPartitions("label", "cell", "i", "j")
     found = stored(grouped.mapInArrow(_links, "a bigint, b bigint, n bigint"), "vector-links")
     more = found.filter("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("more"))
-    roots = components(found.filter("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "id")
-    known = classes.join(more, "id", "left").join(roots, "id", "left")
+    links = found.filter("b IS NOT NULL").select("a", "b")
+    inside = classes.filter("ball >= 0")
+    # one row a ball: at most BALLS rows
+    balls = cut(inside.groupBy("ball").agg(F.sum("copies").alias("all_copies"), F.min("id").alias("first")))
+    links = links.unionByName(inside.join(F.broadcast(balls), "ball").select(F.col("first").alias("a"), F.col("id").alias("b")))
+    roots = components(links).withColumnRenamed("node", "id")
+    known = classes.join(more, "id", "left").join(roots, "id", "left").join(F.broadcast(balls), "ball", "left")
     known = stored(
         known.select(
             F.col("label").alias("class_label"), F.col("embedding").alias("class_vector"),
-            (F.col("copies") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("root", "id").alias("root"),
+            (F.coalesce("all_copies", "copies") - 1 + F.coalesce("more", F.lit(0))).alias("links"), F.coalesce("root", "id").alias("root"),
         ),
         "vector-components",
     )

@@ -313,6 +313,46 @@ def test_lattice_recall(spark, block):
     assert sum(r.n_links for r in found.values()) >= 0.9 * sum(expected.values()) > 0
 
 
+def _crowds(sizes: dict[float, int]) -> np.ndarray:
+    """Around one vector for each spread; the vectors of any two spreads are 0.3 apart."""
+    rng = np.random.default_rng(12)
+    base, found = rng.normal(size=64), []
+    base /= np.linalg.norm(base)
+    for spread, n in sizes.items():
+        away = rng.normal(size=64)
+        middle = base + 0.3 * away / np.linalg.norm(away)
+        found.append(middle + rng.normal(size=(n, 64)) * spread)
+    return np.concatenate(found)
+
+
+def test_lattice_balls(spark):
+    """Tight crowds are balls, a loose one is compared; copies count; both are linked as brute force links them."""
+    vectors = _crowds({0.004: 300, 0.008: 200, 0.018: 150})
+    vectors = np.concatenate([vectors, vectors[:40], vectors[:40]])
+    df = spark.createDataFrame([(i, v.tolist(), 3) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>, label int")
+    unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
+    near = (unit @ unit.T >= 0.98) & ~np.eye(len(unit), dtype=bool)
+    found = {r.vec_id: r for r in lattice.near_vectors(df, 64).collect()}
+    links = np.array([found[i].n_links for i in range(len(unit))])
+    assert (links <= near.sum(1)).all() and links.sum() >= 0.99 * near.sum()
+    assert (links[:500] == near.sum(1)[:500]).all()
+    assert {found[i].component_id for i in range(300)} == {0}
+    assert {found[i].component_id for i in range(300, 500)} == {300}
+
+
+def test_lattice_crowds_are_linear(spark):
+    placed = []
+    for n in (1000, 2000, 4000):
+        vectors = _crowds({0.006: n, 0.018: 100})
+        rows = spark.createDataFrame(
+            [(i, "64:1", 1, v.tolist()) for i, v in enumerate(vectors)], "id bigint, label string, copies bigint, embedding array<double>"
+        )
+        classes, near = lattice.in_balls(rows, 256)
+        assert classes.filter("ball >= 0").count() >= n
+        placed.append(lattice._placed(classes, near, 256).count())
+    assert placed[1] < 2.2 * placed[0] and placed[2] < 2.2 * placed[1]
+
+
 def test_lattice_points():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 8)) * 2
