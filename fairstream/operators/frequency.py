@@ -174,11 +174,22 @@ def countmin_matrix(items: DataFrame, run: Frequency) -> DataFrame:
     return cells(items.select("item"), [run]).groupBy("r", "c").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _block(runs: Sequence[Frequency]) -> int:
+    return min(BLOCK, max(LEAST_BLOCK, max(run.n for run in runs) // BLOCKS))
+
+
+def cell_counts(items: DataFrame, runs: Sequence[Frequency], block: int | None = None) -> DataFrame:
+    """``run, r, c, block, count``: arrivals in each cell by blocks of ``block`` consecutive ``seq``."""
+    blocked = items.select("item", F.expr(f"seq div {block or _block(runs)}L").alias("block"))
+    return cells(blocked, runs).groupBy("run", "r", "c", "block").count()
+
+
 def cell_crossings(
     items: DataFrame,
     runs: Sequence[Frequency],
     before: DataFrame | None = None,
     block: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """``run, r, c, seq``: the arrival at which a cell's count reaches ``needed`` of its run.
 
@@ -189,13 +200,13 @@ def cell_crossings(
     than ``block`` arrivals. By default a block is a part of ``n``, between ``LEAST_BLOCK`` and
     ``BLOCK`` arrivals; its size does not change the result.
 
-    ``before`` (``run, r, c, n``) are counts carried over from earlier arrivals.
+    ``before`` (``run, r, c, n``) are counts carried over from earlier arrivals; ``sizes`` is
+    ``cell_counts`` of these items, if it is at hand.
     """
     cell = ["run", "r", "c"]
-    block = block or min(BLOCK, max(LEAST_BLOCK, max(run.n for run in runs) // BLOCKS))
-    block_of = F.expr(f"seq div {block}L").alias("block")
-    blocked = items.select("seq", "item", block_of)
-    sizes = cells(blocked.select("item", "block"), runs).groupBy(*cell, "block").count()
+    block = block or _block(runs)
+    blocked = items.select("seq", "item", F.expr(f"seq div {block}L").alias("block"))
+    sizes = cell_counts(items, runs, block) if sizes is None else sizes
     so_far = F.sum("count").over(Window.partitionBy(*cell).orderBy("block"))
     upto = sizes.withColumn("upto", so_far)
     if before is not None:
@@ -224,7 +235,8 @@ def cell_crossings(
 def _in_blocks(edge: DataFrame, block: int) -> Column:
     """Whether ``seq`` lies in one of the blocks of ``edge``, as ranges the scan can skip by."""
     spans: list[list[int]] = []
-    for (number,) in edge.select("block").distinct().orderBy("block").collect():
+    # a bounded table, mostly a literal one that is read without a job
+    for number in sorted({row.block for row in edge.select("block").collect()}):
         if spans and number == spans[-1][1] + 1:
             spans[-1][1] = number
         else:

@@ -16,10 +16,10 @@ from pyspark.sql.streaming import StreamingQuery
 from fairstream.operators.frequency import (
     BROADCAST_ROWS,
     Frequency,
+    cell_counts,
     cell_crossings,
     cell_rows,
     cells,
-    countmin_matrix,
     first_sampled,
     full_items,
 )
@@ -185,25 +185,36 @@ def update_frequency(state: BatchState, batch: DataFrame, batch_id: int, run: Fr
             kept, size = batch.filter(F.col("seq") <= kth_smallest(batch, "seq", room)), room
         else:
             kept = batch
-        firsts = first_sampled(kept, [run], toss)
-        since = (F.col("seq") >= F.col("first_seq")).cast("bigint")
-        items = (
-            kept.join(firsts, "item", "left")
-            .groupBy("item")
-            .agg(
-                F.count(F.lit(1)).alias("n"),
-                F.max("seq").alias("last_seq"),
-                # NULL unless the item was sampled in this batch
-                F.sum(since).alias("sticky"),
-            )
-        )
+        # one count of the cells, by blocks, serves the matrix and the search for crossings
+        counted = cell_counts(kept, [run]).persist(StorageLevel.MEMORY_AND_DISK)
         # matrix rows are running totals: a batch reads the last one only
         before = state.read_batch("matrix", previous)
-        now = before.unionByName(countmin_matrix(kept, run)).groupBy("r", "c").agg(F.sum("n").alias("n"))
-        crossed = cell_crossings(kept, [run], before.withColumn("run", F.lit(0)))
-        state.write_all(
-            batch_id, items=items, crossings=crossed.drop("run"), matrix=now
-        )
+
+        def items() -> DataFrame:
+            firsts = first_sampled(kept, [run], toss)
+            since = (F.col("seq") >= F.col("first_seq")).cast("bigint")
+            return (
+                kept.join(firsts, "item", "left")
+                .groupBy("item")
+                .agg(
+                    F.count(F.lit(1)).alias("n"),
+                    F.max("seq").alias("last_seq"),
+                    # NULL unless the item was sampled in this batch
+                    F.sum(since).alias("sticky"),
+                )
+            )
+
+        def matrix() -> DataFrame:
+            now = before.unionByName(counted.select("r", "c", F.col("count").alias("n")))
+            return now.groupBy("r", "c").agg(F.sum("n").alias("n"))
+
+        def crossings() -> DataFrame:
+            return cell_crossings(kept, [run], before.withColumn("run", F.lit(0)), sizes=counted).drop("run")
+
+        try:
+            state.write_all(batch_id, items=items, matrix=matrix, crossings=crossings)
+        finally:
+            counted.unpersist()
         state.commit(batch_id, size, total + size)
         state.compact_if_due(batch_id)
         return total + size

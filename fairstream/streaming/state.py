@@ -38,9 +38,10 @@ class BatchState:
         self.schemas, self.folds = {**schemas, "sizes": SIZES}, dict(folds or {})
         for table, schema in self.schemas.items():
             # an empty partition makes every table readable from the start
-            self.spark.createDataFrame([], schema).write.mode("ignore").parquet(
-                f"{self.root}/{table}/batch_id=-1"
-            )
+            if "batch_id=-1" not in names_in(spark, f"{self.root}/{table}"):
+                self.spark.createDataFrame([], schema).write.mode("ignore").parquet(
+                    f"{self.root}/{table}/batch_id=-1"
+                )
         self.version, self.upto, self.snapshot = self._newest()
 
     def _newest(self) -> tuple[int, int, str | None]:
@@ -84,10 +85,10 @@ class BatchState:
     def write(self, table: str, batch_id: int, df: DataFrame) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch_id={batch_id}")
 
-    def write_all(self, batch_id: int, **tables: DataFrame) -> None:
-        """Several tables of a batch, as jobs that run side by side."""
+    def write_all(self, batch_id: int, **tables: Callable[[], DataFrame]) -> None:
+        """Several tables of a batch, each made and written side by side with the others."""
         with ThreadPoolExecutor(len(tables)) as pool:
-            jobs = [pool.submit(self.write, name, batch_id, df) for name, df in tables.items()]
+            jobs = [pool.submit(lambda name=name, made=made: self.write(name, batch_id, made())) for name, made in tables.items()]
             for job in jobs:
                 job.result()
 
